@@ -74,7 +74,7 @@ def principal_axes(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     """Mean, scale, axes and variance shares per group, from one pass of covariances over complete rows.
 
     The eigen-solve runs on one row of statistics per group. Axes are ordered by variance, and signed so that the
-    largest loading is positive. Metrics that are absent or constant get zero loadings. The small result is
+    largest loading (the first of equal ones) is positive. Metrics that are absent or constant get zero loadings. The small result is
     checkpointed, so that every reader scores with the same numbers.
     """
     keys, features = list(keys), list(features)
@@ -119,7 +119,8 @@ def principal_axes(df: DataFrame, keys: Sequence[str], features: Sequence[str],
             share = np.clip(weight[order], 0.0, None) / weight.sum()
             for i, column in enumerate(order):
                 axis = axes[:, column]
-                axis = axis * (1.0 if axis[np.argmax(np.abs(axis))] >= 0 else -1.0)
+                size = np.abs(axis)
+                axis = axis * (1.0 if axis[np.flatnonzero(size > size.max() - 1e-9)[0]] >= 0 else -1.0)
                 out[f"_w{i}"] = float(share[i]) if share[i] > TINY else None
                 for j, place in enumerate(live):
                     out[f"_v{i}_{place}"] = float(axis[j])

@@ -70,7 +70,7 @@ def event_split(df: DataFrame, ts: str, start: str, end: str, block: int) -> Dat
     return rows.filter(tested > 0).withColumn("role", role).drop("_idx")
 
 
-def tail(df: DataFrame, ts: str, rows: int) -> DataFrame:
-    """The last ``rows`` rows of the frame."""
-    indexed = with_series_index(df, [], ts, "_idx")
+def tail(df: DataFrame, ts: str, rows: int, then: Sequence[str] = ()) -> DataFrame:
+    """The last ``rows`` rows of the frame; ``then`` orders rows of one timestamp."""
+    indexed = with_series_index(df, [], ts, "_idx", then=then)
     return indexed.filter(F.col("_idx") >= row_count(indexed, "_idx") - rows).drop("_idx")

@@ -26,7 +26,7 @@ def parse_items(df: DataFrame, payload: str, item: T.StructType, keep: Sequence[
 
 def split_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """One row per code of comma-separated lists, trimmed, blanks dropped."""
-    parts = F.transform(F.split(F.col(column), ","), F.trim)
+    parts = F.transform(F.split(F.col(column), ","), lambda x: F.trim(x))
     kept = [c for c in df.columns if c != column]
     return df.select(*kept, F.explode(F.filter(parts, lambda x: x != "")).alias(name))
 
