@@ -96,9 +96,11 @@ def predict(model, rows: DataFrame, features: Sequence[str], name: str = "y_pred
     return scored.select(*rows.columns, F.col("prediction").alias(name))
 
 
-def importance(rows: DataFrame, features: Sequence[str], y: str, k: int = 50, seed: int = 42) -> DataFrame:
+def importance(
+    rows: DataFrame, features: Sequence[str], y: str, k: int = 50, seed: int = 42, params: dict | None = None
+) -> DataFrame:
     """(feature, importance) of the ``k`` features boosted trees use most."""
-    model = gbt(SELECTOR, y, seed).fit(assemble(rows, features))
+    model = gbt(params or SELECTOR, y, seed).fit(assemble(rows, features))
     ranked = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
     table = rows.sparkSession.createDataFrame(ranked, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(k)

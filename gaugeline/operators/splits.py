@@ -16,9 +16,8 @@ def row_count(indexed: DataFrame, idx: str = "idx") -> Column:
 
 
 def _explode_roles(df: DataFrame, roles: Sequence[Column]) -> DataFrame:
-    """One row per fold that uses the row. A row belongs to a fold at most once."""
-    cases = F.filter(F.array(*roles), lambda r: r["role"].isNotNull())
-    return df.select("*", F.inline(cases))
+    """One row per fold that uses the row, from its position and the row count ``_n``."""
+    return df.select("*", F.inline(F.array(*roles))).filter(F.col("role").isNotNull()).drop("_n")
 
 
 def walk_forward(df: DataFrame, ts: str, folds: int, block: int, embargo: int = 0, idx: str = "idx") -> DataFrame:
@@ -28,7 +27,8 @@ def walk_forward(df: DataFrame, ts: str, folds: int, block: int, embargo: int =
     position alone: no join, and a training row is repeated once per fold because every fold trains on it.
     """
     rows = df if idx in df.columns else with_series_index(df, [], ts, idx)
-    n = row_count(rows, idx)
+    rows = rows.withColumn("_n", row_count(rows, idx))
+    n = F.col("_n")
     roles = []
     for k in range(folds):
         test_start = n - (folds - k) * block
@@ -45,7 +45,8 @@ def walk_forward(df: DataFrame, ts: str, folds: int, block: int, embargo: int =
 def time_series_split(df: DataFrame, ts: str, splits: int, gap: int = 0, idx: str = "idx") -> DataFrame:
     """Expanding folds of equal test size ``n div (splits + 1)``; training ends ``gap`` rows before the test."""
     rows = df if idx in df.columns else with_series_index(df, [], ts, idx)
-    n = row_count(rows, idx)
+    rows = rows.withColumn("_n", row_count(rows, idx))
+    n = F.col("_n")
     size = F.floor(n / F.lit(splits + 1))
     roles = []
     for k in range(splits):

@@ -79,7 +79,7 @@ def as_predictions(rows: DataFrame, ts: str, model: str, target: str) -> DataFra
 
 def preprocess(rows: DataFrame, ts: str, target: str, known: dict[str, Sequence] | None = None) -> DataFrame:
     """One fold's rows imputed per role, encoded with what the training rows show, with calendar columns."""
-    carried = ["idx", "step", "fold", "role", "y"]
+    carried = [ts, "idx", "step", "fold", "role", "y"]
     body = impute_wide(rows, ts, [c for c in S.imputable_columns(rows.columns) if c not in carried], "role")
     keep = body.select("idx", "role", F.col(ts).alias("_at"), *[c for c in ("step", "fold", "y") if c in body.columns])
     plain = body.drop(*[c for c in ("step", "fold", "y") if c in body.columns])
