@@ -50,34 +50,59 @@ def over_chunks(
     return build(spread, window).filter(F.col("_chunk") == chunk_of(idx, rows)).drop("_chunk")
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "idx", copies: bool = False
-) -> DataFrame:
+def same(keys: Sequence[str], left: str = "l", right: str = "r") -> list[Column]:
+    """Join conditions under which a missing key meets a missing key, so that no row is lost."""
+    return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "idx") -> DataFrame:
     """Number the rows of each series from 0; with no keys, number the whole frame.
 
-    ``bucket`` is a whole number that never falls along ``order``. Rows are counted per bucket, the counts are summed
-    up over the (small) bucket table, and rows are numbered inside their bucket. ``copies=True`` first folds equal rows
-    into one with a count and unfolds them after numbering, so any number of copies of one reading is cheap to order.
+    ``bucket`` is a whole number that never falls along ``order``, and holds a bounded number of rows of a series. Rows
+    are counted per bucket, the counts are summed up over the (small) bucket table, and rows are numbered inside their
+    bucket.
     """
     columns = df.columns
-    if copies:
-        df = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    else:
-        df = df.withColumn("_copies", F.lit(1).cast("bigint"))
     df = df.withColumn("_bucket", bucket)
     by = [*keys, "_bucket"]
-    totals = df.groupBy(*by).agg(F.sum("_copies").alias("_total"))
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*by).orderBy(*order)
+    joined = df.alias("l").join(offsets.alias("r"), same(by)).select("l.*", "_offset")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return joined.withColumn(name, (F.col("_offset") + place).cast("bigint")).select(*columns, name)
+
+
+def number_sorted(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", copies: bool = False
+) -> DataFrame:
+    """``number_rows`` for any distribution: a hot series or a hot timestamp is spread over tasks like any other.
+
+    The frame is sorted by ranges over all order columns and checkpointed, which fixes the partitions. A row's number
+    is its place in the partition, less the place of its series' first row there, plus the rows of the series in
+    earlier partitions. ``copies=True`` folds equal rows into one before the sort and unfolds them after it, for data
+    where one reading may be copied any number of times.
+    """
+    columns = df.columns
     if copies:
-        before = F.coalesce(F.sum("_copies").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        df = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     else:
-        before = F.row_number().over(within) - 1
-    numbered = df.join(offsets, by).withColumn(name, (F.col("_offset") + before).cast("bigint"))
-    if copies:
-        numbered = numbered.withColumn(name, F.explode(F.sequence(F.col(name), F.col(name) + F.col("_copies") - 1)))
-    return numbered.select(*columns, name)
+        df = df.withColumn("_copies", F.lit(1).cast("bigint"))
+    sort = [*keys, *order]
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    placed = checkpointed(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")))
+    by = [*keys, "_part"]
+    sizes = placed.groupBy(*by).agg(F.sum("_copies").alias("_total"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_first", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    joined = placed.alias("l").join(offsets.alias("r"), same(by)).select("l.*", "_first", "_offset")
+    if not copies:
+        return joined.select(*columns, (F.col("_offset") + F.col("_place") - F.col("_first")).cast("bigint").alias(name))
+    # Rows before this one in its partition count with their copies.
+    before = Window.partitionBy(*by).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
+    spread = joined.withColumn("_start", start)
+    return spread.select(*columns, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1)).alias(name))
 
 
 def with_series_index(
@@ -85,12 +110,19 @@ def with_series_index(
     keys: Sequence[str],
     ts: str,
     name: str = "idx",
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
     then: Sequence[str] = (),
     copies: bool = False,
 ) -> DataFrame:
-    """``number_rows`` in time order, with time buckets. ``then`` breaks ties of equal timestamps."""
-    return number_rows(df, keys, [ts, *then], slot(ts, bucket_seconds), name, copies)
+    """Position of each row in its series in time order.
+
+    Without ``then`` the timestamps of a series are taken to be distinct, and time buckets (a day per series, a quarter
+    hour for a whole frame) bound the work per task. With ``then``, which orders equal timestamps, or with ``copies``,
+    any number of rows may share a timestamp.
+    """
+    if then or copies:
+        return number_sorted(df, keys, [ts, *then], name, copies)
+    return number_rows(df, keys, [ts], slot(ts, bucket_seconds or (86_400 if keys else 900)), name)
 
 
 def expand_slots(df: DataFrame, keys: Sequence[str], first: Column, last: Column, name: str = "slot") -> DataFrame:
@@ -113,34 +145,38 @@ def expand_slots(df: DataFrame, keys: Sequence[str], first: Column, last: Column
     )
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, parts: int = 32) -> DataFrame:
-    """Distinct values per group with ``cnt``, ``cum`` (rows at or below the value) and ``n`` (rows of the group).
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, parts: int = 32) -> DataFrame:
+    """Distinct values per group with their count, cut into ``parts`` value ranges of about equal size.
 
-    Equal values fold into one row before any sort. The distinct values of a group are then cut into about equal value
-    ranges, each sorted by a task of its own, and carried on by a running total over the ranges. The range edges are
-    approximate but the ranks are exact; the frame is checkpointed so that all readers see the same edges.
+    Equal values fold into one row before the shuffle. The range edges come from a mergeable sketch and are
+    approximate, so the frame is checkpointed: all readers then see the same ranges.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     probes = [i / parts for i in range(1, parts)]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probes, 1000).alias("_edges"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probes, 1000).alias("_edges"), F.sum("cnt").alias("n"))
     part = F.size(F.filter("_edges", lambda edge: edge < F.col(value)))
-    ranged = checkpointed(counts.join(edges, keys).select(*keys, value, "cnt", part.alias("_part")))
-    totals = ranged.groupBy(*keys, "_part").agg(F.sum("cnt").alias("_total"))
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "_part",
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_total").over(group).alias("n"),
-    )
-    within = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        ranged.join(offsets, [*keys, "_part"])
-        .withColumn("cum", F.col("_offset") + F.sum("cnt").over(within))
-        .select(*keys, value, "cnt", "cum", "n")
-    )
+    tagged = counts.alias("l").join(edges.alias("r"), same(keys)).select("l.*", "n", "_edges")
+    return checkpointed(tagged.select(*keys, value, "cnt", "n", part.alias("_part")))
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, parts: int = 32) -> DataFrame:
+    """Distinct values per group with ``cnt``, ``cum`` (rows at or below the value) and ``n`` (rows of the group).
+
+    Exact: every range is sorted by a task of its own and carried on by the totals of the ranges below it.
+    """
+    return ranks_of(value_counts(df, keys, value, parts), keys, value)
+
+
+def ranks_of(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``value_ranks`` from the result of ``value_counts``."""
+    by = [*keys, "_part"]
+    totals = counts.groupBy(*by).agg(F.sum("cnt").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = counts.alias("l").join(offsets.alias("r"), same(by)).select("l.*", "_offset")
+    return joined.withColumn("cum", F.col("_offset") + F.sum("cnt").over(within)).select(*keys, value, "cnt", "cum", "n")
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -164,9 +200,6 @@ def approx_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: di
     )
 
 
-def join_sized(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = 200_000) -> DataFrame:
-    """Broadcast ``small`` only after counting at most ``limit`` rows; beyond that leave the join to the optimizer,
-    which splits skewed partitions. ``small`` must be cheap to read twice (checkpointed or a scan)."""
-    if small.limit(limit + 1).count() <= limit:
-        small = F.broadcast(small)
-    return big.join(small, list(on), how)
+def is_small(df: DataFrame, rows: int = 200_000) -> bool:
+    """Whether a frame that is cheap to read (checkpointed, or a scan) is small enough to broadcast."""
+    return df.limit(rows + 1).count() <= rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline import schema as S
-from gaugeline.functions.expr import col, micros_of, parse_code, parse_number, parse_time, through_day
+from gaugeline.functions.expr import col, micros, micros_of, no_nan, parse_code, parse_number, parse_time, through_day
 from gaugeline.schema import SeriesSchema
 
 
@@ -58,7 +58,8 @@ def clean(
         df = df.filter(parse_time(schema.ts) >= F.lit(lo).cast(T.TimestampNTZType()))
     if hi is not None:
         df = df.filter(parse_time(schema.ts) <= F.lit(hi).cast(T.TimestampNTZType()))
-    number = {c: parse_number(c) for c in df.columns}
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    number = {c: parse_number(c) if c in text else no_nan(F.col(c).cast("double")) for c in df.columns if c not in (schema.key, schema.ts, *times)}
     out: list[Column] = []
     for c in df.columns:
         if c == schema.key:
@@ -136,8 +137,6 @@ def zero_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def off_grid(df: DataFrame, key: str, ts: str, step: int, origin: str = "1970-01-01") -> DataFrame:
     """Readings per series that no grid slot will match, and readings that share a slot with another one."""
-    from gaugeline.functions.expr import micros
-
     off = F.pmod(micros(ts) - F.lit(micros_of(origin)), F.lit(step * 1_000_000)) != 0
     per_slot = df.groupBy(key, ts).agg(F.count(F.lit(1)).alias("n"), F.max(off).alias("off"))
     return per_slot.groupBy(key).agg(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.feature import VectorAssembler
@@ -85,10 +86,21 @@ def gbt(params: dict | None = None, y: str = "y", seed: int = 42, validation: st
     return model.setValidationIndicatorCol(validation) if validation else model
 
 
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Training rows held for the passes of a fit; lost blocks are computed again."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def fit_gbt(rows: DataFrame, features: Sequence[str], params: dict | None = None, y: str = "y", role: str = "role", seed: int = 42) -> GBTRegressionModel:
     """Fit on ``train`` rows with early stopping on ``val`` rows."""
     used = rows.filter(F.col(role).isin("train", "val")).withColumn("_val", F.col(role) == "val")
-    return gbt(params, y, seed, "_val").fit(assemble(used, features))
+    with _kept(assemble(used, features).select("features", y, "_val")) as ready:
+        return gbt(params, y, seed, "_val").fit(ready)
 
 
 def predict(model, rows: DataFrame, features: Sequence[str], name: str = "y_pred") -> DataFrame:
@@ -100,7 +112,8 @@ def importance(
     rows: DataFrame, features: Sequence[str], y: str, k: int = 50, seed: int = 42, params: dict | None = None
 ) -> DataFrame:
     """(feature, importance) of the ``k`` features boosted trees use most."""
-    model = gbt(params or SELECTOR, y, seed).fit(assemble(rows, features))
+    with _kept(assemble(rows, features).select("features", y)) as ready:
+        model = gbt(params or SELECTOR, y, seed).fit(ready)
     ranked = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
     table = rows.sparkSession.createDataFrame(ranked, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(k)
@@ -129,7 +142,8 @@ def arx_frame(df: DataFrame, keys: Sequence[str], idx: str, y: str, step: int, o
 def fit_arx(rows: DataFrame, features: Sequence[str], response: str = "dy") -> LinearRegressionModel:
     """Least squares on complete rows."""
     complete = rows.na.drop(subset=[*features, response])
-    return LinearRegression(labelCol=response, solver="normal", standardization=False, regParam=0.0).fit(assemble(complete, features))
+    with _kept(assemble(complete, features).select("features", response)) as ready:
+        return LinearRegression(labelCol=response, solver="normal", standardization=False, regParam=0.0).fit(ready)
 
 
 def coefficients(model: LinearRegressionModel, features: Sequence[str], df: DataFrame) -> DataFrame:

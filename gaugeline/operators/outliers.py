@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import ratio
-from gaugeline.operators.chunks import percentiles, value_ranks
+from gaugeline.operators.chunks import is_small, percentiles, ranks_of, same, value_counts
 from gaugeline.schema import SeriesSchema
 from gaugeline.session import checkpointed
 
-BROADCAST_ROWS = 200_000
 TINY = 1e-12
 
 
@@ -43,15 +42,15 @@ def ecod_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], name
     long = complete.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         keys, list(features), "_metric", "_value"
     )
-    ranks = value_ranks(long, [*keys, "_metric"], "_value")
-    tails = ranks.select(
+    counts = value_counts(long, [*keys, "_metric"], "_value")
+    small = is_small(counts)
+    tails = ranks_of(counts, [*keys, "_metric"], "_value").select(
         *keys,
         "_metric",
         "_value",
         (-F.ln(F.col("cum") / F.col("n"))).alias("_left"),
         (-F.ln((F.col("n") - F.col("cum") + F.col("cnt")) / F.col("n"))).alias("_right"),
     )
-    small = tails.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     lean = complete.groupBy(*keys).agg(*[F.coalesce(F.skewness(f), F.lit(0.0)).alias(f"_skew_{f}") for f in features])
     scored = df.join(lean, keys, "left")
     total = F.lit(0.0)
@@ -61,8 +60,7 @@ def ecod_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], name
         )
         side = F.broadcast(side) if small else side
         match = F.col(f).cast("double") == F.col(f"_at_{f}")
-        on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-        scored = scored.alias("l").join(side.alias("r"), [*on, match], "left")
+        scored = scored.alias("l").join(side.alias("r"), [*same(keys), match], "left")
         scored = scored.select("l.*", f"_left_{f}", f"_right_{f}")
         left, right, skew = F.col(f"_left_{f}"), F.col(f"_right_{f}"), F.col(f"_skew_{f}")
         chosen = F.when(skew < 0, left).when(skew > 0, right).otherwise(left + right)
@@ -74,8 +72,7 @@ def principal_axes(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     """Mean, scale, axes and variance shares per group, from one pass of covariances over complete rows.
 
     The eigen-solve runs on one row of statistics per group. Axes are ordered by variance, and signed so that the
-    largest loading (the first of equal ones) is positive. Metrics that are absent or constant get zero loadings. The small result is
-    checkpointed, so that every reader scores with the same numbers.
+    largest loading (the first of equal ones) is positive. Metrics that are absent or constant get zero loadings.
     """
     keys, features = list(keys), list(features)
     d = len(features)
@@ -126,7 +123,7 @@ def principal_axes(df: DataFrame, keys: Sequence[str], features: Sequence[str],
                     out[f"_v{i}_{place}"] = float(axis[j])
         return out
 
-    return checkpointed(stats.mapInPandas(solve, schema))
+    return stats.mapInPandas(solve, schema)
 
 
 def _centred(features: Sequence[str]) -> list[Column]:
@@ -205,6 +202,8 @@ def flag_outliers(
         scored = ecod_score(scored, keys, features)
     if "pca" in detectors:
         scored = pca_score(scored, keys, features)
+    # Limits and flags must see the same scores to the last bit, and scoring again would cost as much as the copy.
+    scored = checkpointed(scored)
     scored = scored.join(thresholds(scored, keys, detectors, method, share), keys, "left")
     flags, agree = [], F.lit(True)
     for d in detectors:
@@ -261,32 +260,25 @@ def detector_report(flagged: DataFrame, keys: Sequence[str], detectors: Sequence
     )
 
 
-def capped_sample(
-    df: DataFrame, flag: str, order: Sequence[str | Column], caps: dict[bool, int], salts: int = 64, seed: int | None = None
-) -> DataFrame:
+def capped_sample(df: DataFrame, flag: str, order: Sequence[str], caps: dict[bool, int], seed: int | None = None) -> DataFrame:
     """At most ``caps[flag]`` rows of each flag value, the first by ``order``; with a seed, by a hash of ``order``.
 
-    Rows are first cut within hash salts and then across them, so no task sorts a whole flag value.
+    A sorted limit keeps the best rows of each partition before anything is shuffled.
     """
-    columns = df.columns
-    parts = [F.col(o) if isinstance(o, str) else o for o in order]
-    salt = F.pmod(F.xxhash64(*parts), F.lit(salts))
-    ranked = parts if seed is None else [F.xxhash64(*parts, F.lit(seed)), *parts]
-    cap = F.when(F.col(flag), caps[True]).otherwise(caps[False])
-    local = Window.partitionBy(flag, "_salt").orderBy(*ranked)
-    cut = df.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(local)).filter(F.col("_rank") <= cap)
-    final = Window.partitionBy(flag).orderBy(*ranked)
-    return cut.withColumn("_rank", F.row_number().over(final)).filter(F.col("_rank") <= cap).select(*columns)
+    ranked = [*([] if seed is None else [F.xxhash64(*order, F.lit(seed))]), *order]
+    hits = df.filter(F.col(flag)).orderBy(*ranked).limit(caps[True])
+    others = df.filter(~F.coalesce(F.col(flag), F.lit(False))).orderBy(*ranked).limit(caps[False])
+    return hits.unionAll(others)
 
 
 def display_sample(
     flagged: DataFrame, flag: str, order: Sequence[str], seed: int | None = 42, points: int = 5000, outliers: int = 2000, normals: int = 1000
 ) -> DataFrame:
     """A sample to draw: up to ``outliers`` flagged rows, and normal rows up to the points left (``normals`` at least)."""
-    hits = flagged.filter(F.col(flag)).agg(F.least(F.count(F.lit(1)), F.lit(outliers)).alias("n")).scalar()
+    sample = capped_sample(flagged, flag, order, {True: outliers, False: points}, seed)
+    hits = flagged.agg(F.least(F.count_if(F.col(flag)), F.lit(outliers)).alias("n")).scalar()
     room = F.greatest(F.lit(normals), F.lit(points) - hits)
-    sample = capped_sample(flagged, flag, order, {True: outliers, False: points}, seed=seed)
-    ranked = [F.xxhash64(*order, F.lit(seed)), *order] if seed is not None else list(order)
+    ranked = [*([] if seed is None else [F.xxhash64(*order, F.lit(seed))]), *order]
     place = F.row_number().over(Window.partitionBy(flag).orderBy(*ranked))
     return sample.withColumn("_rank", place).filter(F.col(flag) | (F.col("_rank") <= room)).drop("_rank")
 

@@ -15,8 +15,9 @@ from gaugeline.operators.encode import calendar_features, encode
 from gaugeline.operators.evaluate import case_scores, score, summarise
 from gaugeline.operators.impute import impute_wide
 from gaugeline.operators.splits import event_split, walk_forward
-from gaugeline.operators.windows import engineer, horizon_targets
 from gaugeline.operators.reshape import predictions_wide
+from gaugeline.operators.windows import engineer, horizon_targets
+from gaugeline.session import checkpointed
 
 Fit = Callable[[DataFrame, list[str]], Callable[[DataFrame], DataFrame]]
 
@@ -80,7 +81,7 @@ def as_predictions(rows: DataFrame, ts: str, model: str, target: str) -> DataFra
 def preprocess(rows: DataFrame, ts: str, target: str, known: dict[str, Sequence] | None = None) -> DataFrame:
     """One fold's rows imputed per role, encoded with what the training rows show, with calendar columns."""
     carried = [ts, "idx", "step", "fold", "role", "y"]
-    body = impute_wide(rows, ts, [c for c in S.imputable_columns(rows.columns) if c not in carried], "role")
+    body = checkpointed(impute_wide(rows, ts, [c for c in S.imputable_columns(rows.columns) if c not in carried], "role"))
     keep = body.select("idx", "role", F.col(ts).alias("_at"), *[c for c in ("step", "fold", "y") if c in body.columns])
     plain = body.drop(*[c for c in ("step", "fold", "y") if c in body.columns])
     sides = plain.drop("role")
@@ -105,7 +106,10 @@ def general_mode(
     The mean and seasonal baselines are computed for all horizons and folds at once. Every entry of ``fits`` is a
     distributed fit per horizon and fold.
     """
-    split = walk_forward_rows(rows, ts, target, steps, folds, embargo)
+    # Every horizon, fold and fit reads these rows again.
+    split = walk_forward_rows(checkpointed(rows), ts, target, steps, folds, embargo)
+    if fits:
+        split = checkpointed(split)
     preds = as_predictions(ML.mean_baseline(split, ["step", "fold"]), ts, "DUMMY", target)
     for name, fit in (fits or {}).items():
         for step in steps:
@@ -123,7 +127,7 @@ def case_mode(
     rows: DataFrame, ts: str, target: str, steps: Sequence[int], start: str, end: str, fits: dict[str, Fit] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores of an event window (named ``_CASE_STUDY``), long predictions, and predictions wide by model and horizon."""
-    names, preds = ["DUMMY"], None
+    names, preds, rows = ["DUMMY"], None, checkpointed(rows)
     for step in steps:
         split = event_split(with_horizon(rows, target, step), ts, start, end, max(steps))
         made = as_predictions(ML.mean_baseline(split, ["step"]), ts, "DUMMY", target)
