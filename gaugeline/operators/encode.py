@@ -75,6 +75,12 @@ def categories(train: DataFrame, column: str, missing: int | str = 0, limit: int
     return found
 
 
+def label(value: object) -> str:
+    """A category as part of a column name; codes read as 4, also when held as 4.0."""
+    whole = isinstance(value, float) and value.is_integer()
+    return str(int(value) if whole else value).replace(".", "_")
+
+
 def one_hot(df: DataFrame, values: dict[str, Sequence], missing: int | str = 0) -> DataFrame:
     """Replace each column by one 0/1 column per known value; a value not listed gives all zeros."""
     out = []
@@ -83,7 +89,7 @@ def one_hot(df: DataFrame, values: dict[str, Sequence], missing: int | str = 0)
             out.append(F.col(c))
             continue
         filled = F.coalesce(F.col(c), F.lit(missing))
-        out += [F.when(filled == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in values[c]]
+        out += [F.when(filled == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{label(v)}") for v in values[c]]
     return df.select(*out)
 
 

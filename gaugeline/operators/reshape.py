@@ -130,7 +130,8 @@ def general_comparison(preds: DataFrame, models: Sequence[str], step: int, fold:
 
 def model_label(model: str = "model", rmse: str = "rmse") -> Column:
     """``NAME (RMSE: 1.23 cm)``, or the name alone without an RMSE."""
-    return F.coalesce(F.format_string("%s (RMSE: %.2f cm)", F.col(model), F.when(F.col(rmse).isNotNull(), F.col(rmse))), F.col(model))
+    text = F.format_string("%s (RMSE: %.2f cm)", F.col(model), F.col(rmse))
+    return F.when(F.col(rmse).isNotNull(), text).otherwise(F.col(model))
 
 
 def case_comparison(wide: DataFrame, step: int, after: str, date: str = "date") -> tuple[DataFrame, DataFrame]:

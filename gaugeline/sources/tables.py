@@ -105,7 +105,7 @@ def save_stage(df: DataFrame, folder: str, stage: str) -> DataFrame:
     writer = df.write.mode("overwrite")
     path = stage_path(folder, stage)
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def save_stages(folder: str, **frames: DataFrame | None) -> dict[str, DataFrame]:
