@@ -48,19 +48,25 @@ def fit_numeric(train: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
 def apply_numeric(df: DataFrame, fitted: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Fill with the group's median, subtract its mean and divide by its scale.
 
-    The fitted table is pivoted to one row per group and joined on the group; a column without any value stays NULL.
+    The fitted table is pivoted to one row per group and joined on the group; without groups its single row is a
+    scalar subquery. A column without any value stays NULL.
     """
     by = list(by)
+    names = [f"{c}_{p}" for c in columns for p in ("median", "mean", "scale")]
     wide = fitted.groupBy(*by).pivot("column", list(columns)).agg(
         F.first("median").alias("median"), F.first("mean").alias("mean"), F.first("scale").alias("scale")
     )
-    renamed = [F.col(f"`{c}_{p}`").alias(f"_{p}_{c}") for c in columns for p in ("median", "mean", "scale")]
-    joined = df.join(wide.select(*by, *renamed), by, "left")
+    packed = F.struct(*[F.col(f"`{n}`") for n in names]).alias("_fit")
+    if by:
+        joined = df.join(wide.select(*by, packed), by, "left")
+    else:
+        joined = df.withColumn("_fit", wide.select(packed).scalar())
+    fit = F.col("_fit")
     out = []
     for c in df.columns:
         if c in columns:
-            full = F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}"))
-            out.append(((full - F.col(f"_mean_{c}")) / F.col(f"_scale_{c}")).alias(c))
+            full = F.coalesce(F.col(c).cast("double"), fit[f"{c}_median"])
+            out.append(((full - fit[f"{c}_mean"]) / fit[f"{c}_scale"]).alias(c))
         else:
             out.append(F.col(c))
     return joined.select(*out)
@@ -101,10 +107,7 @@ def encode(train: DataFrame, df: DataFrame, target: str | None, by: Sequence[str
     numeric = [c for c in S.numeric_columns(df.columns, target) if c not in by]
     numeric = [c for c in numeric if dict(df.dtypes)[c] in ("double", "float", "bigint", "int")]
     routed = known or {c: categories(train, c, 0 if S.is_status(c) else "missing_value") for c in S.categorical_columns(df.columns, target)}
-    keys = list(by) or ["_all"]
-    if not by:
-        train, df = train.withColumn("_all", F.lit(0)), df.withColumn("_all", F.lit(0))
-    scaled = apply_numeric(df, fit_numeric(train, numeric, keys), numeric, keys)
+    scaled = apply_numeric(df, fit_numeric(train, numeric, by), numeric, by)
     text = {c: v for c, v in routed.items() if not S.is_status(c)}
     coded = one_hot(scaled, {c: v for c, v in routed.items() if S.is_status(c)})
-    return one_hot(coded, text, "missing_value").drop("_all")
+    return one_hot(coded, text, "missing_value")

@@ -22,6 +22,7 @@ from gaugeline.operators.clean import drop_negatives
 from gaugeline.operators.gaps import missing_rate
 from gaugeline.operators.grid import grid, one_per_slot
 from gaugeline.schema import SeriesSchema
+from gaugeline.session import checkpointed
 
 HALO = 60
 KNOTS = 4096
@@ -66,7 +67,8 @@ def solve_gaps(pos: np.ndarray, val: np.ndarray, left: np.ndarray) -> tuple[np.n
 
 
 def spline_points(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_gap: int, knots: int = KNOTS) -> DataFrame:
-    """(keys, idx, value) for every position inside an interior gap of at most ``max_gap`` positions.
+    """(keys, idx, value) for every position inside an interior gap of at most ``max_gap`` positions, for series of
+    at least four points.
 
     ``df`` holds at most one row per (keys, idx). Knots are numbered per series and sent in pieces of ``knots`` with a
     halo; pieces without a gap to fill are dropped before Python sees them.
@@ -88,9 +90,11 @@ def spline_points(df: DataFrame, keys: Sequence[str], idx: str, value: str, max_
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_knot")
-        left = np.flatnonzero(pdf["_fill"].to_numpy())
-        pos, out = solve_gaps(pdf[idx].to_numpy(dtype=float), pdf[value].to_numpy(dtype=float), left) if len(pdf) > 2 else ([], [])
-        made = {k: [pdf[k].iloc[0]] * len(pos) for k in keys}
+        pos, out = np.empty(0, dtype=np.int64), np.empty(0)
+        if len(pdf) >= MIN_POINTS:
+            left = np.flatnonzero(pdf["_fill"].to_numpy())
+            pos, out = solve_gaps(pdf[idx].to_numpy(dtype=float), pdf[value].to_numpy(dtype=float), left)
+        made = {k: pdf[k].iloc[np.zeros(len(pos), dtype=int)].array for k in keys}
         return pd.DataFrame({**made, idx: pos, value: out})
 
     return pieces.groupBy(*keys, "_piece").applyInPandas(fill, schema)
@@ -131,11 +135,13 @@ def fill_gaps(
     meta: DataFrame | None = None,
     keep_code: bool = False,
     dedupe: bool = True,
+    stations: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Readings on the full grid with short gaps filled, codes updated and metadata joined; and missing rates.
 
     Only readings on the grid take part. Equal timestamps of a station are reduced to one row. Filled rows get code 4;
-    values of a metric with at least four points are rounded to ``digits``.
+    values of a metric with at least four points are rounded to ``digits``. ``stations`` lists the stations to put on
+    the grid; without it, they are the ones in ``df``.
     """
     key, ts = schema.key, schema.ts
     values = [v for v in schema.values if v in df.columns]
@@ -145,7 +151,8 @@ def fill_gaps(
     exact = (slot_time(at, step, origin) == F.col(ts)) & at.between(0, last)
     readings = df.filter(exact).withColumn("_idx", at)
     if dedupe:
-        readings = one_per_slot(readings, [key, "_idx"], [ts])
+        # Read by the knots, the bounds, the filled rows and the missing rates; the shuffle is paid once.
+        readings = checkpointed(one_per_slot(readings, [key, "_idx"], [ts]))
     readings = readings.drop(ts)
 
     known = _long(readings, [key, "_idx"], values)
@@ -155,7 +162,7 @@ def fill_gaps(
     fills = fills.select(key, "_idx", *[F.col(v).alias(f"_fill_{v}") for v in values])
     enough = readings.groupBy(key).agg(*[(F.count(v) >= MIN_POINTS).alias(f"_enough_{v}") for v in values])
 
-    dense = grid(df, key, ts, lo, hi, step, "_idx").join(readings, [key, "_idx"], "left")
+    dense = grid(df if stations is None else stations, key, ts, lo, hi, step, "_idx").join(readings, [key, "_idx"], "left")
     before = missing_rate(dense, key, values[0], "before")
     joined = dense.join(fills, [key, "_idx"], "left").join(enough, key, "left")
     out = []
@@ -209,7 +216,8 @@ def impute_wide(
     """
     columns = list(columns) if columns is not None else [c for c in S.imputable_columns(df.columns) if c not in (ts, split)]
     keys = [split] if split else []
-    indexed = with_series_index(df, keys, ts, "_idx")
+    # Read by the knots, the bounds and the filled rows.
+    indexed = checkpointed(with_series_index(df, keys, ts, "_idx"))
     known = _long(indexed, [*keys, "_idx"], columns)
     signed = F.col("metric").contains("Temperatura")
     points = bounded_fill(known, [*keys, "metric"], "_idx", "value", signed, max_gap)

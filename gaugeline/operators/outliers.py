@@ -6,6 +6,7 @@ Both scores look at complete rows: rows that have a value for every metric the s
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -235,6 +236,22 @@ def remove_outliers(
     return flagged.select(*out)
 
 
+def compare_detectors(
+    df: DataFrame,
+    schema: SeriesSchema = SeriesSchema(),
+    station: str | None = None,
+    method: str = "iqr",
+    share: float = 0.95,
+    features: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Flagged rows and detector report of one station, or of all rows taken together as one group."""
+    rows = df.withColumn("_all", F.lit("all")) if station is None else df.filter(F.col(schema.key) == station).withColumn("_all", F.lit(station))
+    features = [f for f in (features or [*schema.values, *schema.meta]) if f in df.columns]
+    flagged = flag_outliers(rows, replace(schema, key="_all"), method, share, features=features)
+    report = detector_report(flagged, ["_all"]).withColumnRenamed("_all", schema.key)
+    return flagged.drop("_all"), report
+
+
 def detector_report(flagged: DataFrame, keys: Sequence[str], detectors: Sequence[str] = ("ecod", "pca")) -> DataFrame:
     """Threshold, number and percentage of outliers per station and detector."""
     rows = flagged.filter("_complete").select(

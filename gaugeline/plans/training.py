@@ -43,6 +43,8 @@ def add_features(
     at the end, and joins back on the row position.
     """
     columns = [c for c in (columns or S.feature_columns(rows.schema)) if c != "idx"]
+    # Read for the long form and again for the join.
+    rows = checkpointed(rows)
     long = rows.select("idx", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["idx"], columns, "name", "value")
     made = engineer(long, ["name"], "idx", ["value"], lags, windows, sums)
     kinds = [c for c in made.columns if c.startswith(S.ENGINEERED_PREFIXES)]

@@ -101,11 +101,12 @@ def imputation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return reports.imputation_summary(before, after, "station", "ts", ["level", "rain", "flow"])
 
 
-@query(f"""WITH {HOURLY}, m AS (UNPIVOT (SELECT station, avg(level) AS level, avg(rain) AS rain, avg(temp) AS temp FROM hourly GROUP BY station) ON level, rain, temp INTO NAME feature VALUE v)
+@query(f"""WITH {HOURLY}, m AS (UNPIVOT (SELECT station, avg(ln(1 + level)) AS level, avg(ln(1 + rain)) AS rain, avg(ln(21 + temp)) AS temp FROM hourly GROUP BY station) ON level, rain, temp INTO NAME feature VALUE v)
 SELECT feature, round(max(v) FILTER (station = 'click'), 6) AS click, round(max(v) FILTER (station = 'error'), 6) AS error, round(max(v) FILTER (station = 'purchase'), 6) AS purchase,
   round(max(v) FILTER (station = 'signup'), 6) AS signup, round(max(v) FILTER (station = 'view'), 6) AS "view" FROM m GROUP BY feature""")
 def initial_means(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(reports.initial_means(hourly(spark, sf), "station", ["level", "rain", "temp"], STATIONS))
+    logged = hourly(spark, sf).select("station", F.log1p("level").alias("level"), F.log1p("rain").alias("rain"), F.log1p(F.col("temp") + 20).alias("temp"))
+    return rounded(reports.initial_means(logged, "station", ["level", "rain", "temp"], STATIONS))
 
 
 @query("""SELECT lang, count(*) FILTER ((n_chars > 2000) <> (quality = 1)) AS errors,

@@ -116,6 +116,15 @@ def test_off_grid_duplicates_and_metadata(spark):
     assert set(got["Altitude"]) == {12.5}
 
 
+def test_long_series_and_short_ones(spark):
+    rows = [("a", i, None if i in (3, 4, 9) else float(i * i)) for i in range(15)] + [("b", i, None if i == 1 else 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "s string, idx long, v double").withColumn("c", F.lit(0).cast("bigint"))
+    got = I.impute_long(df, ["s"], "idx", "v", F.lit(False), max_gap=1, status="c").orderBy("s", "idx").toPandas()
+    a, b = got[got.s == "a"].reset_index(), got[got.s == "b"].reset_index()
+    assert np.isnan(a["v"][[3, 4]]).all() and abs(a["v"][9] - 81) < 0.5 and list(np.flatnonzero(a["c"] == 4)) == [9]
+    assert np.isnan(b["v"][1]) and (b["c"] == 0).all()
+
+
 def test_wide_columns_per_split(spark):
     n = 60
     rng = np.random.default_rng(8)

@@ -114,6 +114,19 @@ def test_consensus_and_removal(rows, method):
                 assert status == 0 and (value == was[c] or np.isnan(was[c]))
 
 
+def test_all_rows_as_one_group(rows):
+    df, pdf = rows
+    both = df.filter("station <> 'empty'")
+    flagged, report = O.compare_detectors(both, SCHEMA, features=["a", "b"])
+    x = pdf[pdf.station != "empty"].dropna(subset=["a", "b"])[["a", "b"]].to_numpy()
+    scores = ecod(x)
+    q1, q3 = np.percentile(scores, [25, 75])
+    got = {r["detector"]: r for r in report.collect()}
+    assert got["ecod"]["rows"] == len(x) and got["ecod"]["outliers"] == (scores > q3 + 1.5 * (q3 - q1)).sum()
+    one, _ = O.compare_detectors(both, SCHEMA, "pair", features=["a", "b"])
+    assert one.count() == 200 and one.columns[:2] == ["station", "i"]
+
+
 def test_unknown_method(rows):
     with pytest.raises(ValueError):
         O.flag_outliers(rows[0], SCHEMA, "other")
