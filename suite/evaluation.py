@@ -11,9 +11,8 @@ from gaugeline.operators import models as ML
 from gaugeline.operators import splits
 from gaugeline.operators.chunks import with_series_index
 from gaugeline.operators.windows import horizon_targets
-from gaugeline.plans import etl, training
-from gaugeline.schema import SeriesSchema
-from suite.frames import DAILY, HI, HOURLY, HOURLY_WIDE, LO, QUARTER_HOUR, STATIONS, daily_shipments, hourly, hourly_wide, quarter, rounded, table
+from gaugeline.plans import training
+from suite.frames import DAILY, HOURLY_WIDE, STATIONS, daily_shipments, hourly, hourly_wide, rounded, table
 from suite.registry import query
 from suite.reshaping import KGE, PREDS, predictions
 
@@ -204,17 +203,3 @@ def feature_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     rows = training.prepare(hourly_wide(spark, sf).select("ts", *[F.col(s).alias(f"level_{s}") for s in STATIONS]), "ts", "level_click")
     split = splits.event_split(training.with_horizon(rows, "level_click", 24), "ts", "2024-01-20", "2024-01-27", 24)
     return training.feature_snapshot(split, "ts", "DUMMY", "level_click")
-
-
-ETL = SeriesSchema(key="station", ts="ts", values=("level", "rain"), meta=(), signed=())
-
-
-@query()
-def etl_hourly_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw readings through cleaning, gap filling, consensus outlier removal and resampling to the wide frame."""
-    rules = {"level": "mean", "rain": "mean", "level_Status": "max"}
-    names = [f"{m}_{s}" for s in STATIONS for m in ("level", "level_Status", "rain")]
-    made = etl.build(
-        quarter(spark, sf).drop("temp"), schema=ETL, aliases={}, lo=LO, hi=HI, step=QUARTER_HOUR, rules=rules, names=names, fallback={}, max_fill_steps=8
-    )
-    return made["melted"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators import outliers
 from gaugeline.operators.impute import fill_gaps, impute_wide
+from gaugeline.plans import etl
 from gaugeline.schema import SeriesSchema
 from suite.frames import DENSE, HI, HOURLY_WIDE, LO, QUARTER, QUARTER_HOUR, SCHEMA, STATIONS, hourly_wide, quarter, rounded, table
 from suite.registry import query
@@ -31,21 +32,23 @@ def _ecod(source: str, features: list[str]) -> str:
 
 
 COMPLETE = QUARTER + ", comp AS (SELECT * FROM quarter WHERE level IS NOT NULL AND rain IS NOT NULL)"
-ECOD = COMPLETE + ", " + _ecod("comp", ["level", "rain"])
 # Two standardised metrics have the axes (1, 1) and (1, -1), with variance shares (1 + r) / 2 and (1 - r) / 2.
-SCORES = ECOD + """, st AS (SELECT station, avg(level) AS ml, avg(rain) AS mr, stddev_pop(level) AS sl, stddev_pop(rain) AS sr, corr(level, rain) AS r
+SCORED = ", " + _ecod("comp", ["level", "rain"]) + """, st AS (SELECT station, avg(level) AS ml, avg(rain) AS mr, stddev_pop(level) AS sl, stddev_pop(rain) AS sr, corr(level, rain) AS r
   FROM comp GROUP BY station), z AS (SELECT ec.*, (level - ml) / sl AS zl, (rain - mr) / sr AS zr, r FROM ec JOIN st USING (station)),
 scored AS (SELECT *, sqrt(pow(zl - sqrt(0.5), 2) + pow(zr - sqrt(0.5), 2)) / ((1 + r) / 2) + sqrt(pow(zl - sqrt(0.5), 2) + pow(zr + sqrt(0.5), 2)) / ((1 - r) / 2) AS pca FROM z)"""
 
 
+SCORES = COMPLETE + SCORED
+
+
 def _limit(score: str, method: str) -> str:
     if method == "iqr":
         return f"quantile_cont({score}, 0.75) + 1.5 * (quantile_cont({score}, 0.75) - quantile_cont({score}, 0.25))"
     return f"quantile_cont({score}, {method})"
 
 
-def _flagged(method: str) -> str:
-    return SCORES + f""", lim AS (SELECT station, {_limit('ecod', method)} AS ecod_threshold, {_limit('pca', method)} AS pca_threshold FROM scored GROUP BY station),
+def _flagged(method: str, complete: str = COMPLETE) -> str:
+    return complete + SCORED + f""", lim AS (SELECT station, {_limit('ecod', method)} AS ecod_threshold, {_limit('pca', method)} AS pca_threshold FROM scored GROUP BY station),
     flagged AS (SELECT s.*, ecod_threshold, pca_threshold, ecod > ecod_threshold AS ecod_outlier, pca > pca_threshold AS pca_outlier,
       ecod > ecod_threshold AND pca > pca_threshold AS is_outlier FROM scored s JOIN lim USING (station))"""
 
@@ -200,3 +203,27 @@ def wide_impute(spark: SparkSession, sf: str) -> DataFrame:
     )
     made = impute_wide(wide, "ts", [f"level_{s}" for s in STATIONS], "split", 3)
     return made.withColumns({f"level_{s}": F.col(f"level_{s}") + F.lit(0.0) for s in STATIONS})
+
+
+def _wide_cells(metrics: list[str]) -> str:
+    return ", ".join(f"max({m}) FILTER (station = '{s}') AS \"{m}_{s}\"" for s in STATIONS for m in metrics)
+
+
+# The stages one after the other: fill, flag, remove, hourly means, wide.
+STAGED = FILLED + f""", filled AS (SELECT d.station, d.ts, {_even('coalesce(d.level, f_level.fill)', 1)} AS level, {_even('coalesce(d.rain, f_rain.fill)', 1)} AS rain,
+  CASE WHEN d.level IS NULL THEN 4 ELSE coalesce(d."level_Status", 0) END AS status FROM dense d {JOINS}),
+comp AS (SELECT * FROM filled WHERE level IS NOT NULL AND rain IS NOT NULL)"""
+
+
+@query(f"""{_flagged('iqr', STAGED)}, kept AS (SELECT f.station, date_trunc('hour', f.ts) AS ts, coalesce(is_outlier, false) AS gone, f.level, f.rain, f.status FROM filled f LEFT JOIN flagged USING (station, ts)),
+hourly AS (SELECT station, ts, {_even('avg(CASE WHEN NOT gone THEN level END)', 3)} AS level, CAST(max(CASE WHEN gone THEN 5 ELSE status END) AS DOUBLE) AS "level_Status",
+  {_even('avg(CASE WHEN NOT gone THEN rain END)', 3)} AS rain FROM kept GROUP BY 1, 2)
+SELECT ts, {_wide_cells(['level', '"level_Status"', 'rain'])} FROM hourly GROUP BY ts""".replace('""level_Status"_', '"level_Status_'))
+def etl_hourly_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw readings through cleaning, gap filling, consensus outlier removal and resampling to the wide frame."""
+    rules = {"level": "mean", "rain": "mean", "level_Status": "max"}
+    names = [f"{m}_{s}" for s in STATIONS for m in ("level", "level_Status", "rain")]
+    made = etl.build(
+        quarter(spark, sf).drop("temp"), schema=QC, aliases={}, lo=LO, hi=HI, step=QUARTER_HOUR, rules=rules, names=names, fallback={}, max_fill_steps=LIMIT
+    )["melted"]
+    return made.select("ts", *[(F.col(n) + F.lit(0.0)).alias(n) for n in names])
