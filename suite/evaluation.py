@@ -13,6 +13,8 @@ from gaugeline.operators.chunks import with_series_index
 from gaugeline.operators.windows import horizon_targets
 from gaugeline.plans import training
 from suite.frames import DAILY, HOURLY_WIDE, STATIONS, daily_shipments, hourly, hourly_wide, rounded, table
+from suite.features import CALENDAR
+from suite.quality import spline_sql
 from suite.registry import query
 from suite.reshaping import KGE, PREDS, predictions
 
@@ -153,15 +155,35 @@ def arx_design(spark: SparkSession, sf: str) -> DataFrame:
     return ML.arx_frame(daily_shipments(spark, sf), ["station"], "idx", "value", step=7, order=2).drop("ts", "value")
 
 
-@query()
+TERMS = ["ar_1", "ar_2", "ar_3", "sar_1"]
+
+
+def _least_squares(rows: str, terms: list[str], response: str) -> str:
+    """CTEs to ``fitted`` with column ``hat``: each term is freed of the ones before it, with factors from the training rows."""
+    named = ", ".join(f"{t} - (SELECT avg({t}) FILTER (train) FROM {rows}) AS {t}_0" for t in terms)
+    out = [f"o0 AS (SELECT *, {named}, (SELECT avg({response}) FILTER (train) FROM {rows}) AS hat_0 FROM {rows})"]
+    for i, t in enumerate(terms):
+        mine = f"{t}_{i}"
+        share = lambda c: f"(SELECT sum({mine} * {c}) FILTER (train) / sum({mine} * {mine}) FILTER (train) FROM o{i}) * {mine}"  # noqa: E731, B023
+        freed = "".join(f", {o}_{i} - {share(f'{o}_{i}')} AS {o}_{i + 1}" for o in terms[i + 1 :])
+        out.append(f"o{i + 1} AS (SELECT *, hat_{i} + {share(response)} AS hat_{i + 1}{freed} FROM o{i})")
+    return ", ".join(out)
+
+
+CHANGES = DAILY + """, ch AS (SELECT station, ts, value, value - lag(value, 1) OVER w AS ar_1, lag(value, 1) OVER w - lag(value, 2) OVER w AS ar_2, lag(value, 2) OVER w - lag(value, 3) OVER w AS ar_3,
+  lag(value, 17) OVER w - lag(value, 24) OVER w AS sar_1, lead(value, 7) OVER w - value AS dy FROM daily WINDOW w AS (PARTITION BY station ORDER BY idx)),
+al AS (SELECT station, ts, value, dy, coalesce(ar_1, 0) AS ar_1, coalesce(ar_2, 0) AS ar_2, coalesce(ar_3, 0) AS ar_3, coalesce(sar_1, 0) AS sar_1,
+  ts < TIMESTAMP '2000-06-01' AND ar_1 IS NOT NULL AND ar_2 IS NOT NULL AND ar_3 IS NOT NULL AND sar_1 IS NOT NULL AS train FROM ch WHERE dy IS NOT NULL)"""
+
+
+@query(f"WITH {CHANGES}, {_least_squares('al', TERMS, 'dy')} SELECT station, ts, value + dy AS y_true, round(value + hat_4, 4) AS y_pred FROM o4 WHERE ts >= TIMESTAMP '2000-06-01'")
 def seasonal_arx(spark: SparkSession, sf: str) -> DataFrame:
-    features = ["ar_1", "ar_2", "ar_3", "sar_1"]
     rows = ML.arx_frame(daily_shipments(spark, sf), ["station"], "idx", "value", step=7)
     cut = F.lit("2000-06-01").cast("timestamp_ntz")
-    model = ML.fit_arx(rows.filter(F.col("ts") < cut), features)
+    model = ML.fit_arx(rows.filter(F.col("ts") < cut), TERMS)
     test = rows.filter((F.col("ts") >= cut) & F.col("dy").isNotNull())
-    scored = ML.predict(model, test, features, "dy_hat")
-    return scored.select("station", "ts", (F.col("value") + F.col("dy")).alias("y_true"), (F.col("value") + F.col("dy_hat")).alias("y_pred"))
+    scored = ML.predict(model, test, TERMS, "dy_hat")
+    return rounded(scored.select("station", "ts", (F.col("value") + F.col("dy")).alias("y_true"), (F.col("value") + F.col("dy_hat")).alias("y_pred")), 4)
 
 
 def _supervised(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -198,8 +220,22 @@ def parameter_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("candidate", F.col("params")["max_depth"].alias("max_depth"), "rmse")
 
 
-@query()
+COLS = [f"level_{s}" for s in STATIONS]
+SNAP = HOURLY_WIDE + f""", r1 AS (SELECT ts, ln(1 + click) AS level_click, {', '.join(f'"{s}" AS level_{s}' for s in STATIONS if s != 'click')}, row_number() OVER (ORDER BY ts) - 1 AS idx FROM wide WHERE click IS NOT NULL),
+r2 AS (SELECT *, lead(level_click, 24) OVER (ORDER BY idx) AS y FROM r1),
+r3 AS (SELECT *, count(*) FILTER (ts < TIMESTAMP '2024-01-20') OVER () AS known FROM r2 WHERE y IS NOT NULL AND ts < TIMESTAMP '2024-01-27'),
+r4 AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 'test' WHEN idx >= known - 24 THEN 'val' ELSE 'train' END AS role FROM r3),
+ix AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY ts) - 1 AS place FROM r4),
+points AS ({' UNION ALL '.join(f"SELECT role || '|{c}' AS series, place AS idx, {c} AS value FROM ix WHERE {c} IS NOT NULL" for c in COLS)}), {spline_sql('points', 96)},
+full_ AS (SELECT ix.ts, ix.idx, role, y, {', '.join(f'round_even(coalesce(ix.{c}, f_{c}.fill) * 1000, 0) / 1000 AS {c}' for c in COLS)} FROM ix
+  {' '.join(f"LEFT JOIN fills f_{c} ON f_{c}.series = role || '|{c}' AND f_{c}.idx = ix.place" for c in COLS)}),
+med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS d_{c}' for c in COLS)} FROM full_ WHERE role = 'train'),
+fit AS (SELECT {', '.join(f'avg(coalesce({c}, d_{c})) AS a_{c}, stddev_pop(coalesce({c}, d_{c})) AS s_{c}' for c in COLS)} FROM full_, med WHERE role = 'train')"""
+
+
+@query(f"""WITH RECURSIVE {SNAP} SELECT idx, ts, role AS split, CAST(24 AS INTEGER) AS step, round(y, 6) AS target, 'DUMMY' AS model_name,
+{', '.join(f'round((coalesce({c}, d_{c}) - a_{c}) / s_{c}, 6) + 0.0 AS {c}' for c in COLS)}, {CALENDAR} FROM full_, med, fit""")
 def feature_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     rows = training.prepare(hourly_wide(spark, sf).select("ts", *[F.col(s).alias(f"level_{s}") for s in STATIONS]), "ts", "level_click")
     split = splits.event_split(training.with_horizon(rows, "level_click", 24), "ts", "2024-01-20", "2024-01-27", 24)
-    return training.feature_snapshot(split, "ts", "DUMMY", "level_click")
+    return rounded(training.feature_snapshot(split, "ts", "DUMMY", "level_click"))

@@ -25,8 +25,11 @@ def _cycle(part: str, period: str, name: str) -> str:
     return f"round(sin({PI2} * {part} / {period}), 6) + 0.0 AS {name}_sin, round(cos({PI2} * {part} / {period}), 6) + 0.0 AS {name}_cos"
 
 
-@query(f"""SELECT event_id, CAST(year(ts) AS DOUBLE) AS year, {_cycle('month(ts)', '12', 'month')}, {_cycle('hour(ts)', '24', 'hour')}, {_cycle('dayofyear(ts)', '365', 'dayofyear')},
-{_cycle('(isodow(ts) - 1)', '7', 'dayofweek')}, {_cycle('day(ts)', 'day(last_day(ts))', 'day')} FROM events""")
+CALENDAR = f"""CAST(year(ts) AS DOUBLE) AS year, {_cycle('month(ts)', '12', 'month')}, {_cycle('hour(ts)', '24', 'hour')}, {_cycle('dayofyear(ts)', '365', 'dayofyear')},
+{_cycle('(isodow(ts) - 1)', '7', 'dayofweek')}, {_cycle('day(ts)', 'day(last_day(ts))', 'day')}"""
+
+
+@query(f"SELECT event_id, {CALENDAR} FROM events")
 def calendar_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.calendar_features(table(spark, sf, "events").select("event_id", "ts"), "ts"))
 
