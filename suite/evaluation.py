@@ -51,10 +51,10 @@ def last_fold(spark: SparkSession, sf: str) -> DataFrame:
     return predictions(spark, sf).agg(F.max("fold").alias("fold"))
 
 
-@query("""WITH r AS (SELECT event_type, user_id, avg(value) AS rmse FROM events GROUP BY ALL)
+@query("""WITH r AS (SELECT event_type, user_id, avg(sqrt(value)) AS rmse FROM events GROUP BY ALL)
 SELECT event_type AS model, CAST(arg_min(user_id, rmse) AS VARCHAR) AS best_user, round(min(rmse), 6) AS rmse, CAST(1 AS INTEGER) AS params_left FROM r GROUP BY event_type""")
 def best_run(spark: SparkSession, sf: str) -> DataFrame:
-    log = table(spark, sf, "events").groupBy(F.col("event_type").alias("model"), "user_id").agg(F.avg("value").alias("rmse"))
+    log = table(spark, sf, "events").groupBy(F.col("event_type").alias("model"), "user_id").agg(F.avg(F.sqrt("value")).alias("rmse"))
     runs = log.select(
         "model", F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("absent"), F.lit(None).cast("string")).alias("params"),
         F.create_map(F.lit("rmse"), F.col("rmse")).alias("metrics"),

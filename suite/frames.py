@@ -28,16 +28,19 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as raw readings: level with a manual fallback, rain, a temperature that may be negative, a code."""
-    e = F.col("event_id")
+    """Events as raw readings: level with a manual fallback, rain, a temperature that may be negative, a code.
+
+    Roots have no short decimals, so means of them do not sit between two rounded values; both sides round alike.
+    """
+    e, root = F.col("event_id"), F.sqrt("value")
     return table(spark, sf, "events").select(
         F.col("event_type").alias("station"),
         "ts",
         "event_id",
-        F.when(e % 5 != 0, F.col("value")).alias("level"),
-        F.when(e % 7 == 0, F.col("value")).alias("manual"),
-        F.get_json_object("props", "$.k").cast("double").alias("rain"),
-        (F.col("value") - 20).alias("temp"),
+        F.when(e % 5 != 0, root).alias("level"),
+        F.when(e % 7 == 0, root).alias("manual"),
+        F.sqrt(F.get_json_object("props", "$.k").cast("double")).alias("rain"),
+        (root - 4).alias("temp"),
         F.when(e % 3 != 0, e % 4).alias("level_Status"),
     )
 
@@ -88,10 +91,10 @@ def daily_shipments(spark: SparkSession, sf: str) -> DataFrame:
 
 TEL = """tel AS (
   SELECT event_type AS station, ts, event_id,
-    CASE WHEN event_id % 5 <> 0 THEN value END AS level,
-    CASE WHEN event_id % 7 = 0 THEN value END AS manual,
-    CAST(json_extract_string(props, '$.k') AS DOUBLE) AS rain,
-    value - 20 AS temp,
+    CASE WHEN event_id % 5 <> 0 THEN sqrt(value) END AS level,
+    CASE WHEN event_id % 7 = 0 THEN sqrt(value) END AS manual,
+    sqrt(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS rain,
+    sqrt(value) - 4 AS temp,
     CASE WHEN event_id % 3 <> 0 THEN event_id % 4 END AS "level_Status"
   FROM events)"""
 QUARTER = TEL + """, quarter AS (

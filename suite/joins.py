@@ -47,7 +47,7 @@ def insert_absent(spark: SparkSession, sf: str) -> DataFrame:
 def _run(spark: SparkSession, sf: str, late: bool) -> DataFrame:
     events = table(spark, sf, "events").filter((F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")) == F.lit(late))
     return events.groupBy(F.col("event_type").alias("model_name"), F.lit("level").alias("target_column"), (F.hour("ts") % 3).alias("step")).agg(
-        F.avg("value").alias("rmse"), F.max("value").alias("mae")
+        F.avg(F.sqrt("value")).alias("rmse"), F.max("value").alias("mae")
     )
 
 
@@ -62,7 +62,7 @@ def _upsert(runs: str) -> str:
 
 
 RUNS = """r AS (SELECT event_type AS model_name, 'level' AS target_column, CAST(hour(ts) % 3 AS INTEGER) AS step, ts >= TIMESTAMP '2024-01-16' AS late,
-  avg(value) AS rmse, max(value) AS mae FROM events GROUP BY ALL),
+  avg(sqrt(value)) AS rmse, max(value) AS mae FROM events GROUP BY ALL),
 cur AS (SELECT model_name, target_column, step, rmse, mae FROM r WHERE late AND model_name <> 'view'),
 old AS (SELECT model_name || '_BEST' AS model_name, target_column, step, rmse, mae FROM r WHERE NOT late AND model_name <> 'click')"""
 
