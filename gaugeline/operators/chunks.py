@@ -102,7 +102,8 @@ def number_sorted(
     before = Window.partitionBy(*by).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
     spread = joined.withColumn("_start", start)
-    return spread.select(*columns, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1)).alias(name))
+    made = expand_slots(spread, sort, F.col("_start"), F.col("_start") + F.col("_copies") - 1, name)
+    return made.select(*columns, name)
 
 
 def with_series_index(
@@ -129,15 +130,17 @@ def expand_slots(df: DataFrame, keys: Sequence[str], first: Column, last: Column
     """One row per whole number from ``first`` to ``last``, both inclusive.
 
     Expanded in two steps with a shuffle of the short chunk list between them, so that a long range of one series is
-    produced by many tasks.
+    produced by many tasks. The number of partitions is given, because the list is small before it is expanded and
+    adaptive execution would merge it into few tasks.
     """
     rows = F.lit(MIN_CHUNK)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = (
         df.withColumn("_first", first.cast("bigint"))
         .withColumn("_last", last.cast("bigint"))
         .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                    F.floor((F.col("_last") - F.col("_first")) / rows))))
-        .repartition(*keys, "_piece")
+        .repartition(tasks, *keys, "_piece")
     )
     low = F.col("_first") + F.col("_piece") * rows
     return pieces.withColumn(name, F.explode(F.sequence(low, F.least(low + rows - 1, F.col("_last"))))).drop(

@@ -70,10 +70,12 @@ def imputation_distribution(flags: DataFrame, keys: Sequence[str] = ()) -> DataF
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) -> DataFrame:
     """Counts per equal-width bin of each group's range; the highest value falls into the last bin."""
     span = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    if not keys:
+        low, high = df.agg(F.min(value).alias("low")).scalar(), df.agg(F.max(value).alias("high")).scalar()
     share = ratio((F.col(value) - F.col("low")) * bins, F.col("high") - F.col("low"))
     number = F.least(F.floor(F.coalesce(share, F.lit(0.0))) + 1, F.lit(bins)).cast("bigint")
     present = df.filter(F.col(value).isNotNull())
-    joined = present.join(span, list(keys)) if keys else present.join(F.broadcast(span))
+    joined = present.join(span, list(keys)) if keys else present.withColumn("low", low).withColumn("high", high)
     return joined.groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

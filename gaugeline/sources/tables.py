@@ -92,16 +92,18 @@ def stage_path(folder: str, stage: str) -> str:
     return f"{folder}/{STAGE_TABLES[stage]}"
 
 
-def save_stage(df: DataFrame, folder: str, stage: str) -> DataFrame:
+def save_stage(df: DataFrame, folder: str, stage: str, by: Sequence[str] | None = None) -> DataFrame:
     """Overwrite a stage's files and return a frame that reads them.
 
-    Rows are gathered by the partition column and time range before the write, so that a task writes few files and a
+    ``by`` replaces the usual partition columns; give none for very many stations, whose files then are found by the
+    ranges they are sorted into. Rows are gathered by the partition column and time range before the write, so that a task writes few files and a
     station with many rows is spread over several tasks.
     """
-    by = [c for c in PARTITIONED_BY.get(stage, []) if c in df.columns]
+    usual = [c for c in PARTITIONED_BY.get(stage, []) if c in df.columns]
+    by = usual if by is None else list(by)
     ts = next((c for c in (S.TS, "date") if c in df.columns), None)
-    if by and ts:
-        df = df.repartitionByRange(*by, ts)
+    if usual and ts:
+        df = df.repartitionByRange(*usual, ts).sortWithinPartitions(*usual, ts)
     writer = df.write.mode("overwrite")
     path = stage_path(folder, stage)
     (writer.partitionBy(*by) if by else writer).parquet(path)

@@ -41,6 +41,16 @@ def test_numbering_of_hot_times_and_copies(spark):
             assert part["at"].is_monotonic_increasing
 
 
+def test_many_copies_are_unfolded_by_many_tasks(spark):
+    df = frame(spark, [("a", 1), ("a", 2), ("a", 3)], "s string, at long")
+    df = df.withColumn("n", F.when(F.col("at") == 2, 60_000).otherwise(1)).select("s", "at", "ts", F.explode(F.sequence(F.lit(1), "n")).alias("_")).drop("_")
+    got = C.with_series_index(df, ["s"], "ts", copies=True)
+    row = got.agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.max("idx").alias("hi")).first()
+    assert (row["n"], row["d"], row["hi"]) == (60_002, 60_002, 60_001)
+    assert got.filter("at = 3").first()["idx"] == 60_001
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_numbering_of_a_whole_frame(spark):
     df = frame(spark, [(int(t),) for t in np.random.default_rng(3).permutation(5000)], "at long")
     got = C.with_series_index(df, [], "ts", bucket_seconds=60)

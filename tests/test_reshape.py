@@ -64,6 +64,11 @@ def test_histogram_of_equal_values(spark):
     assert got == [("a", 1, 5)]
 
 
+def test_histogram_without_groups(spark):
+    got = reports.histogram(spark.range(101).select(F.col("id").cast("double").alias("v")), [], "v", 4).orderBy("bin").collect()
+    assert [tuple(r) for r in got] == [(1, 25), (2, 25), (3, 25), (4, 26)]
+
+
 def test_correlation_of_sparse_columns(spark):
     pdf = pd.DataFrame({"a": [1.0, 2, 3, 4], "b": [2.0, 1, 4, 3], "k": [5.0] * 4})
     got = {(r["a"], r["b"]): r["r"] for r in reports.correlation_matrix(spark.createDataFrame(pdf), ["a", "b", "k"]).collect()}
