@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import clip, half_even, micros_of, slot, slot_time
-from gaugeline.operators.chunks import chunk_of, number_rows, with_series_index
+from gaugeline.operators.chunks import chunk_of, number_rows, number_sorted, with_series_index
 from gaugeline.operators.clean import drop_negatives
 from gaugeline.operators.gaps import missing_rate
 from gaugeline.operators.grid import grid, one_per_slot
@@ -139,7 +139,8 @@ def fill_gaps(
 ) -> tuple[DataFrame, DataFrame]:
     """Readings on the full grid with short gaps filled, codes updated and metadata joined; and missing rates.
 
-    Only readings on the grid take part. Equal timestamps of a station are reduced to one row. Filled rows get code 4;
+    Only readings on the grid take part. Equal timestamps of a station are reduced to one row; with ``dedupe=False``
+    they stay, and the spline runs over row positions, which they shift. Filled rows get code 4;
     values of a metric with at least four points are rounded to ``digits``. ``stations`` lists the stations to put on
     the grid; without it, they are the ones in ``df``.
     """
@@ -154,17 +155,21 @@ def fill_gaps(
         # Read by the knots, the bounds, the filled rows and the missing rates; the shuffle is paid once.
         readings = checkpointed(one_per_slot(readings, [key, "_idx"], [ts]))
     readings = readings.drop(ts)
+    dense = grid(df if stations is None else stations, key, ts, lo, hi, step, "_idx").join(readings, [key, "_idx"], "left")
+    place, source = "_idx", readings
+    if not dedupe:
+        place = "_row"
+        source = dense = number_sorted(dense, [key], ["_idx", *values], place)
 
-    known = _long(readings, [key, "_idx"], values)
+    known = _long(source, [key, place], values)
     signed = F.col("metric").isin(list(schema.signed))
-    points = bounded_fill(known, [key, "metric"], "_idx", "value", signed, max_fill_steps)
-    fills = points.groupBy(key, "_idx").pivot("metric", values).agg(F.first("value"))
-    fills = fills.select(key, "_idx", *[F.col(v).alias(f"_fill_{v}") for v in values])
+    points = bounded_fill(known, [key, "metric"], place, "value", signed, max_fill_steps)
+    fills = points.groupBy(key, place).pivot("metric", values).agg(F.first("value"))
+    fills = fills.select(key, place, *[F.col(v).alias(f"_fill_{v}") for v in values])
     enough = readings.groupBy(key).agg(*[(F.count(v) >= MIN_POINTS).alias(f"_enough_{v}") for v in values])
 
-    dense = grid(df if stations is None else stations, key, ts, lo, hi, step, "_idx").join(readings, [key, "_idx"], "left")
     before = missing_rate(dense, key, values[0], "before")
-    joined = dense.join(fills, [key, "_idx"], "left").join(enough, key, "left")
+    joined = dense.join(fills, [key, place], "left").join(enough, key, "left")
     out = []
     for c in dense.columns:
         main = c.removesuffix(schema.status_suffix)
@@ -173,7 +178,7 @@ def fill_gaps(
             out.append(F.when(F.col(f"_enough_{c}"), half_even(full, digits)).otherwise(full).alias(c))
         elif c != main and main in values:
             out.append(F.when(F.col(f"_fill_{main}").isNotNull(), F.lit(S.FILLED).cast("bigint")).otherwise(F.col(c)).alias(c))
-        elif c != "_idx":
+        elif c not in ("_idx", place):
             out.append(F.col(c))
     filled = joined.select(*out)
     after = missing_rate(filled, key, values[0], "after")

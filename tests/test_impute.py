@@ -116,6 +116,15 @@ def test_off_grid_duplicates_and_metadata(spark):
     assert set(got["Altitude"]) == {12.5}
 
 
+def test_kept_duplicates_shift_the_knots(spark):
+    df = grid_values(spark, [1.0, 2.0, None, 4.0, 9.0, 7.0])
+    twin = df.filter("level = 2.0").withColumn("level", F.lit(2.5))
+    got, _ = fill(spark, df.unionByName(twin), 2, dedupe=False)
+    assert len(got) == 97
+    want = dense_spline(np.array([0.0, 1, 2, 4, 5, 6]), np.array([1.0, 2, 2.5, 4, 9, 7]), [3])
+    assert list(got["level"][got["ts"] == pd.Timestamp("2024-01-01 00:30:00")]) == list(np.round(want, 1))
+
+
 def test_long_series_and_short_ones(spark):
     rows = [("a", i, None if i in (3, 4, 9) else float(i * i)) for i in range(15)] + [("b", i, None if i == 1 else 1.0) for i in range(3)]
     df = spark.createDataFrame(rows, "s string, idx long, v double").withColumn("c", F.lit(0).cast("bigint"))
