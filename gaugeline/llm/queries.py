@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.llm import packing, sharding
+from gaugeline.llm import decontam, ngram_join, packing, sharding
 from gaugeline.llm.common import table
 
 CATALOGUE: dict[str, tuple] = {}
@@ -24,6 +24,17 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query()
+def op7_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontam.digest(decontam.mark(docs, table(spark, folder, "benchmark")))
+
+
+@query()
+def op8_skip_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 @query()
 def op9_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
