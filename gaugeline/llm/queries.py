@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeline.llm import decontam, ngram_join, packing, sharding
-from gaugeline.llm.common import table
+from gaugeline.llm import decontam, ngram_join, packing, quality, sharding, toxicity
+from gaugeline.llm.common import one_in, table
 
 CATALOGUE: dict[str, tuple] = {}
 
@@ -24,6 +25,25 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def grades(labels: DataFrame) -> DataFrame:
+    """The ratings of ``labels`` as grades: 0 low quality, 1 good but toxic, 2 good."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+@query()
+def op2_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, grades(table(spark, folder, "labels")), levels=3))
+
+
+@query()
+def op6_noisy_or_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", one_in(F.col("doc_id"), 5).alias("held_out"), "score", "predicted", "worst_sentence", "offending")
+
+
 @query()
 def op7_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
