@@ -19,7 +19,7 @@ from gaugeline.session import checkpointed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of the word cache of a Python worker: bounds its memory, never the result.
-CACHE = 600_000
+CACHE = 1_000_000
 
 
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -37,17 +37,24 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer, heads, tails = store[path]
 
     def raw(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    signs = dict(zip(".,", raw([".", ","])))
 
     def known(cache: dict, parts: set[str], blank: str) -> None:
-        if missing := [p for p in parts if p not in cache]:
+        if missing := parts.difference(cache):
             if len(cache) + len(missing) > CACHE:
                 cache.clear()
-                missing = list(parts)
-            cache.update(zip(missing, raw([blank + p for p in missing])))
+                missing = parts
+            # A stop or comma after letters is a pre-token of its own, so the word before it is looked up instead.
+            words = {p[:-1] if p[-1:] in (".", ",") and p[-2:-1].isalpha() else p for p in missing}
+            words = list(words.difference(cache))
+            cache.update(zip(words, raw([blank + w for w in words])))
             for p in missing:
                 if not p or not (p[-1].isalnum() or "!" <= p[-1] <= "~"):
                     cache[p] = None  # the next blank may belong to white space before it
+                elif p not in cache:
+                    cache[p] = cache[p[:-1]] + signs[p[-1]]
 
     def slow(text: str) -> bytes:
         parts = re.split("(?<=[!-~]) ", text)

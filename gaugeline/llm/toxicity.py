@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import one_in, pieces_of, spaced_words
 
 BLOCK = 4 << 20
+#: Lengths of the beginnings of words that are features beside the words.
+BEGINNINGS = (3, 4, 5, 6, 7)
 #: Letters and digits are kept (A-Z lower-cased), sentence ends and line ends become a line end, all else a blank.
 _SIGNS = bytes(10 if b in b".!?\n" else ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
 
 
-def sentences(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashed words of all texts, the words of each sentence and the sentences of each text (without empty ones)."""
+def sentences(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts as places in their vocabulary, the words of each sentence, the sentences of each text (without
+    empty ones), and per word of the vocabulary its hashed features: the word and its beginnings, which inflected forms
+    share. A beginning as long as the word is no feature; its place is the one past the end."""
     parts = [[s for s in (t or "").encode().translate(_SIGNS).split(b"\n") if s.strip()] for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
     flat, words = spaced_words(pa.array([s for p in parts for s in p], pa.string()))
-    coded = flat.dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) & (1 << bits) - 1 for w in coded.dictionary.to_pylist()], np.int64)
-    return (hashes[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)), words, counts
+    coded, mask, none = flat.dictionary_encode(), (1 << bits) - 1, 1 << bits
+    digest = xxhash.xxh3_64_intdigest
+    found = [[digest(w) & mask, *(digest(w[:k], k) & mask if len(w) > k else none for k in BEGINNINGS)] for w in coded.dictionary.to_pylist()]
+    return coded.indices.to_numpy(), words, counts, np.array(found, np.int64).reshape(-1, 1 + len(BEGINNINGS))
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -34,8 +39,9 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def _logits(weights: np.ndarray, bias: float, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return bias + np.bincount(np.repeat(np.arange(len(counts)), counts), weights[words], len(counts))
+def _logits(weights: np.ndarray, bias: float, words: np.ndarray, counts: np.ndarray, features: np.ndarray) -> np.ndarray:
+    each = np.append(weights, 0.0)[features].sum(1)
+    return bias + np.bincount(np.repeat(np.arange(len(counts)), counts), each[words], len(counts))
 
 
 def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: float = 0.05, decay: float = 1e-4, least: int = 5) -> tuple[np.ndarray, float]:
@@ -43,15 +49,20 @@ def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: floa
     documents of the sample get no weight: they could only be learned by heart.
 
     P(document) = 1 - prod(1 - p(sentence)); with S = sum of softplus(logit), the gradient of the log loss with respect
-    to a logit is sigmoid(logit) * ((1 - y) - y * exp(-S) / (1 - exp(-S))). Adam over batches in a fixed order.
+    to a logit is sigmoid(logit) * ((1 - y) - y * exp(-S) / (1 - exp(-S))). Adam over batches in a fixed order, the rate falling to 0.
     """
-    words, counts, per_doc = sentences(texts, bits)
+    words, counts, per_doc, features = sentences(texts, bits)
     first_word = np.concatenate([[0], counts.cumsum()])
     first_sentence = np.concatenate([[0], per_doc.cumsum()])
-    w, bias, m, v, step = np.zeros(1 << bits), -4.0, np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1), 0
-    pairs = np.unique(np.repeat(np.repeat(np.arange(len(per_doc)), per_doc), counts) << bits | words)
-    known = np.bincount(pairs & (1 << bits) - 1, minlength=1 << bits) >= least
+    pairs = np.unique(np.repeat(np.repeat(np.arange(len(per_doc)), per_doc), counts) << 32 | words)
+    within = np.bincount(pairs & (1 << 32) - 1, minlength=len(features))
+    slots = np.flatnonzero(np.bincount(features.ravel(), np.repeat(within, features.shape[1]), 1 << bits)[: 1 << bits] >= least)
+    size, place = len(slots), np.full((1 << bits) + 1, len(slots))
+    place[slots] = np.arange(size)
+    features = place[features]
+    w, bias, m, v, step = np.zeros(size), -4.0, np.zeros(size + 1), np.zeros(size + 1), 0
     order = np.argsort([xxhash.xxh3_64_intdigest(t) for t in texts], kind="stable")
+    total = epochs * max(1, len(order) // 500) + 1
     for _ in range(epochs):
         for batch in np.array_split(order, max(1, len(order) // 500)):
             y = labels[batch].astype(float)
@@ -59,22 +70,27 @@ def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: floa
             n = per_doc[batch]
             own = counts[chosen]
             at = np.concatenate([words[first_word[s] : first_word[s + 1]] for s in chosen]) if len(chosen) else words[:0]
-            z = _logits(w, bias, at, own)
+            used, at = np.unique(at, return_inverse=True)
+            z = _logits(w, bias, at, own, features[used])
             doc = np.repeat(np.arange(len(batch)), n)
             s = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(batch)), 1e-9)
-            pull = np.where(y == 1, -1 / np.expm1(s), 1.0)
+            pull = np.where(y == 1, -1 / np.expm1(np.minimum(s, 60)), 1.0)
             g = pull[doc] / (1 + np.exp(-np.maximum(z, -60))) / len(batch)
-            gradient = np.append(np.bincount(at, np.repeat(g, own), 1 << bits) * known + decay * w, g.sum())
+            each = np.bincount(at, np.repeat(g, own), len(used))
+            each = np.bincount(features[used].ravel(), np.repeat(each, features.shape[1]), size + 1)[:size]
+            gradient = np.append(each + decay * w, g.sum())
             step += 1
             m = 0.9 * m + 0.1 * gradient
             v = 0.999 * v + 0.001 * gradient**2
-            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            move = rate * (1 - step / total) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w -= move[:-1]
             bias -= move[-1]
-    return w.astype(np.float32), float(bias)
+    out = np.zeros(1 << bits, np.float32)
+    out[slots] = w
+    return out, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16_000, text_bytes: int = 64 << 20, bits: int = 18, epochs: int = 12) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16_000, text_bytes: int = 64 << 20, bits: int = 21, epochs: int = 12) -> tuple[np.ndarray, float]:
     """Fits on at most ``most`` labelled documents and ``text_bytes`` of their text, the first in the order of a hash of the
     id: a documented bound on the learning sample. Ids held out (crc32 modulo 5 is 0) and null labels are left out."""
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~one_in(F.col("doc_id"), 5))
@@ -109,8 +125,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
         w, bias = shared.value
         bits = len(w).bit_length() - 1
         for batch in pieces_of(batches, text, BLOCK):
-            words, counts, per_doc = sentences(batch.column(text).to_pylist(), bits)
-            z = _logits(w, bias, words, counts)
+            words, counts, per_doc, features = sentences(batch.column(text).to_pylist(), bits)
+            z = _logits(w, bias, words, counts, features)
             scores = -np.expm1(-_sums(np.logaddexp(0, z), per_doc))
             scores = np.where(per_doc > 0, np.clip(scores, 0, 1), 0.0)
             own = np.split(z, per_doc.cumsum()[:-1])
