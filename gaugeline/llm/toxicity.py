@@ -16,15 +16,33 @@ from gaugeline.llm.common import one_in, pieces_of, spaced_words
 BLOCK = 4 << 20
 #: Lengths of the beginnings of words that are features beside the words.
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: A sentence with fewer blanks is no instance of its own.
+SHORT = 4
 #: Letters and digits are kept (A-Z lower-cased), sentence ends and line ends become a line end, all else a blank.
 _SIGNS = bytes(10 if b in b".!?\n" else ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
 
 
+def _joined(parts: list[bytes]) -> list[bytes]:
+    """The sentences with a word; one of fewer than ``SHORT`` words goes with what follows."""
+    out, open_ = [], False
+    for part in parts:
+        n = part.count(b" ")
+        if n or part:
+            if open_:
+                out[-1] += b" " + part
+            elif part.strip():
+                out.append(part)
+            else:
+                continue
+            open_ = (n if not open_ else out[-1].count(b" ")) < SHORT
+    return out
+
+
 def sentences(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of all texts as places in their vocabulary, the words of each sentence, the sentences of each text (without
     empty ones), and per word of the vocabulary its hashed features: the word and its beginnings, which inflected forms
     share. A beginning as long as the word is no feature; its place is the one past the end."""
-    parts = [[s for s in (t or "").encode().translate(_SIGNS).split(b"\n") if s.strip()] for t in texts]
+    parts = [_joined((t or "").encode().translate(_SIGNS).split(b"\n")) for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
     flat, words = spaced_words(pa.array([s for p in parts for s in p], pa.string()))
     coded, mask, none = flat.dictionary_encode(), (1 << bits) - 1, 1 << bits
@@ -44,9 +62,10 @@ def _logits(weights: np.ndarray, bias: float, words: np.ndarray, counts: np.ndar
     return bias + np.bincount(np.repeat(np.arange(len(counts)), counts), each[words], len(counts))
 
 
-def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: float = 0.05, decay: float = 1e-4, least: int = 5) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: float = 0.05, decay: float = 1.5e-4, least: int = 5) -> tuple[np.ndarray, float]:
     """Word weights and bias of the sentence model, learned from document labels only. Words in fewer than ``least``
-    documents of the sample get no weight: they could only be learned by heart.
+    documents of the sample get no weight: they could only be learned by heart. Weights are not negative: a word adds to the
+    suspicion of its sentence or says nothing, so a long sentence does not hide one. ``decay`` pulls all weights to 0.
 
     P(document) = 1 - prod(1 - p(sentence)); with S = sum of softplus(logit), the gradient of the log loss with respect
     to a logit is sigmoid(logit) * ((1 - y) - y * exp(-S) / (1 - exp(-S))). Adam over batches in a fixed order, the rate falling to 0.
@@ -60,7 +79,7 @@ def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: floa
     size, place = len(slots), np.full((1 << bits) + 1, len(slots))
     place[slots] = np.arange(size)
     features = place[features]
-    w, bias, m, v, step = np.zeros(size), -4.0, np.zeros(size + 1), np.zeros(size + 1), 0
+    w, bias, m, v, step = np.zeros(size), -8.0, np.zeros(size + 1), np.zeros(size + 1), 0
     order = np.argsort([xxhash.xxh3_64_intdigest(t) for t in texts], kind="stable")
     total = epochs * max(1, len(order) // 500) + 1
     for _ in range(epochs):
@@ -78,19 +97,19 @@ def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: floa
             g = pull[doc] / (1 + np.exp(-np.maximum(z, -60))) / len(batch)
             each = np.bincount(at, np.repeat(g, own), len(used))
             each = np.bincount(features[used].ravel(), np.repeat(each, features.shape[1]), size + 1)[:size]
-            gradient = np.append(each + decay * w, g.sum())
+            gradient = np.append(each + decay, g.sum())
             step += 1
             m = 0.9 * m + 0.1 * gradient
             v = 0.999 * v + 0.001 * gradient**2
             move = rate * (1 - step / total) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w -= move[:-1]
+            w = np.maximum(w - move[:-1], 0)
             bias -= move[-1]
     out = np.zeros(1 << bits, np.float32)
     out[slots] = w
     return out, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16_000, text_bytes: int = 64 << 20, bits: int = 21, epochs: int = 12) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16_000, text_bytes: int = 64 << 20, bits: int = 21, epochs: int = 8) -> tuple[np.ndarray, float]:
     """Fits on at most ``most`` labelled documents and ``text_bytes`` of their text, the first in the order of a hash of the
     id: a documented bound on the learning sample. Ids held out (crc32 modulo 5 is 0) and null labels are left out."""
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~one_in(F.col("doc_id"), 5))
