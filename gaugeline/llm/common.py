@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeline.session import checkpointed
+from gaugeline.session import checkpointed, shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,3 +90,46 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
             hi = max(lo + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a table to the shared folder and reads it back; the tables go when the block ends, so
+    what leaves the block must not read them."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    count = iter(range(1 << 30))
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield kept
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of a set of ids that is sent to all tasks: a bound whatever the number of ids.
+MARKS = 1 << 23
+
+
+def marks(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for the hash of each id, 2**23 in all. It only spares rows whose id cannot be in ``ids`` a join; the join decides."""
+    bits = ids.select(F.pmod(F.xxhash64(column), F.lit(MARKS)).alias("b"))
+    rows = bits.groupBy(F.floor(F.col("b") / 4096).alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 4096).alias("m")).collect()
+    out = np.zeros((MARKS // 4096, 4096), bool)
+    for r in rows:
+        out[r["k"]] = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8)[:512], bitorder="little").astype(bool)
+    return np.packbits(out.ravel())
+
+
+def mark_place(ids: str) -> Column:
+    """The place of an id in ``marks``, to be looked up with ``marked`` in a task."""
+    return F.pmod(F.xxhash64(ids), F.lit(MARKS))
+
+
+def marked(found: np.ndarray, places: pa.Array) -> pa.Array:
+    at = places.to_numpy()
+    return pa.array((found[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))

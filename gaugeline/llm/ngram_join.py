@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import components, pieces_of, spaced_words
+from gaugeline.llm.common import components, mark_place, marked, marks, pieces_of, scratch, spaced_words
 from gaugeline.session import checkpointed
 
 #: Text bytes shingled at a time, and records searched at a time: bounds on memory, not on the result.
@@ -160,48 +160,86 @@ def divide_skip(query: np.ndarray, records: list[np.ndarray], need: list[int]) -
     return found
 
 
-def _searched(percent: int):
-    """Rows (q, salt, node, shingles), each group's query first, to links (a, b): one T-occurrence search per group."""
+def outline(shingles: np.ndarray) -> bytes:
+    """A bitmap of hashed shingles, four to eight bits for each: what one set has there and the other has not bounds their overlap."""
+    bits = 4 << max(3, (len(shingles) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(shingles >> np.uint64(20)) & np.uint64(bits - 1)] = True
+    return np.packbits(out).tobytes()
+
+
+def _folded(outline_: np.ndarray, size: int) -> np.ndarray:
+    """The outline with ``size`` bytes, as the set would have it there."""
+    bits = np.unpackbits(outline_).reshape(-1, size * 8).any(0)
+    return np.packbits(bits)
+
+
+def _may_link(n: int, a: np.ndarray, k: int, b: np.ndarray, percent: int) -> bool:
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = _folded(a, size), _folded(b, size)
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), k - int(np.bitwise_count(b & ~a).sum()))
+    return (100 + percent) * most >= percent * (n + k)
 
-    def links(query: np.ndarray, nodes: list[int], sets: list[np.ndarray]) -> list[int]:
-        need = [-(-percent * (len(query) + len(s)) // (100 + percent)) for s in sets]
-        return [nodes[k] for k in divide_skip(query, sets, need)]
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
+    """From rows (q, salt, node, n, own) in order: q, its own (n, own), and (node, n, own) of its records."""
+    group, queries, records = None, [], []
+    for batch in batches:
+        own = batch.column("own")
+        ends, values = own.offsets.to_numpy() if pa.types.is_list(own.type) else None, None
+        if ends is not None:
+            values = own.values.to_numpy().view(np.uint64)
+        for k, (q, salt, node, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("q", "salt", "node", "n")))):
+            if (q, salt) != group:
+                if records:
+                    yield group[0], queries, records
+                group, queries, records = (q, salt), [], []
+            data = values[ends[k] : ends[k + 1]].copy() if values is not None else np.frombuffer(own[k].as_py(), np.uint8)
+            if node == q:
+                queries.append((n, data))
+            else:
+                records.append((node, n, data))
+    if records:
+        yield group[0], queries, records
+
+
+def _links(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = list(found)
+    return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["q", "node"])
+
+
+def _screened(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, queries, nodes, sets = None, [], [], []
-
-        def close() -> pa.RecordBatch:
-            found = {(group[0], b) for query in queries for b in (links(query, nodes, sets) if nodes else ())}
-            return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            column = batch.column("shingles")
-            values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-            for k, (q, salt, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("q", "salt", "node")))):
-                if (q, salt) != group:
-                    if group:
-                        yield close()
-                    group, queries, nodes, sets = (q, salt), [], [], []
-                own = values[ends[k] : ends[k + 1]].copy()
-                if node is None:
-                    queries.append(own)
-                else:
-                    nodes.append(node)
-                    sets.append(own)
-        if group:
-            yield close()
+        for q, queries, records in _groups(batches):
+            yield _links((q, node) for node, k, b in records if any(_may_link(n, a, k, b, percent) for n, a in queries))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (q, node) that link. A query with many records is searched in several groups."""
+def _searched(percent: int):
+    """One T-occurrence search per group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, queries, records in _groups(batches):
+            found = set()
+            for n, query in queries:
+                need = [-(-percent * (n + k) // (100 + percent)) for _, k, _ in records]
+                found.update(records[k][0] for k in divide_skip(query, [s for *_, s in records], need))
+            yield _links((q, node) for node in found).rename_columns(["a", "b"])
+
+    return run
+
+
+def _gathered(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """Rows (q, salt, node, n, own): the data of each query and of its records side by side. A query with many records has
+    several groups, so none holds more than about ``RECORDS`` of them."""
     many = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / RECORDS).cast("int").alias("salts"))
-    pairs = checkpointed(pairs.join(many, "q").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts"))
-    records = pairs.join(sets, "node").select("q", "salt", "node", "shingles")
-    queries = pairs.select("q", "salt").distinct().join(sets.withColumnRenamed("node", "q"), "q").select("q", "salt", F.lit(None).cast("long").alias("node"), "shingles")
-    rows = records.union(queries).repartition("q", "salt").sortWithinPartitions("q", "salt", F.col("node").asc_nulls_first())
-    return checkpointed(rows.mapInArrow(_searched(percent), "a long, b long"))
+    salted = pairs.join(many, "q")
+    records = salted.select("q", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node")
+    queries = many.select("q", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("q").alias("node"))
+    rows = records.union(queries).join(data, "node").select("q", "salt", "node", "n", "own")
+    return rows.repartition("q", "salt").sortWithinPartitions("q", "salt")
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -210,7 +248,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
 
     1. Equal sets become one node, the smallest id. 2. Shingles are ordered by frequency, so that the lists of the
     first few of each set stay short; sets that link share one of those. 3. Within each such list the first node is the query of a
-    T-occurrence search over the others. 4. Lists that still hold several components are searched between the components.
+    T-occurrence search over the others, save those whose outlines already rule the overlap out. 4. Lists that still hold several components are searched between the components.
     So a group of thousands of near copies is compared with a few of its members, not pair by pair, and no link
     between different components is lost. All shuffles are by shingle, node or (query, slice of its records).
     Cases: null, empty and blank texts have no shingles and link with nothing; shorter texts are one shingle; rows with
@@ -230,41 +268,43 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
     prefixes = docs.mapInArrow(_prefixes(width, percent, frequent), "key binary, doc_id long, prefix array<long>")
     nodes = prefixes.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("key").agg(F.min("id").alias("node"), F.first("prefix").alias("prefix"))
     lists = nodes.select("node", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "node")
-    shared = checkpointed(lists.mapInArrow(_lists, "s long, node long, centre long"))
-
-    involved = shared.select(F.col("node").alias("id")).distinct()
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << 23))
-    # Bounded by its 2**23 bits: spares the other documents the join, which alone decides.
-    marks = {r["k"]: bytes(r["m"]) for r in involved.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("m")).collect()}
-    known = spark.sparkContext.broadcast(marks)
-
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = bytes(4096)
-        for batch in pieces_of(batches, "text", BLOCK):
-            bits = batch.column("b").to_numpy()
-            keep = []
-            for b in bits.tolist():  # as bitmap_bucket_number and bitmap_bit_position count
-                k, p = (1 + (b - 1) // 32768, (b - 1) % 32768) if b > 0 else (-b // 32768, -b % 32768)
-                keep.append(known.value.get(k, empty)[p // 8] >> p % 8 & 1 == 1)
-            batch = batch.filter(pa.array(keep, pa.bool_()))
-            sets = shingle_sets(batch.column("text"), width)
-            yield pa.record_batch([batch.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    sets = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text", bit.alias("b")).mapInArrow(full_sets, "node long, shingles array<long>")
-    sets = checkpointed(sets.join(involved.withColumnRenamed("id", "node"), "node"))
-
-    first = shared.select(F.col("centre").alias("q"), "node").where("q <> node").distinct()
-    links = _verified(first, sets, percent)
-    classes = components(links)
-    # Lists whose nodes are not all in one component yet: pairs between components that no search has seen.
-    told = shared.join(classes, "node", "left").select("s", "node", "centre", F.coalesce("component", "node").alias("c"))
-    mixed = told.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
-    told = told.join(mixed, "s").where("node <> centre")
-    other = told.select("s", F.col("node").alias("q"), F.col("c").alias("d"))
-    rest = told.join(other, "s").where("c < d").select("q", "node").distinct()
-    rest = checkpointed(rest.join(first, ["q", "node"], "left_anti"))
-    if not rest.isEmpty():
-        classes = components(links.union(_verified(rest, sets, percent)))
+    ids = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text", mark_place("id").alias("b"))
+
+    def data(wanted: DataFrame, kind: str) -> DataFrame:
+        """Rows (node, n, own) of the wanted nodes, and perhaps of some others: the outline or the shingles of each set."""
+        known = spark.sparkContext.broadcast(marks(wanted, "node"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces_of(batches, "text", BLOCK):
+                batch = batch.filter(marked(known.value, batch.column("b")))
+                sets = shingle_sets(batch.column("text"), width)
+                own = pa.array([outline(s) for s in sets], pa.binary()) if kind == "binary" else pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), own], ["node", "n", "own"])
+
+        return ids.mapInArrow(run, f"node long, n long, own {kind}").where("n > 0")
+
+    with scratch(spark) as kept:
+        shared = kept(lists.mapInArrow(_lists, "s long, node long, centre long"))
+        outlines = kept(data(shared, "binary"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            """The pairs (q, node) that link, as (a, b)."""
+            likely = checkpointed(_gathered(pairs, outlines).mapInArrow(_screened(percent), "q long, node long").distinct())
+            either = likely.select("node").union(likely.select("q")).distinct()
+            return checkpointed(_gathered(likely, data(either, "array<long>")).mapInArrow(_searched(percent), "a long, b long"))
+
+        first = kept(shared.select(F.col("centre").alias("q"), "node").where("q <> node").distinct())
+        links = verified(first)
+        classes = components(links)
+        # Lists whose nodes are not all in one component yet: pairs between components that no search has seen.
+        told = shared.join(classes, "node", "left").select("s", "node", "centre", F.coalesce("component", "node").alias("c"))
+        mixed = told.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
+        told = told.join(mixed, "s").where("node <> centre").distinct()
+        other = told.select("s", F.col("node").alias("q"), F.col("c").alias("d"))
+        rest = told.join(other, "s").where("c < d").select("q", "node").distinct()
+        rest = kept(rest.join(first, ["q", "node"], "left_anti"))
+        if not rest.isEmpty():
+            classes = components(links.union(verified(rest)))
     found = members.join(reps, "key", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     result = F.coalesce("component", "rep", "id")
     return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(result != NO_ID, result).alias("component_id"))
