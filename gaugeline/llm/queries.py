@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import decontam, ngram_join, packing, quality, sharding, toxicity
+from gaugeline.llm import decontam, metric_join, ngram_join, packing, quality, sharding, substrings, toxicity
 from gaugeline.llm.common import one_in, table
 
 CATALOGUE: dict[str, tuple] = {}
@@ -25,6 +25,11 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query()
+def op1_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedupe(table(spark, folder, "documents"))
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """The ratings of ``labels`` as grades: 0 low quality, 1 good but toxic, 2 good."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
@@ -37,6 +42,28 @@ def op2_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, grades(table(spark, folder, "labels")), levels=3))
 
 
+EMBEDDING_SQL = """
+WITH fine AS (
+    SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    WITH RECURSIVE walk(a, b) AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON w.b = l.a) SELECT a, min(b) AS b FROM walk GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(r.b, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(r.b, v.vec_id)) AS kept
+FROM embeddings v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id LEFT JOIN reach r ON r.a = v.vec_id
+"""
+
+
+@query(EMBEDDING_SQL)
+def op5_pivot_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_join.join(table(spark, folder, "embeddings"))
+
+
 @query()
 def op6_noisy_or_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
