@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import decontam, metric_join, ngram_join, packing, quality, sharding, substrings, toxicity
+from gaugeline.llm import decontam, metric_join, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
 from gaugeline.llm.common import one_in, table
 
 CATALOGUE: dict[str, tuple] = {}
@@ -42,6 +42,11 @@ def op2_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, grades(table(spark, folder, "labels")), levels=3))
 
 
+@query()
+def op4_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.score(table(spark, folder, "documents"))
+
+
 EMBEDDING_SQL = """
 WITH fine AS (
     SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
