@@ -18,9 +18,9 @@ from gaugeline.session import checkpointed
 
 #: Text bytes shingled at a time, and records searched at a time: bounds on memory, not on the result.
 BLOCK, RECORDS = 4 << 20, 500
-#: Lists known as long: they only order the shingles, so the bound does not change the result. A shingle is told as frequent
-#: once the blocks in which it comes up more than once hold it so many times.
-LONG_LISTS, FREQUENT = 1 << 20, 16
+#: Lists known as long, and the length from which a list counts as long. They only order the shingles, so neither bound
+#: changes the result.
+LONG_LISTS, LONG = 1 << 19, 4
 #: Weight of the binary probes against the merge when the long lists are chosen (Li, Lu and Lu, 2008): a fixed value.
 MU = 0.0085
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -55,25 +55,31 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def _first(n: int, percent: int) -> int:
+    """How many of the first of n shingles two sets must be looked up by: a link shares one of those."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
 def _summaries(width: int):
-    """Rows (doc_id, n, key) per document, and rows (hash, seen) of the shingles that come up more than once in a block."""
+    """Rows (doc_id, n, key): the size and a digest of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BLOCK):
             sets = shingle_sets(batch.column("text"), width)
-            found, seen = np.unique(np.concatenate(sets), return_counts=True)
-            found, seen = found[seen > 1].view(np.int64), seen[seen > 1]
             keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
-            none = pa.nulls(len(found))
-            yield pa.record_batch(
-                [
-                    pa.concat_arrays([batch.column("doc_id"), none.cast(pa.int64())]),
-                    pa.array([*map(len, sets), *seen.tolist()], pa.int64()),
-                    pa.concat_arrays([pa.array(keys, pa.binary()), none.cast(pa.binary())]),
-                    pa.concat_arrays([pa.nulls(len(sets)).cast(pa.int64()), pa.array(found)]),
-                ],
-                ["doc_id", "n", "key", "hash"],
-            )
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
+
+    return run
+
+
+def _measured(width: int, percent: int):
+    """Rows (hash, seen): the shingles of each set that may come up in a list, were half of them set aside as long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text", BLOCK):
+            sets = shingle_sets(batch.column("text"), width)
+            found, seen = np.unique(np.concatenate([s[: 2 * _first(len(s), percent)] for s in sets]), return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(seen.astype(np.int32))], ["hash", "seen"])
 
     return run
 
@@ -94,7 +100,7 @@ def _prefixes(width: int, percent: int, frequent):
                 if len(long):
                     at = np.minimum(np.searchsorted(long, s), len(long) - 1)
                     s = s[np.argsort(np.where(long[at] == s, weight[at], 0), kind="stable")]
-                keep = len(s) - -(-percent * len(s) // 100) + 1
+                keep = _first(len(s), percent)
                 for column, value in zip(out, (key[:16], doc, s[:keep].view(np.int64))):
                     column.append(value)
             yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["key", "doc_id", "prefix"])
@@ -246,8 +252,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
     """One row (doc_id, n_shingles, component_id) per document: the size of its set of distinct ``width``-word shingles
     and the smallest id reachable over links, where two documents link when 100 * |x and y| >= percent * |x or y|.
 
-    1. Equal sets become one node, the smallest id. 2. Shingles are ordered by frequency, so that the lists of the
-    first few of each set stay short; sets that link share one of those. 3. Within each such list the first node is the query of a
+    1. Equal sets become one node, the smallest id. 2. The lists of the shingles are measured and the long ones
+    set aside, so that the lists of the first few shingles of each set stay short; sets that link share one of those. 3. Within each such list the first node is the query of a
     T-occurrence search over the others, save those whose outlines already rule the overlap out. 4. Lists that still hold several components are searched between the components.
     So a group of thousands of near copies is compared with a few of its members, not pair by pair, and no link
     between different components is lost. All shuffles are by shingle, node or (query, slice of its records).
@@ -256,13 +262,12 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = checkpointed(docs.mapInArrow(_summaries(width), "doc_id long, n long, key binary, hash long"))
-    often = rows.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("w")).where(F.col("w") >= FREQUENT)
-    often = often.orderBy(F.desc("w"), "hash").limit(LONG_LISTS).toPandas()
+    often = docs.select("text").mapInArrow(_measured(width, percent), "hash long, seen int").groupBy("hash").agg(F.sum("seen").alias("w"))
+    often = often.where(F.col("w") >= LONG).orderBy(F.desc("w"), "hash").limit(LONG_LISTS).toPandas()
     long = often["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(long)
     frequent = spark.sparkContext.broadcast((long[order], often["w"].to_numpy(np.int64)[order]))
-    members = rows.where("hash is null").select("doc_id", "n", "key", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    members = checkpointed(docs.mapInArrow(_summaries(width), "doc_id long, n long, key binary")).select("doc_id", "n", "key", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     reps = members.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
 
     prefixes = docs.mapInArrow(_prefixes(width, percent, frequent), "key binary, doc_id long, prefix array<long>")
