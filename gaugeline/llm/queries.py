@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import decontam, metric_join, mixing, ngram_join, packing, quality, sharding, substrings, toxicity
+from gaugeline.llm import decontam, metric_join, mixing, ngram_join, packing, quality, sharding, substrings, surrogates, toxicity
 from gaugeline.llm.common import one_in, table
 
 CATALOGUE: dict[str, tuple] = {}
@@ -42,6 +42,15 @@ def op2_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, grades(table(spark, folder, "labels")), levels=3))
 
 
+#: A stand-in for the secret that a real run takes from its own store.
+SURROGATE_KEY = "set-your-own"
+
+
+@query()
+def op3_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace(table(spark, folder, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 @query()
 def op4_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.score(table(spark, folder, "documents"))
