@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import one_in, pieces_of, spaced_words
 
 BLOCK = 4 << 20
+#: Steps of the fit at least, however small the sample.
+STEPS = 120
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -60,8 +62,9 @@ def fit(texts: list[str], grades: np.ndarray, levels: int, bits: int, epochs: in
     w, base, gaps = np.zeros(size), 0.0, np.zeros(levels - 2)
     m, v, step = np.zeros(size + levels - 1), np.zeros(size + levels - 1), 0
     order = np.argsort([xxhash.xxh3_64_intdigest(t) for t in texts], kind="stable")
-    for _ in range(epochs):
-        for batch in np.array_split(order, max(1, len(order) // 500)):
+    batches = max(1, len(order) // 500)
+    for _ in range(max(epochs, STEPS // batches)):
+        for batch in np.array_split(order, batches):
             own = np.concatenate([at[start[d] : start[d + 1]] for d in batch])
             n, scale = counts[batch], unit[batch]
             z = np.bincount(np.repeat(np.arange(len(batch)), n), w[own], len(batch)) * scale

@@ -18,6 +18,8 @@ BLOCK = 4 << 20
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: A sentence with fewer blanks is no instance of its own.
 SHORT = 4
+#: Steps of the fit at least, however small the sample.
+STEPS = 240
 #: Letters and digits are kept (A-Z lower-cased), sentence ends and line ends become a line end, all else a blank.
 _SIGNS = bytes(10 if b in b".!?\n" else ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
 
@@ -81,9 +83,11 @@ def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: floa
     features = place[features]
     w, bias, m, v, step = np.zeros(size), -8.0, np.zeros(size + 1), np.zeros(size + 1), 0
     order = np.argsort([xxhash.xxh3_64_intdigest(t) for t in texts], kind="stable")
-    total = epochs * max(1, len(order) // 500) + 1
+    batches = max(1, len(order) // 500)
+    epochs = max(epochs, STEPS // batches)
+    total = epochs * batches + 1
     for _ in range(epochs):
-        for batch in np.array_split(order, max(1, len(order) // 500)):
+        for batch in np.array_split(order, batches):
             y = labels[batch].astype(float)
             chosen = np.concatenate([np.arange(first_sentence[d], first_sentence[d + 1]) for d in batch])
             n = per_doc[batch]
