@@ -148,55 +148,29 @@ def expand_slots(df: DataFrame, keys: Sequence[str], first: Column, last: Column
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, parts: int = 32, small: int = 1_000_000) -> DataFrame:
-    """Distinct values per group with their count; cut into ``parts`` value ranges unless at most ``small`` in all.
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per group with ``cnt``, ``cum`` (rows at or below the value) and ``n`` (rows of the group).
 
-    Equal values fold into one row before the shuffle. The table is checkpointed, because it is counted and then read
-    by several branches. The range edges come from a mergeable sketch and are approximate, so they are checkpointed
-    too: all readers then see the same ranges.
+    Equal values fold into one row before the shuffle. The folded rows are sorted by ranges over group and value and
+    checkpointed, which fixes the ranges; a range of a group starts from the total of the ranges below it. One plan at
+    every size: a task ranks no more rows than one range holds, also where one group has most of the values.
     """
     keys = list(keys)
-    present = df.filter(F.col(value).isNotNull())
-    counts = checkpointed(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")))
-    if is_small(counts, small):
-        return counts
-    probes = [i / parts for i in range(1, parts)]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probes, 1000).alias("_edges"), F.sum("cnt").alias("n"))
-    tagged = counts.alias("l").join(checkpointed(edges).alias("r"), same(keys)).select("l.*", "n", "_edges")
-    part = F.size(F.filter("_edges", lambda edge: edge < F.col(value)))
-    return tagged.select(*keys, value, "cnt", "n", part.alias("_part"))
-
-
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, parts: int = 32, small: int = 1_000_000) -> DataFrame:
-    """Distinct values per group with ``cnt``, ``cum`` (rows at or below the value) and ``n`` (rows of the group)."""
-    return ranks_of(value_counts(df, keys, value, parts, small), keys, value)
-
-
-def ranks_of(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``value_ranks`` from the result of ``value_counts``.
-
-    Exact in both forms: a table counted to be small is ranked per group, a large one per range, every range by a task
-    of its own and carried on by the totals of the ranges below it.
-    """
-    running = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    if "_part" not in counts.columns:
-        group = Window.partitionBy(*keys)
-        cum = F.sum("cnt").over(running(group.orderBy(value)))
-        return counts.select(*keys, value, "cnt", cum.alias("cum"), F.sum("cnt").over(group).alias("n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    placed = checkpointed(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
     by = [*keys, "_part"]
-    totals = counts.groupBy(*by).agg(F.sum("cnt").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    joined = counts.alias("l").join(offsets.alias("r"), same(by)).select("l.*", "_offset")
-    cum = F.col("_offset") + F.sum("cnt").over(running(Window.partitionBy(*by).orderBy(value)))
-    return joined.select(*keys, value, "cnt", cum.alias("cum"), "n")
+    totals = placed.groupBy(*by).agg(F.sum("cnt").alias("_total"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"), F.sum("_total").over(group).alias("n"))
+    joined = placed.alias("l").join(offsets.alias("r"), same(by)).select("l.*", "_offset", "n")
+    running = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*keys, value, "cnt", (F.col("_offset") + F.sum("cnt").over(running)).alias("cum"), "n")
 
 
-def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], parts: int = 32, small: int = 1_000_000
-) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of ``probs`` (name -> share)."""
-    ranks = value_ranks(df, keys, value, parts, small)
+    ranks = value_ranks(df, keys, value)
 
     def at(share: float) -> Column:
         place = F.lit(share) * (F.col("n") - 1)
@@ -206,15 +180,3 @@ def percentiles(
         return below + (above - below) * weight
 
     return ranks.groupBy(*keys).agg(*[at(share).alias(name) for name, share in probs.items()])
-
-
-def approx_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Percentiles from a mergeable sketch: one pass, rank error about 1/10000."""
-    return df.groupBy(*keys).agg(
-        *[F.percentile_approx(value, share, 10_000).alias(name) for name, share in probs.items()]
-    )
-
-
-def is_small(df: DataFrame, rows: int = 200_000) -> bool:
-    """Whether a frame that is cheap to read (checkpointed, or a scan) is small enough to broadcast."""
-    return df.limit(rows + 1).count() <= rows

@@ -123,7 +123,7 @@ def merge_aliases(
     pairs = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
     for backup, (lo, hi) in (valid or {}).items():
         inside = (F.col(ts) >= F.lit(lo).cast(T.TimestampNTZType())) & (F.col(ts) < F.lit(hi).cast(T.TimestampNTZType()))
-        df = df.filter((F.col(key) != backup) | inside)
+        df = df.filter(~F.col(key).eqNullSafe(F.lit(backup)) | inside)
     return df.withColumn(key, F.coalesce(F.try_element_at(pairs, F.col(key)), F.col(key)))
 
 

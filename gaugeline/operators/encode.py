@@ -72,13 +72,10 @@ def apply_numeric(df: DataFrame, fitted: DataFrame, columns: Sequence[str], by:
     return joined.select(*out)
 
 
-def categories(train: DataFrame, column: str, missing: int | str = 0, limit: int = 1000) -> list:
-    """The values seen in training, in order, with ``missing`` for NULL. More than ``limit`` values are an error."""
-    seen = train.select(F.coalesce(F.col(column), F.lit(missing)).alias("c")).distinct().orderBy("c").limit(limit + 1)
-    found = [row["c"] for row in seen.collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} values")
-    return found
+def categories(train: DataFrame, column: str, missing: int | str = 0) -> list:
+    """The values seen in training, in order, with ``missing`` for NULL. Each becomes a column, so the driver must know them."""
+    seen = train.select(F.coalesce(F.col(column), F.lit(missing)).alias("c")).distinct().orderBy("c")
+    return [row["c"] for row in seen.toLocalIterator()]
 
 
 def label(value: object) -> str:

@@ -53,7 +53,7 @@ def best_so_far(current: DataFrame, best: DataFrame | None, keys: Sequence[str]
     order = F.when(~F.isnan("rmse"), F.col("rmse"))
     lowest = F.coalesce(F.min_by(F.struct(*rest), order), F.min(F.struct(*rest)))
     new = named.groupBy(*keys).agg(lowest.alias("_new"))
-    better = F.col("_new.rmse") < F.col("_old.rmse")
+    better = (F.col("_new.rmse") < F.col("_old.rmse")) & ~F.isnan("_old.rmse")
     take = F.when(F.col("_old").isNull() | better, F.col("_new")).otherwise(F.col("_old"))
     kept = old.join(new, list(keys), "full").withColumn("_row", F.when(F.col("_new").isNull(), F.col("_old")).otherwise(take))
     return current.unionByName(kept.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.expr import floor_time, micros_of, slot_time
-from gaugeline.operators.chunks import expand_slots
+from gaugeline.operators.chunks import expand_slots, same
 
 
 def slots_between(lo: str, hi: str, step: int) -> int:
@@ -28,7 +28,8 @@ def grid_join(
 ) -> DataFrame:
     """Readings on the grid: a row per station and slot, readings off the grid dropped, duplicates kept."""
     slots = grid(readings if stations is None else stations, key, ts, lo, hi, step, idx)
-    return slots.join(readings, [key, ts], "left")
+    joined = slots.alias("l").join(readings.alias("r"), same([key, ts]), "left")
+    return joined.select(*[F.col(f"l.{c}") for c in slots.columns], *[F.col(f"r.{c}") for c in readings.columns if c not in (key, ts)])
 
 
 def to_slots(df: DataFrame, keys: Sequence[str], ts: str, step: int, rules: dict[str, Column]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import ratio
-from gaugeline.operators.chunks import is_small, percentiles, ranks_of, same, value_counts
+from gaugeline.operators.chunks import percentiles, same, value_ranks
 from gaugeline.schema import SeriesSchema
 from gaugeline.session import checkpointed
 
@@ -36,16 +36,14 @@ def ecod_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], name
     """Sum over the metrics of the largest of the left, right and skew-chosen tail, each -ln of a tail share.
 
     Needs the columns of ``mark_complete``; incomplete rows get NULL. Tail shares come from the ranks of distinct
-    values; the lookup is broadcast only when it has been counted to be small.
+    values; adaptive execution decides by their size how they are joined back.
     """
     keys = list(keys)
     complete = df.filter("_complete")
     long = complete.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         keys, list(features), "_metric", "_value"
     )
-    counts = value_counts(long, [*keys, "_metric"], "_value")
-    small = is_small(counts)
-    tails = ranks_of(counts, [*keys, "_metric"], "_value").select(
+    tails = value_ranks(long, [*keys, "_metric"], "_value").select(
         *keys,
         "_metric",
         "_value",
@@ -59,7 +57,6 @@ def ecod_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], name
         side = tails.filter(F.col("_metric") == f).select(
             *keys, F.col("_value").alias(f"_at_{f}"), F.col("_left").alias(f"_left_{f}"), F.col("_right").alias(f"_right_{f}")
         )
-        side = F.broadcast(side) if small else side
         match = F.col(f).cast("double") == F.col(f"_at_{f}")
         scored = scored.alias("l").join(side.alias("r"), [*same(keys), match], "left")
         scored = scored.select("l.*", f"_left_{f}", f"_right_{f}")

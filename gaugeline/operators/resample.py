@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.functions.expr import from_micros, half_even, micros
-from gaugeline.operators.chunks import expand_slots
+from gaugeline.operators.chunks import expand_slots, same
 
 SECONDS = {"s": 1, "min": 60, "h": 3600, "D": 86_400}
 
@@ -30,7 +30,7 @@ def parse_frequency(freq: str) -> tuple[str, int]:
 def _rule(name: str, rule: str, ts: str) -> Column:
     c = F.col(name)
     if rule == "first":
-        return F.min_by(c, F.when(c.isNotNull(), F.col(ts)))
+        return F.min_by(c, F.when(c.isNotNull(), F.struct(ts, c)))
     return {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}[rule](c)
 
 
@@ -68,8 +68,8 @@ def resample(
     origin = None
     if kind == "step" and 86_400 % step:
         starts = span.select(key, micros(F.date_trunc("day", "_lo")).alias("_origin"))
-        df = df.join(starts, key)
-        span = span.join(starts, key)
+        df = df.alias("l").join(starts.alias("r"), same([key])).select("l.*", "_origin")
+        span = span.alias("l").join(starts.alias("r"), same([key])).select("l.*", "_origin")
         origin = F.col("_origin")
     binned = (
         df.withColumn("_bin", bin_of(F.col(ts), origin))
@@ -98,4 +98,5 @@ def resample(
         bins = span.select(key, F.explode(days).alias(ts))
         if kind == "month":
             bins = bins.select(key, F.last_day(ts).cast(ntz).alias(ts))
-    return bins.join(binned, [key, ts], "left")
+    made = [c for c in binned.columns if c not in (key, ts)]
+    return bins.alias("l").join(binned.alias("r"), same([key, ts]), "left").select("l.*", *[F.col(f"r.{c}") for c in made])

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import schema as S
 from gaugeline.functions import metrics as M
-
-WIDE_LIMIT = 10_000
+from gaugeline.operators.chunks import same
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None, name: str = "metric", value: str = "value") -> DataFrame:
@@ -23,12 +22,9 @@ def series_name(metric: str | Column = "metric", key: str | Column = S.KEY) -> C
     return F.concat_ws("_", metric, key)
 
 
-def names_of(long: DataFrame, name: str, limit: int = WIDE_LIMIT) -> list[str]:
-    """The column names a pivot will make; checked against ``limit`` because they become the plan."""
-    found = [r[0] for r in long.select(name).distinct().orderBy(name).limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} columns; give the ones to pivot")
-    return found
+def names_of(long: DataFrame, name: str) -> list[str]:
+    """The column names a pivot will make. They become the schema, so the driver must know them, however many."""
+    return [r[0] for r in long.select(name).distinct().orderBy(name).toLocalIterator()]
 
 
 def pivot_wide(long: DataFrame, ts: str, name: str, value: str, names: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
@@ -64,7 +60,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows whose key occurs more than once."""
-    return df.join(duplicate_keys(df, keys), list(keys), "left_semi")
+    return df.alias("l").join(duplicate_keys(df, keys).alias("r"), same(keys), "left_semi")
 
 
 def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:

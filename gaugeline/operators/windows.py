@@ -24,61 +24,65 @@ def row_features(
 ) -> DataFrame:
     """Lag, rolling mean, rolling sample deviation and rolling sum columns for every value column.
 
-    Mean and deviation need a full window of values; a sum needs one value. Rolling results are differences of running
-    totals inside a chunk, so the cost does not grow with the window. Totals of the deviations are taken about the
-    chunk mean, and a window of equal values gives exactly that mean and a deviation of 0.
+    Mean and deviation need a full window of values; a sum needs one value; NaN counts as missing. A window of ``w`` rows is the
+    end of one block of ``w`` rows and the beginning of the next: running counts, means and squared deviations of both
+    parts are merged. Nothing is subtracted from a longer total, so earlier levels, spikes or NaN leave no trace, and
+    the cost does not grow with the window.
     """
     reach = max([*lags, *windows, *sums, 0])
 
     def build(spread: DataFrame, order: WindowSpec) -> DataFrame:
-        running = order.rowsBetween(Window.unboundedPreceding, 0)
-        chunk = Window.partitionBy(*keys, "_chunk")
-        base, totals, shifted, out = [], [], [], []
+        kept, made = [F.col(c) for c in spread.columns], []
+        frame = spread.select("*", (F.row_number().over(order) - 1).alias("_at"))
         for v in values:
-            c = F.col(v)
-            base += [F.lag(c, k).over(order).alias(names.format(kind="lag", size=k, value=v)) for k in lags]
-            if windows:
-                base += [F.avg(c).over(chunk).alias(f"_mid_{v}"), F.lag(c, 1).over(order).alias(f"_prev_{v}")]
-                off = c - F.col(f"_mid_{v}")
-                changed = (~c.eqNullSafe(F.col(f"_prev_{v}"))).cast("bigint")
-                totals += [
-                    F.sum(off).over(running).alias(f"_s_{v}"),
-                    F.sum(off * off).over(running).alias(f"_q_{v}"),
-                    F.sum(changed).over(running).alias(f"_x_{v}"),
-                ]
-            if windows or sums:
-                totals.append(F.count(c).over(running).alias(f"_n_{v}"))
-            if sums:
-                totals.append(F.sum(c).over(running).alias(f"_t_{v}"))
-            for w in dict.fromkeys([*windows, *sums]):
-                shifted.append(_back(f"_n_{v}", w, order, f"_n{w}_{v}"))
-            for w in windows:
-                shifted += [
-                    _back(f"_s_{v}", w, order, f"_s{w}_{v}"),
-                    _back(f"_q_{v}", w, order, f"_q{w}_{v}"),
-                    F.lag(f"_x_{v}", w - 1).over(order).alias(f"_x{w}_{v}"),
-                ]
-                full = F.col(f"_n{w}_{v}") == w
-                flat = F.col(f"_x{w}_{v}") == F.col(f"_x_{v}")
-                total, squares = F.col(f"_s{w}_{v}"), F.col(f"_q{w}_{v}")
-                spread_of = F.sqrt(F.greatest((squares - total * total / w) / (w - 1), F.lit(0.0)))
-                mean = F.when(flat, c).otherwise(F.col(f"_mid_{v}") + total / w)
-                deviation = F.when(flat, F.lit(0.0)).otherwise(spread_of)
-                out += [
-                    F.when(full, mean).alias(names.format(kind="rolling_mean", size=w, value=v)),
-                    F.when(full, deviation).alias(names.format(kind="rolling_std", size=w, value=v)),
-                ]
-            for w in sums:
-                shifted.append(_back(f"_t_{v}", w, order, f"_t{w}_{v}"))
-                total = F.when(F.col(f"_n{w}_{v}") > 0, F.col(f"_t{w}_{v}"))
-                out.append(total.alias(names.format(kind="cum_sum", size=w, value=v)))
-        kept = [F.col(c) for c in spread.columns]
-        made = [F.col(names.format(kind="lag", size=k, value=v)) for v in values for k in lags]
-        frame = spread.select(*kept, *base)
-        if totals:
-            frame = frame.select("*", *totals)
-            frame = frame.select("*", *shifted)
-        return frame.select(*kept, *made, *out)
+            made += [F.lag(v, k).over(order).alias(names.format(kind="lag", size=k, value=v)) for k in lags]
+            frame = frame.withColumn(f"_v_{v}", F.nanvl(F.col(v).cast("double"), F.lit(None)))
+        out = [names.format(kind="lag", size=k, value=v) for v in values for k in lags]
+        frame = frame.select("*", *made)
+        for w in dict.fromkeys([*windows, *sums]):
+            block = Window.partitionBy(*keys, "_chunk", F.floor(F.col("_at") / w))
+            parts = {"a": block.orderBy(F.asc("_at")), "b": block.orderBy(F.desc("_at"))}
+            running = {}
+            for v in values:
+                for side, window in parts.items():
+                    window, c = window.rowsBetween(Window.unboundedPreceding, 0), F.col(f"_v_{v}")
+                    running[f"_n{side}_{v}"] = F.count(c).over(window)
+                    if w in windows:
+                        running[f"_m{side}_{v}"] = F.avg(c).over(window)
+                        running[f"_q{side}_{v}"] = F.var_pop(c).over(window) * F.count(c).over(window)
+                        running[f"_x{side}_{v}"] = F.max(c).over(window)
+                        running[f"_y{side}_{v}"] = F.min(c).over(window)
+                    if w in sums:
+                        running[f"_s{side}_{v}"] = F.sum(c).over(window)
+            frame = frame.withColumns(running)
+            # Where the window is one whole block, nothing of the block before belongs to it.
+            split = F.col("_at") % w != w - 1
+            frame = frame.withColumns({c: F.when(split, F.lag(c, w - 1).over(order)) for c in running if c[2] == "b"})
+            for v in values:
+                part = lambda c: (F.col(f"_{c}a_{v}"), F.col(f"_{c}b_{v}"))  # noqa: E731, B023
+                na, nb = part("n")[0], F.coalesce(part("n")[1], F.lit(0))
+                n = na + nb
+                if w in windows:
+                    (ma, mb), (qa, qb) = part("m"), part("q")
+                    apart = mb - ma
+                    # The window's mean lies between the parts' means; a part without values has none.
+                    mean = F.when(na == 0, mb).when(nb == 0, ma).otherwise(ma + apart * (nb / n))
+                    squares = F.when(na == 0, qb).when(nb == 0, qa).otherwise(qa + qb + apart * apart * (na * nb / n))
+                    flat = F.greatest(*part("x")) == F.least(*part("y"))  # equal values: their mean and 0, exactly
+                    mean, squares = F.when(flat, F.least(*part("y"))).otherwise(mean), F.when(flat, F.lit(0.0)).otherwise(squares)
+                    mean_name, std_name = (names.format(kind=kind, size=w, value=v) for kind in ("rolling_mean", "rolling_std"))
+                    frame = frame.withColumns({mean_name: F.when(n == w, mean), std_name: F.when((n == w) & (F.lit(w) > 1), F.sqrt(squares / max(w - 1, 1)))})
+                    out += [mean_name, std_name]
+                if w in sums:
+                    sa, sb = part("s")
+                    name = names.format(kind="cum_sum", size=w, value=v)
+                    total = F.when(na == 0, sb).when(nb == 0, sa).otherwise(sa + sb)
+                    frame = frame.withColumn(name, F.when(n > 0, total))
+                    out.append(name)
+            frame = frame.drop(*running)
+        columns = [names.format(kind=kind, size=k, value=v) for v in values for kind, sizes in
+                   (("lag", lags), ("rolling_mean", windows), ("rolling_std", windows), ("cum_sum", sums)) for k in sizes]
+        return frame.select(*kept, *dict.fromkeys(columns))
 
     return over_chunks(df, keys, idx, build, before=reach)
 
@@ -143,9 +147,17 @@ def pad_predictions(df: DataFrame, keys: Sequence[str], idx: str, pred: str) ->
 
 
 def rolling_mode(
-    df: DataFrame, keys: Sequence[str], idx: str, status: str, windows: Sequence[int], codes: Sequence[int] = range(6)
+    df: DataFrame, keys: Sequence[str], idx: str, status: str, windows: Sequence[int], codes: Sequence[int] | None = None
 ) -> DataFrame:
-    """Most frequent code of the last ``w`` rows, the lowest on ties, NULL without any code: ``mode_<w>``."""
+    """Most frequent code of the last ``w`` rows, the lowest on ties, NULL without any code: ``mode_<w>``.
+
+    Without ``codes`` those that occur in the data are counted; each becomes a running column.
+    """
+    if codes is None:
+        seen = df.select(F.col(status).cast("bigint").alias("c")).distinct().filter("c is not null").orderBy("c")
+        codes = [r["c"] for r in seen.toLocalIterator()]
+    if not codes:
+        return df.select("*", *[F.lit(None).cast("bigint").alias(f"mode_{w}") for w in windows])
 
     def build(spread: DataFrame, order: WindowSpec) -> DataFrame:
         running = order.rowsBetween(Window.unboundedPreceding, 0)

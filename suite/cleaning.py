@@ -95,7 +95,7 @@ def end_cut(spark: SparkSession, sf: str) -> DataFrame:
     return C.end_cut(table(spark, sf, "events").select("event_id", "ts", "value"), "ts", "2024-01-20")
 
 
-@query(f"""WITH {TEL} SELECT event_id, round(ln(1 + level), 6) AS logged, round(exp(ln(1 + level)) - 1, 6) AS restored
+@query(f"""WITH {TEL} SELECT event_id, round_even(ln(1 + level), 6) AS logged, round_even(exp(ln(1 + level)) - 1, 6) AS restored
 FROM tel WHERE level IS NOT NULL""")
 def log_target(spark: SparkSession, sf: str) -> DataFrame:
     kept = telemetry(spark, sf).na.drop(subset=["level"]).select("event_id", F.log1p("level").alias("logged"))

@@ -18,8 +18,8 @@ from suite.quality import spline_sql
 from suite.registry import query
 from suite.reshaping import KGE, PREDS, predictions
 
-BUNDLE = f"""round(sqrt(avg(pow(t - p, 2))), 6) AS rmse, round(avg(abs(t - p)), 6) AS mae, round(1 / (1 + avg(pow(t - p, 2)) / var_pop(t)), 6) AS nse,
-  round(1 - avg(pow(t - p, 2)) / var_pop(t), 6) AS r2, round({KGE}, 6) AS kge"""
+BUNDLE = f"""round_even(sqrt(avg(pow(t - p, 2))), 6) AS rmse, round_even(avg(abs(t - p)), 6) AS mae, round_even(1 / (1 + avg(pow(t - p, 2)) / var_pop(t)), 6) AS nse,
+  round_even(1 - avg(pow(t - p, 2)) / var_pop(t), 6) AS r2, round_even({KGE}, 6) AS kge"""
 PAIRS = PREDS + ", pr AS (SELECT *, y_true AS t, y_pred AS p FROM preds WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)"
 
 
@@ -28,19 +28,19 @@ def horizon_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(EV.score(predictions(spark, sf)))
 
 
-@query(f"WITH {PAIRS}, s AS (SELECT model_name, target_column, step, fold, {BUNDLE.replace('round(', '(').replace(', 6)', ')')} FROM pr GROUP BY ALL) SELECT model_name, target_column, step, "
-       + ", ".join(f"round(avg({m}), 6) AS {m}, round(stddev_samp({m}), 6) AS {m}_std" for m in EV.SCORES) + " FROM s GROUP BY ALL")
+@query(f"WITH {PAIRS}, s AS (SELECT model_name, target_column, step, fold, {BUNDLE.replace('round_even(', '(').replace(', 6)', ')')} FROM pr GROUP BY ALL) SELECT model_name, target_column, step, "
+       + ", ".join(f"round_even(avg({m}), 6) AS {m}, round_even(stddev_samp({m}), 6) AS {m}_std" for m in EV.SCORES) + " FROM s GROUP BY ALL")
 def fold_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(EV.summarise(EV.score(predictions(spark, sf))))
 
 
-@query(f"WITH {PAIRS} SELECT model_name, step, round(1 - avg(pow(t - p, 2)) / var_pop(t), 6) AS nse, round(1 / (1 + avg(pow(t - p, 2)) / var_pop(t)), 6) AS nnse FROM pr GROUP BY ALL")
+@query(f"WITH {PAIRS} SELECT model_name, step, round_even(1 - avg(pow(t - p, 2)) / var_pop(t), 6) AS nse, round_even(1 / (1 + avg(pow(t - p, 2)) / var_pop(t)), 6) AS nnse FROM pr GROUP BY ALL")
 def nnse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(predictions(spark, sf).groupBy("model_name", "step").agg(M.nse("y_true", "y_pred").alias("nse"), M.nnse("y_true", "y_pred").alias("nnse")))
 
 
-@query(f"""WITH {PAIRS} SELECT model_name, step, round({KGE}, 6) AS kge_cv,
-  round(1 - sqrt(pow(corr(t, p) - 1, 2) + pow(stddev_pop(p) / stddev_pop(t) - 1, 2) + pow(avg(p) / avg(t) - 1, 2)), 6) AS kge_sd FROM pr GROUP BY ALL""")
+@query(f"""WITH {PAIRS} SELECT model_name, step, round_even({KGE}, 6) AS kge_cv,
+  round_even(1 - sqrt(pow(corr(t, p) - 1, 2) + pow(stddev_pop(p) / stddev_pop(t) - 1, 2) + pow(avg(p) / avg(t) - 1, 2)), 6) AS kge_sd FROM pr GROUP BY ALL""")
 def kge_variants(spark: SparkSession, sf: str) -> DataFrame:
     by = predictions(spark, sf).groupBy("model_name", "step")
     return rounded(by.agg(M.kge("y_true", "y_pred", "cv").alias("kge_cv"), M.kge("y_true", "y_pred", "sd").alias("kge_sd")))
@@ -52,7 +52,7 @@ def last_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT event_type, user_id, avg(sqrt(value)) AS rmse FROM events GROUP BY ALL)
-SELECT event_type AS model, CAST(arg_min(user_id, rmse) AS VARCHAR) AS best_user, round(min(rmse), 6) AS rmse, CAST(1 AS INTEGER) AS params_left FROM r GROUP BY event_type""")
+SELECT event_type AS model, CAST(arg_min(user_id, rmse) AS VARCHAR) AS best_user, round_even(min(rmse), 6) AS rmse, CAST(1 AS INTEGER) AS params_left FROM r GROUP BY event_type""")
 def best_run(spark: SparkSession, sf: str) -> DataFrame:
     log = table(spark, sf, "events").groupBy(F.col("event_type").alias("model"), "user_id").agg(F.avg(F.sqrt("value")).alias("rmse"))
     runs = log.select(
@@ -107,7 +107,7 @@ def _target(spark: SparkSession, sf: str) -> DataFrame:
     return training.prepare(hourly_wide(spark, sf).select("ts", "click"), "ts", "click")
 
 
-@query(f"WITH {WALK} SELECT model_name, fold, step, round(t, 6) AS y_true, round(p, 6) AS y_pred, round(m, 6) AS y_pred_log, target_column, date FROM tp")
+@query(f"WITH {WALK} SELECT model_name, fold, step, round_even(t, 6) AS y_true, round_even(p, 6) AS y_pred, round_even(m, 6) AS y_pred_log, target_column, date FROM tp")
 def mean_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(training.general_mode(_target(spark, sf), "ts", "click", [1, 24], 3)[1])
 
@@ -116,13 +116,13 @@ PLAIN = """sqrt(avg(pow(t - p, 2))) AS rmse, avg(abs(t - p)) AS mae, 1 / (1 + av
 
 
 @query(f"WITH {WALK}, s AS (SELECT model_name, target_column, step, fold, {PLAIN} FROM tp GROUP BY ALL) SELECT model_name, target_column, step, "
-       + ", ".join(f"round(avg({m}), 6) AS {m}, round(stddev_samp({m}), 6) AS {m}_std" for m in EV.SCORES) + " FROM s GROUP BY ALL")
+       + ", ".join(f"round_even(avg({m}), 6) AS {m}, round_even(stddev_samp({m}), 6) AS {m}_std" for m in EV.SCORES) + " FROM s GROUP BY ALL")
 def general_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(training.general_mode(_target(spark, sf), "ts", "click", [1, 24], 3)[0])
 
 
-ROUNDED = """round(sqrt(avg(pow(t - p, 2))), 6) AS rmse, round(avg(abs(t - p)), 6) AS mae, round(1 / (1 + avg(pow(t - p, 2)) / var_pop(t)), 6) AS nse,
-  round(1 - avg(pow(t - p, 2)) / var_pop(t), 6) AS r2, CAST(NULL AS DOUBLE) AS kge"""
+ROUNDED = """round_even(sqrt(avg(pow(t - p, 2))), 6) AS rmse, round_even(avg(abs(t - p)), 6) AS mae, round_even(1 / (1 + avg(pow(t - p, 2)) / var_pop(t)), 6) AS nse,
+  round_even(1 - avg(pow(t - p, 2)) / var_pop(t), 6) AS r2, CAST(NULL AS DOUBLE) AS kge"""
 CASE = TRAIN + """, ev AS (SELECT *, count(*) FILTER (ts < TIMESTAMP '2024-01-20') OVER (PARTITION BY step) AS known FROM yn WHERE ts < TIMESTAMP '2024-01-27'),
 cf AS (SELECT step, avg(y) AS m FROM ev WHERE idx < known - 24 GROUP BY step),
 cp AS (SELECT 'DUMMY_CASE_STUDY' AS model_name, 'click' AS target_column, step, exp(y) - 1 AS t, exp(m) - 1 AS p, ts AS date FROM ev JOIN cf USING (step) WHERE ts >= TIMESTAMP '2024-01-20')"""
@@ -133,9 +133,9 @@ def case_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(training.case_mode(_target(spark, sf), "ts", "click", [1, 24], "2024-01-20", "2024-01-27")[0])
 
 
-@query(f"""WITH {CASE} SELECT date, round(max(p) FILTER (step = 1), 6) AS "DUMMY_1h", max(t) FILTER (step = 1) AS y_true_1h0, round(max(p) FILTER (step = 24), 6) AS "DUMMY_24h",
-max(t) FILTER (step = 24) AS y_true_24h0 FROM cp GROUP BY date""".replace("max(t) FILTER (step = 1) AS y_true_1h0", "round(max(t) FILTER (step = 1), 6) AS y_true_1h").replace(
-    "max(t) FILTER (step = 24) AS y_true_24h0", "round(max(t) FILTER (step = 24), 6) AS y_true_24h"))
+@query(f"""WITH {CASE} SELECT date, round_even(max(p) FILTER (step = 1), 6) AS "DUMMY_1h", max(t) FILTER (step = 1) AS y_true_1h0, round_even(max(p) FILTER (step = 24), 6) AS "DUMMY_24h",
+max(t) FILTER (step = 24) AS y_true_24h0 FROM cp GROUP BY date""".replace("max(t) FILTER (step = 1) AS y_true_1h0", "round_even(max(t) FILTER (step = 1), 6) AS y_true_1h").replace(
+    "max(t) FILTER (step = 24) AS y_true_24h0", "round_even(max(t) FILTER (step = 24), 6) AS y_true_24h"))
 def case_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(training.case_mode(_target(spark, sf), "ts", "click", [1, 24], "2024-01-20", "2024-01-27")[2])
 
@@ -143,7 +143,7 @@ def case_predictions(spark: SparkSession, sf: str) -> DataFrame:
 ARX = DAILY + """, d AS (SELECT station, idx, value - lag(value, 1) OVER w AS ar_1, lead(value, 7) OVER w - value AS dy FROM daily WINDOW w AS (PARTITION BY station ORDER BY idx))"""
 
 
-@query(f"WITH {ARX} SELECT 'intercept' AS term, round(regr_intercept(dy, ar_1), 4) AS value FROM d UNION ALL SELECT 'ar_1', round(regr_slope(dy, ar_1), 4) FROM d")
+@query(f"WITH {ARX} SELECT 'intercept' AS term, round_even(regr_intercept(dy, ar_1), 4) AS value FROM d UNION ALL SELECT 'ar_1', round_even(regr_slope(dy, ar_1), 4) FROM d")
 def arx_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     rows = ML.arx_frame(daily_shipments(spark, sf), ["station"], "idx", "value", step=7, order=1)
     return rounded(ML.coefficients(ML.fit_arx(rows, ["ar_1"]), ["ar_1"], rows), 4)
@@ -176,7 +176,7 @@ al AS (SELECT station, ts, value, dy, coalesce(ar_1, 0) AS ar_1, coalesce(ar_2,
   ts < TIMESTAMP '2000-06-01' AND ar_1 IS NOT NULL AND ar_2 IS NOT NULL AND ar_3 IS NOT NULL AND sar_1 IS NOT NULL AS train FROM ch WHERE dy IS NOT NULL)"""
 
 
-@query(f"WITH {CHANGES}, {_least_squares('al', TERMS, 'dy')} SELECT station, ts, value + dy AS y_true, round(value + hat_4, 4) AS y_pred FROM o4 WHERE ts >= TIMESTAMP '2000-06-01'")
+@query(f"WITH {CHANGES}, {_least_squares('al', TERMS, 'dy')} SELECT station, ts, value + dy AS y_true, round_even(value + hat_4, 4) AS y_pred FROM o4 WHERE ts >= TIMESTAMP '2000-06-01'")
 def seasonal_arx(spark: SparkSession, sf: str) -> DataFrame:
     rows = ML.arx_frame(daily_shipments(spark, sf), ["station"], "idx", "value", step=7)
     cut = F.lit("2000-06-01").cast("timestamp_ntz")
@@ -233,8 +233,8 @@ med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS d_{c}' for c in COLS)} FR
 fit AS (SELECT {', '.join(f'avg(coalesce({c}, d_{c})) AS a_{c}, stddev_pop(coalesce({c}, d_{c})) AS s_{c}' for c in COLS)} FROM full_, med WHERE role = 'train')"""
 
 
-@query(f"""WITH RECURSIVE {SNAP} SELECT idx, ts, role AS split, CAST(24 AS INTEGER) AS step, round(y, 6) AS target, 'DUMMY' AS model_name,
-{', '.join(f'round((coalesce({c}, d_{c}) - a_{c}) / s_{c}, 6) + 0.0 AS {c}' for c in COLS)}, {CALENDAR} FROM full_, med, fit""")
+@query(f"""WITH RECURSIVE {SNAP} SELECT idx, ts, role AS split, CAST(24 AS INTEGER) AS step, round_even(y, 6) AS target, 'DUMMY' AS model_name,
+{', '.join(f'round_even((coalesce({c}, d_{c}) - a_{c}) / s_{c}, 6) + 0.0 AS {c}' for c in COLS)}, {CALENDAR} FROM full_, med, fit""")
 def feature_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     rows = training.prepare(hourly_wide(spark, sf).select("ts", *[F.col(s).alias(f"level_{s}") for s in STATIONS]), "ts", "level_click")
     split = splits.event_split(training.with_horizon(rows, "level_click", 24), "ts", "2024-01-20", "2024-01-27", 24)

@@ -15,14 +15,14 @@ from suite.registry import query
 PI2 = "2 * pi()"
 
 
-@query(f"""SELECT l_orderkey, l_partkey, l_linenumber, round(sin({PI2} * l_linenumber / 7), 6) AS l_linenumber_sin, round(cos({PI2} * l_linenumber / 7), 6) AS l_linenumber_cos
+@query(f"""SELECT l_orderkey, l_partkey, l_linenumber, round_even(sin({PI2} * l_linenumber / 7), 6) AS l_linenumber_sin, round_even(cos({PI2} * l_linenumber / 7), 6) AS l_linenumber_cos
 FROM lineitem""")
 def cyclical_encode(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.nature_encode(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_linenumber", 7))
 
 
 def _cycle(part: str, period: str, name: str) -> str:
-    return f"round(sin({PI2} * {part} / {period}), 6) + 0.0 AS {name}_sin, round(cos({PI2} * {part} / {period}), 6) + 0.0 AS {name}_cos"
+    return f"round_even(sin({PI2} * {part} / {period}), 6) + 0.0 AS {name}_sin, round_even(cos({PI2} * {part} / {period}), 6) + 0.0 AS {name}_cos"
 
 
 CALENDAR = f"""CAST(year(ts) AS DOUBLE) AS year, {_cycle('month(ts)', '12', 'month')}, {_cycle('hour(ts)', '24', 'hour')}, {_cycle('dayofyear(ts)', '365', 'dayofyear')},
@@ -51,7 +51,7 @@ def _train(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
 
 
-@query(f"WITH {LINES} SELECT l_returnflag, 'quantity' AS \"column\", round(mq, 6) AS median FROM med UNION ALL SELECT l_returnflag, 'price', round(mp, 6) FROM med "
+@query(f"WITH {LINES} SELECT l_returnflag, 'quantity' AS \"column\", round_even(mq, 6) AS median FROM med UNION ALL SELECT l_returnflag, 'price', round_even(mp, 6) FROM med "
        "UNION ALL SELECT l_returnflag, 'flat', 5.0 FROM med")
 def median_impute(spark: SparkSession, sf: str) -> DataFrame:
     fitted = E.fit_numeric(_train(_lines(spark, sf)), NUMERIC, ["l_returnflag"])
@@ -59,7 +59,7 @@ def median_impute(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, fit AS (SELECT l_returnflag, avg(coalesce(quantity, mq)) AS aq, stddev_pop(coalesce(quantity, mq)) AS sq, avg(price) AS ap, stddev_pop(price) AS sp FROM tr JOIN med USING (l_returnflag) GROUP BY 1)
-SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, round((coalesce(quantity, mq) - aq) / sq, 6) + 0.0 AS quantity, round((price - ap) / sp, 6) + 0.0 AS price, CAST(0.0 AS DOUBLE) AS flat
+SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, round_even((coalesce(quantity, mq) - aq) / sq, 6) + 0.0 AS quantity, round_even((price - ap) / sp, 6) + 0.0 AS price, CAST(0.0 AS DOUBLE) AS flat
 FROM li JOIN med USING (l_returnflag) JOIN fit USING (l_returnflag)""")
 def standard_scale(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf)
@@ -85,7 +85,7 @@ def one_hot_unseen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {TEL}, t AS (SELECT * FROM tel WHERE ts < TIMESTAMP '2024-01-15'), m AS (SELECT quantile_cont(level, 0.5) AS ml FROM t),
 f AS (SELECT avg(coalesce(level, ml)) AS al, stddev_pop(coalesce(level, ml)) AS sl, avg(rain) AS ar, stddev_pop(rain) AS sr FROM t, m)
-SELECT ts, round((coalesce(level, ml) - al) / sl, 6) + 0.0 AS level, round((rain - ar) / sr, 6) + 0.0 AS rain, round(temp, 6) AS "Latitude", {_hot('level_Status', 'coalesce("level_Status", 0)', [0, 1, 2, 3])}
+SELECT ts, round_even((coalesce(level, ml) - al) / sl, 6) + 0.0 AS level, round_even((rain - ar) / sr, 6) + 0.0 AS rain, round_even(temp, 6) AS "Latitude", {_hot('level_Status', 'coalesce("level_Status", 0)', [0, 1, 2, 3])}
 FROM tel, m, f""")
 def column_routing(spark: SparkSession, sf: str) -> DataFrame:
     rows = telemetry(spark, sf).select("ts", "level", "rain", F.col("temp").alias("Latitude"), "level_Status")
@@ -98,18 +98,18 @@ FEATURES = HOURLY_WIDE + """, f0 AS (SELECT ts, click, ln(1 + "view") AS "view",
 
 
 def _engineered(c: str) -> str:
-    return f"""coalesce(lag("{c}", 6) OVER w, 0) AS "lag_6_{c}", round(CASE WHEN count("{c}") OVER (w ROWS 4 PRECEDING) = 5 THEN avg("{c}") OVER (w ROWS 4 PRECEDING) ELSE 0 END, 6) AS "rolling_mean_5_{c}",
-    round(CASE WHEN count("{c}") OVER (w ROWS 4 PRECEDING) = 5 THEN stddev_samp("{c}") OVER (w ROWS 4 PRECEDING) ELSE 0 END, 6) AS "rolling_std_5_{c}",
-    round(coalesce(sum("{c}") OVER (w ROWS 95 PRECEDING), 0), 6) AS "cum_sum_96_{c}\""""
+    return f"""coalesce(lag("{c}", 6) OVER w, 0) AS "lag_6_{c}", round_even(CASE WHEN count("{c}") OVER (w ROWS 4 PRECEDING) = 5 THEN avg("{c}") OVER (w ROWS 4 PRECEDING) ELSE 0 END, 6) AS "rolling_mean_5_{c}",
+    round_even(CASE WHEN count("{c}") OVER (w ROWS 4 PRECEDING) = 5 THEN stddev_samp("{c}") OVER (w ROWS 4 PRECEDING) ELSE 0 END, 6) AS "rolling_std_5_{c}",
+    round_even(coalesce(sum("{c}") OVER (w ROWS 95 PRECEDING), 0), 6) AS "cum_sum_96_{c}\""""
 
 
 @query(f"""WITH {FEATURES}, g AS (SELECT idx, click, "view", {_engineered('click')}, {_engineered('view')} FROM f0 WINDOW w AS (ORDER BY idx))
-SELECT idx, round(click, 6) AS click, round("view", 6) AS "view", round(lag_6_click, 6) AS lag_6_click, round(lag_6_view, 6) AS lag_6_view, rolling_mean_5_view,
+SELECT idx, round_even(click, 6) AS click, round_even("view", 6) AS "view", round_even(lag_6_click, 6) AS lag_6_click, round_even(lag_6_view, 6) AS lag_6_view, rolling_mean_5_click, rolling_mean_5_view,
   rolling_std_5_view, rolling_std_5_click, cum_sum_96_click, cum_sum_96_view FROM g""")
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = training.prepare(hourly_wide(spark, sf).select("ts", "click", "view"), "ts", "view", "2024-01-25")
     made = training.add_features(rows, "ts", [6], [5], [96])
-    return rounded(made.drop("ts", "rolling_mean_5_click"))
+    return rounded(made.drop("ts"))
 
 
 FS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -119,7 +119,7 @@ def _f_score(c: str) -> str:
     return f"SELECT '{c}' AS feature, pow(corr({c}, l_extendedprice), 2) / (1 - pow(corr({c}, l_extendedprice), 2)) * (count(*) - 2) AS f FROM lineitem"
 
 
-@query("SELECT feature, round(f, 4) AS f FROM (" + " UNION ALL ".join(_f_score(c) for c in FS) + ") ORDER BY f DESC LIMIT 2")
+@query("SELECT feature, round_even(f, 4) AS f FROM (" + " UNION ALL ".join(_f_score(c) for c in FS) + ") ORDER BY f DESC LIMIT 2")
 def f_regression_topk(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ML.top_features(table(spark, sf, "lineitem"), FS, "l_extendedprice", 2), 4)
 

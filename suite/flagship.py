@@ -16,8 +16,8 @@ from suite.registry import query
 RAW = SeriesSchema(key="station", ts="ts", values=("level",), meta=(), signed=())
 
 
-@query(f"""WITH {DENSE.replace('round(avg(level), 6)', 'avg(level)')}, m AS (SELECT station, 100.0 * count(*) FILTER (level IS NULL) / count(*) AS missing FROM dense GROUP BY station)
-SELECT station, date_trunc('hour', ts) AS ts, round(avg(level), 6) AS level, max("level_Status") AS "level_Status", round(max(missing), 6) AS missing_percentage
+@query(f"""WITH {DENSE.replace('round_even(avg(level), 6)', 'avg(level)')}, m AS (SELECT station, 100.0 * count(*) FILTER (level IS NULL) / count(*) AS missing FROM dense GROUP BY station)
+SELECT station, date_trunc('hour', ts) AS ts, round_even(avg(level), 6) AS level, max("level_Status") AS "level_Status", round_even(max(missing), 6) AS missing_percentage
 FROM dense JOIN m USING (station) GROUP BY 1, 2""")
 def hourly_level_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
     raw = telemetry(spark, sf).select("station", "ts", "level", "level_Status")

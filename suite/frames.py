@@ -98,8 +98,8 @@ TEL = """tel AS (
     CASE WHEN event_id % 3 <> 0 THEN event_id % 4 END AS "level_Status"
   FROM events)"""
 QUARTER = TEL + """, quarter AS (
-  SELECT station, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round(avg(level), 6) AS level, round(avg(rain), 6) AS rain,
-    round(avg(temp), 6) AS temp, max("level_Status") AS "level_Status"
+  SELECT station, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round_even(avg(level), 6) AS level, round_even(avg(rain), 6) AS rain,
+    round_even(avg(temp), 6) AS temp, max("level_Status") AS "level_Status"
   FROM tel GROUP BY 1, 2)"""
 DENSE = QUARTER + """, slots AS (
   SELECT station, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTE)) AS ts
@@ -110,7 +110,7 @@ DENSE = QUARTER + """, slots AS (
 HOURLY = TEL + """, hours AS (
   SELECT station, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts
   FROM (SELECT DISTINCT station FROM tel)), hr AS (
-  SELECT station, date_trunc('hour', ts) AS ts, round(avg(level), 6) AS level, round(avg(rain), 6) AS rain, round(avg(temp), 6) AS temp
+  SELECT station, date_trunc('hour', ts) AS ts, round_even(avg(level), 6) AS level, round_even(avg(rain), 6) AS rain, round_even(avg(temp), 6) AS temp
   FROM tel GROUP BY 1, 2), hourly AS (
   SELECT h.station, h.ts, r.level, r.rain, r.temp, row_number() OVER (PARTITION BY h.station ORDER BY h.ts) - 1 AS idx
   FROM hours h LEFT JOIN hr r ON h.station = r.station AND h.ts = r.ts)"""

@@ -57,8 +57,8 @@ def _upsert(runs: str) -> str:
       coalesce(n.step, o.step) AS step, CASE WHEN o.rmse IS NULL OR n.rmse < o.rmse THEN n.rmse ELSE o.rmse END AS rmse,
       CASE WHEN o.rmse IS NULL OR n.rmse < o.rmse THEN n.mae ELSE o.mae END AS mae
       FROM named n FULL JOIN old o USING (model_name, target_column, step))
-    SELECT model_name, target_column, step, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM cur
-    UNION ALL SELECT model_name, target_column, step, round(rmse, 6), round(mae, 6) FROM full_"""
+    SELECT model_name, target_column, step, round_even(rmse, 6) AS rmse, round_even(mae, 6) AS mae FROM cur
+    UNION ALL SELECT model_name, target_column, step, round_even(rmse, 6), round_even(mae, 6) FROM full_"""
 
 
 RUNS = """r AS (SELECT event_type AS model_name, 'level' AS target_column, CAST(hour(ts) % 3 AS INTEGER) AS step, ts >= TIMESTAMP '2024-01-16' AS late,

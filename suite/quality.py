@@ -59,7 +59,7 @@ full2 AS (SELECT * FROM q3 WHERE level IS NOT NULL AND rain IS NOT NULL AND stat
 
 
 @query(f"""WITH {THREE} {_ecod('full3', ['level', 'rain', 'flow'])}, {_ecod('full2', ['level', 'rain']).replace('ec1', 'ed1').replace('ec2', 'ed2').replace('ec AS', 'ed AS')}
-SELECT q3.station, q3.ts, round(coalesce(ec.ecod, ed.ecod), 6) AS ecod FROM q3 LEFT JOIN ec USING (station, ts) LEFT JOIN ed USING (station, ts)""")
+SELECT q3.station, q3.ts, round_even(coalesce(ec.ecod, ed.ecod), 6) AS ecod FROM q3 LEFT JOIN ec USING (station, ts) LEFT JOIN ed USING (station, ts)""")
 def ecod_score(spark: SparkSession, sf: str) -> DataFrame:
     features = ["level", "rain", "flow"]
     flow = F.when(~F.col("station").isin("click", "view"), F.col("temp"))
@@ -67,13 +67,13 @@ def ecod_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(outliers.ecod_score(marked, ["station"], features).select("station", "ts", "ecod"))
 
 
-@query(f"WITH {SCORES} SELECT station, ts, round(pca, 6) AS pca FROM scored")
+@query(f"WITH {SCORES} SELECT station, ts, round_even(pca, 6) AS pca FROM scored")
 def pca_score(spark: SparkSession, sf: str) -> DataFrame:
     marked = outliers.mark_complete(quarter(spark, sf), ["station"], ["level", "rain"]).filter("_complete")
     return rounded(outliers.pca_score(marked, ["station"], ["level", "rain"]).select("station", "ts", "pca"))
 
 
-@query(f"""WITH {_flagged('iqr')} SELECT station, round(max(ecod_threshold), 6) AS ecod_threshold, count(*) FILTER (ecod_outlier) AS outliers FROM flagged GROUP BY station""")
+@query(f"""WITH {_flagged('iqr')} SELECT station, round_even(max(ecod_threshold), 6) AS ecod_threshold, count(*) FILTER (ecod_outlier) AS outliers FROM flagged GROUP BY station""")
 def ecod_threshold_flag(spark: SparkSession, sf: str) -> DataFrame:
     flagged = outliers.flag_outliers(quarter(spark, sf), QC, "iqr", detectors=["ecod"])
     return rounded(flagged.groupBy("station").agg(F.max("ecod_threshold").alias("ecod_threshold"), F.count_if("ecod_outlier").alias("outliers")))
@@ -94,8 +94,8 @@ def outlier_removal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _report(d: str) -> str:
-    return f"""SELECT station, '{d}' AS detector, round(max({d}_threshold), 6) AS threshold, count(*) FILTER ({d}_outlier) AS outliers, count(*) AS rows,
-    round(100.0 * count(*) FILTER ({d}_outlier) / count(*), 6) AS outlier_rate FROM flagged GROUP BY station"""
+    return f"""SELECT station, '{d}' AS detector, round_even(max({d}_threshold), 6) AS threshold, count(*) FILTER ({d}_outlier) AS outliers, count(*) AS rows,
+    round_even(100.0 * count(*) FILTER ({d}_outlier) / count(*), 6) AS outlier_rate FROM flagged GROUP BY station"""
 
 
 @query(f"WITH {_flagged('0.95')} {_report('ecod')} UNION ALL {_report('pca')}")
@@ -108,8 +108,8 @@ def detector_comparison(spark: SparkSession, sf: str) -> DataFrame:
 e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM s),
 v AS (SELECT *, b / sqrt(b * b + pow(l1 - a, 2)) AS x1, (l1 - a) / sqrt(b * b + pow(l1 - a, 2)) AS y1 FROM e),
 w AS (SELECT *, CASE WHEN abs(x1) >= abs(y1) THEN sign(x1) ELSE sign(y1) END AS s1, CASE WHEN abs(y1) >= abs(x1) THEN sign(-y1) ELSE sign(x1) END AS s2 FROM v)
-SELECT station, ts, round(s1 * ((level - ml) * x1 + (rain - mr) * y1), 6) AS pc1, round(l1 / (l1 + l2), 6) AS explained1,
-  round(s2 * ((level - ml) * -y1 + (rain - mr) * x1), 6) AS pc2, round(l2 / (l1 + l2), 6) AS explained2 FROM comp JOIN w USING (station)""")
+SELECT station, ts, round_even(s1 * ((level - ml) * x1 + (rain - mr) * y1), 6) AS pc1, round_even(l1 / (l1 + l2), 6) AS explained1,
+  round_even(s2 * ((level - ml) * -y1 + (rain - mr) * x1), 6) AS pc2, round_even(l2 / (l1 + l2), 6) AS explained2 FROM comp JOIN w USING (station)""")
 def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
     marked = outliers.mark_complete(quarter(spark, sf), ["station"], ["level", "rain"])
     made = outliers.project(marked, ["station"], ["level", "rain"])
@@ -179,8 +179,8 @@ def spline_fill(spark: SparkSession, sf: str) -> DataFrame:
     return filled.withColumns({m: F.col(m) + F.lit(0.0) for m in METRICS})
 
 
-@query(f"""{FILLED} SELECT station AS station_id, 'before' AS period, round(100.0 * count(*) FILTER (level IS NULL) / count(*), 6) AS missing_percentage FROM dense GROUP BY station
-UNION ALL SELECT d.station, 'after', round(100.0 * count(*) FILTER (d.level IS NULL AND f_level.fill IS NULL) / count(*), 6) FROM dense d {JOINS} GROUP BY d.station""")
+@query(f"""{FILLED} SELECT station AS station_id, 'before' AS period, round_even(100.0 * count(*) FILTER (level IS NULL) / count(*), 6) AS missing_percentage FROM dense GROUP BY station
+UNION ALL SELECT d.station, 'after', round_even(100.0 * count(*) FILTER (d.level IS NULL AND f_level.fill IS NULL) / count(*), 6) FROM dense d {JOINS} GROUP BY d.station""")
 def missing_before_after(spark: SparkSession, sf: str) -> DataFrame:
     _, missing = fill_gaps(quarter(spark, sf), SCHEMA, LO, HI, QUARTER_HOUR, LIMIT)
     return rounded(missing)

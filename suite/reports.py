@@ -40,13 +40,13 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'manual', 100.0 * count(*) FILTER (manual IS NULL) / count(*) FROM tel
 UNION ALL SELECT 'rain', 100.0 * count(*) FILTER (rain IS NULL) / count(*) FROM tel
 UNION ALL SELECT 'level_Status', 100.0 * count(*) FILTER ("level_Status" IS NULL) / count(*) FROM tel)
-SELECT "column", round(percent, 6) AS percent FROM p WHERE percent > 0""")
+SELECT "column", round_even(percent, 6) AS percent FROM p WHERE percent > 0""")
 def null_percent(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.null_percent(telemetry(spark, sf), ["level", "manual", "rain", "level_Status"]))
 
 
 def _corr(a: str, b: str) -> str:
-    return f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM t"
+    return f"SELECT '{a}' AS a, '{b}' AS b, round_even(corr({a}, {b}), 6) AS r FROM t"
 
 
 PAIRS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -70,9 +70,9 @@ def imputed_flags(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.imputed_flags(telemetry(spark, sf), _filled(spark, sf), "station", "ts", "level")
 
 
-@query(f"""WITH {FLAGS} SELECT station, round(avg(original) FILTER (NOT was_missing), 6) AS original_mean, round(stddev_samp(original) FILTER (NOT was_missing), 6) AS original_std,
-  round(avg(filled) FILTER (was_missing), 6) AS imputed_mean, round(stddev_samp(filled) FILTER (was_missing), 6) AS imputed_std,
-  round(abs(avg(original) FILTER (NOT was_missing) - avg(filled) FILTER (was_missing)), 6) AS mean_difference FROM flags GROUP BY station""")
+@query(f"""WITH {FLAGS} SELECT station, round_even(avg(original) FILTER (NOT was_missing), 6) AS original_mean, round_even(stddev_samp(original) FILTER (NOT was_missing), 6) AS original_std,
+  round_even(avg(filled) FILTER (was_missing), 6) AS imputed_mean, round_even(stddev_samp(filled) FILTER (was_missing), 6) AS imputed_std,
+  round_even(abs(avg(original) FILTER (NOT was_missing) - avg(filled) FILTER (was_missing)), 6) AS mean_difference FROM flags GROUP BY station""")
 def imputed_distribution(spark: SparkSession, sf: str) -> DataFrame:
     flags = reshape.imputed_flags(telemetry(spark, sf), _filled(spark, sf), "station", "ts", "level")
     return rounded(reports.imputation_distribution(flags, ["station"]))
@@ -102,15 +102,15 @@ def imputation_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {HOURLY}, m AS (UNPIVOT (SELECT station, avg(ln(1 + level)) AS level, avg(ln(1 + rain)) AS rain, avg(ln(21 + temp)) AS temp FROM hourly GROUP BY station) ON level, rain, temp INTO NAME feature VALUE v)
-SELECT feature, round(max(v) FILTER (station = 'click'), 6) AS click, round(max(v) FILTER (station = 'error'), 6) AS error, round(max(v) FILTER (station = 'purchase'), 6) AS purchase,
-  round(max(v) FILTER (station = 'signup'), 6) AS signup, round(max(v) FILTER (station = 'view'), 6) AS "view" FROM m GROUP BY feature""")
+SELECT feature, round_even(max(v) FILTER (station = 'click'), 6) AS click, round_even(max(v) FILTER (station = 'error'), 6) AS error, round_even(max(v) FILTER (station = 'purchase'), 6) AS purchase,
+  round_even(max(v) FILTER (station = 'signup'), 6) AS signup, round_even(max(v) FILTER (station = 'view'), 6) AS "view" FROM m GROUP BY feature""")
 def initial_means(spark: SparkSession, sf: str) -> DataFrame:
     logged = hourly(spark, sf).select("station", F.log1p("level").alias("level"), F.log1p("rain").alias("rain"), F.log1p(F.col("temp") + 20).alias("temp"))
     return rounded(reports.initial_means(logged, "station", ["level", "rain", "temp"], STATIONS))
 
 
 @query("""SELECT lang, count(*) FILTER ((n_chars > 2000) <> (quality = 1)) AS errors,
-  round(count(*) FILTER ((n_chars > 2000) <> (quality = 1)) / count(*), 6) AS error_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+  round_even(count(*) FILTER ((n_chars > 2000) <> (quality = 1)) / count(*), 6) AS error_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
 def label_errors(spark: SparkSession, sf: str) -> DataFrame:
     both = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id")
     both = both.select("lang", (F.col("n_chars") > 2000).alias("pred"), (F.col("quality") == 1).alias("truth"))

@@ -34,7 +34,7 @@ preds AS (SELECT station || '_' || m AS model_name, CAST((day(ts) - 1) // 10 + 1
   FROM lg, (SELECT unnest(['P', 'S']) AS m), (SELECT unnest([1, 24]) AS step) WHERE CASE WHEN step = 1 THEN n1 ELSE n24 END IS NOT NULL)"""
 
 
-@query(f"WITH {TEL} SELECT station, event_id, m.metric, round(m.value, 6) AS value FROM (SELECT station, event_id, unnest([{{'metric': 'level', 'value': level}}, "
+@query(f"WITH {TEL} SELECT station, event_id, m.metric, round_even(m.value, 6) AS value FROM (SELECT station, event_id, unnest([{{'metric': 'level', 'value': level}}, "
        "{'metric': 'rain', 'value': rain}, {'metric': 'temp', 'value': temp}]) AS m FROM tel)")
 def melt(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.melt(telemetry(spark, sf), ["station", "event_id"], ["level", "rain", "temp"]))
@@ -57,7 +57,7 @@ def pivot_wide(spark: SparkSession, sf: str) -> DataFrame:
 def _wide_sql(source: str) -> str:
     cells = []
     for step in STEPS:
-        cells += [f"round(avg(y_pred) FILTER (step = {step} AND model_name = '{m}'), 6) AS \"{m}_{step}h\"" for m in MODELS]
+        cells += [f"round_even(avg(y_pred) FILTER (step = {step} AND model_name = '{m}'), 6) AS \"{m}_{step}h\"" for m in MODELS]
         cells.append(f"arg_min(y_true, model_name) FILTER (step = {step} AND y_true IS NOT NULL) AS y_true_{step}h")
     return f"SELECT date, {', '.join(cells)} FROM {source} GROUP BY date"
 
@@ -75,7 +75,7 @@ def horizon_view(spark: SparkSession, sf: str) -> DataFrame:
 def _general(where: str) -> str:
     cells = ", ".join(f"{{'model': '{m}', 'y_pred': avg(y_pred) FILTER (model_name = '{m}')}}" for m in MODELS)
     return f"""r AS (SELECT * FROM preds WHERE step = 24 {where}), g AS (SELECT date, arg_min(y_true, {{'m': model_name, 'f': fold}}) FILTER (y_true IS NOT NULL) AS y_true, unnest([{cells}]) AS c FROM r GROUP BY date)
-    SELECT date, y_true, c.model AS model, round(c.y_pred, 6) AS y_pred, round(sqrt(avg(pow(c.y_pred - y_true, 2)) OVER (PARTITION BY c.model)), 6) AS rmse FROM g"""
+    SELECT date, y_true, c.model AS model, round_even(c.y_pred, 6) AS y_pred, round_even(sqrt(avg(pow(c.y_pred - y_true, 2)) OVER (PARTITION BY c.model)), 6) AS rmse FROM g"""
 
 
 @query(f"WITH {PREDS}, {_general('AND fold = (SELECT max(fold) FROM preds)')}")
@@ -100,7 +100,7 @@ KGE = """1 - sqrt(pow(corr(t, p) - 1, 2) + pow((stddev_pop(p) / avg(p)) / (stdde
 
 @query(f"""WITH {PREDS}, w AS ({_wide_sql('preds')}), v AS (SELECT * FROM w WHERE date > TIMESTAMP '2024-01-10'),
 l AS (SELECT y_true_24h AS t0, unnest([{', '.join(f"{{'m': '{m}', 'p': \"{m}_24h\"}}" for m in MODELS)}]) AS c FROM v),
-n AS (SELECT c.m AS model, t0 AS t, c.p AS p FROM l WHERE t0 IS NOT NULL AND c.p IS NOT NULL) SELECT model, round({KGE}, 6) AS kge FROM n GROUP BY model""")
+n AS (SELECT c.m AS model, t0 AS t, c.p AS p FROM l WHERE t0 IS NOT NULL AND c.p IS NOT NULL) SELECT model, round_even({KGE}, 6) AS kge FROM n GROUP BY model""")
 def case_comparison(spark: SparkSession, sf: str) -> DataFrame:
     wide = R.predictions_wide(predictions(spark, sf), MODELS, STEPS)
     return rounded(R.case_comparison(wide, 24, "2024-01-10")[1])

@@ -23,7 +23,7 @@ def _binned(bin_sql: str, step: str, label: str = "b") -> str:
     a AS (SELECT station, b, avg(level) AS level, avg(rain) AS rain, max("level_Status") AS "level_Status", arg_min(manual, ts) FILTER (manual IS NOT NULL) AS manual
       FROM x GROUP BY station, b),
     bins AS (SELECT station, unnest(generate_series(min(b), max(b), {step})) AS b FROM a GROUP BY station)
-    SELECT bins.station, {label} AS ts, round(level, 6) AS level, round(rain, 6) AS rain, "level_Status", round(manual, 6) AS manual
+    SELECT bins.station, {label} AS ts, round_even(level, 6) AS level, round_even(rain, 6) AS rain, "level_Status", round_even(manual, 6) AS manual
     FROM bins LEFT JOIN a ON bins.station = a.station AND {label} = a.b"""
 
 
@@ -67,7 +67,7 @@ def resample_month(spark: SparkSession, sf: str) -> DataFrame:
     return resample(shipments(spark, sf), "station", "ts", "ME", {"value": "sum"})
 
 
-@query(f"""WITH {DENSE} SELECT station AS station_id, 'before' AS period, round(100.0 * count(*) FILTER (level IS NULL) / count(*), 6) AS missing_percentage
+@query(f"""WITH {DENSE} SELECT station AS station_id, 'before' AS period, round_even(100.0 * count(*) FILTER (level IS NULL) / count(*), 6) AS missing_percentage
 FROM dense GROUP BY station""")
 def missing_rate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gaps.missing_rate(dense(spark, sf), "station", "level", "before"))
@@ -97,7 +97,7 @@ def lag_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _full(expr: str, size: int) -> str:
-    return f"CASE WHEN count(level) OVER w{size} = {size} THEN round({expr}(ln(1 + level)) OVER w{size}, 6) END"
+    return f"CASE WHEN count(level) OVER w{size} = {size} THEN round_even({expr}(ln(1 + level)) OVER w{size}, 6) END"
 
 
 @query(f"""WITH {HOURLY} SELECT station, idx, {_full('avg', 6)} AS rolling_mean_6_level, {_full('stddev_samp', 6)} AS rolling_std_6_level,
@@ -166,12 +166,13 @@ def rolling_mode(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("station", "idx", "mode_8", "mode_96")
 
 
-@query(f"""WITH {DENSE} SELECT d.station, d.idx, round(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 95 PRECEDING), 2) AS rain_1d,
-  round(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 671 PRECEDING), 2) AS rain_7d, CAST(a.m AS BIGINT) AS "rain_1d_Status", CAST(b.m AS BIGINT) AS "rain_7d_Status"
-FROM dense d JOIN {_mode_sql(96)} a USING (station, idx) JOIN {_mode_sql(672)} b USING (station, idx)""")
+@query(f"""WITH {DENSE} SELECT d.station, d.idx, round_even(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 95 PRECEDING), 2) AS rain_1d,
+  round_even(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 671 PRECEDING), 2) AS rain_7d, round_even(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 2879 PRECEDING), 2) AS rain_30d,
+  CAST(a.m AS BIGINT) AS "rain_1d_Status", CAST(b.m AS BIGINT) AS "rain_7d_Status", CAST(c.m AS BIGINT) AS "rain_30d_Status"
+FROM dense d JOIN {_mode_sql(96)} a USING (station, idx) JOIN {_mode_sql(672)} b USING (station, idx) JOIN {_mode_sql(2880)} c USING (station, idx)""")
 def rain_accumulation(spark: SparkSession, sf: str) -> DataFrame:
     rows = dense(spark, sf).select("station", "idx", F.log1p("rain").alias("rain"), "level_Status")
-    return windows.accumulate_rain(rows, ["station"], "idx", "rain", "level_Status", {1: 96, 7: 672}).drop("rain", "level_Status")
+    return windows.accumulate_rain(rows, ["station"], "idx", "rain", "level_Status").drop("rain", "level_Status")
 
 
 @query("""SELECT l_suppkey, l_extendedprice, count(*) AS cnt, CAST(sum(count(*)) OVER w AS BIGINT) AS cum,
@@ -181,8 +182,8 @@ def value_ecdf(spark: SparkSession, sf: str) -> DataFrame:
     return value_ranks(table(spark, sf, "lineitem"), ["l_suppkey"], "l_extendedprice")
 
 
-@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.75), 6) AS p75,
-  round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY l_returnflag""")
+@query("""SELECT l_returnflag, round_even(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round_even(quantile_cont(l_extendedprice, 0.75), 6) AS p75,
+  round_even(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round_even(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY l_returnflag""")
 def score_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     probs = {"p25": 0.25, "p75": 0.75, "p95": 0.95, "p99": 0.99}
     return rounded(percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", probs))
@@ -190,8 +191,8 @@ def score_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {TEL}, m AS (UNPIVOT (SELECT station, level, rain, temp FROM tel) ON level, rain, temp INTO NAME metric VALUE value),
 s AS (SELECT station, metric, count(value) AS points, min(value) AS lo, max(value) AS hi FROM m GROUP BY 1, 2)
-SELECT station, metric, points, round(CASE WHEN metric = 'temp' THEN lo - 0.5 * (hi - lo) ELSE greatest(lo - 0.5 * (hi - lo), 0) END, 6) AS lower_bound,
-  round(hi + 0.5 * (hi - lo), 6) AS upper_bound FROM s""")
+SELECT station, metric, points, round_even(CASE WHEN metric = 'temp' THEN lo - 0.5 * (hi - lo) ELSE greatest(lo - 0.5 * (hi - lo), 0) END, 6) AS lower_bound,
+  round_even(hi + 0.5 * (hi - lo), 6) AS upper_bound FROM s""")
 def clip_bounds(spark: SparkSession, sf: str) -> DataFrame:
     long = telemetry(spark, sf).unpivot(["station"], ["level", "rain", "temp"], "metric", "value")
     return rounded(value_bounds(long, ["station", "metric"], "value", F.col("metric") == "temp"))

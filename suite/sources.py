@@ -17,7 +17,7 @@ from suite.frames import SHIP, TEL, rounded, shipments, table, telemetry
 from suite.registry import query
 
 
-@query("SELECT event_type AS station, count(*) AS n, round(avg(sqrt(value)), 6) AS mean_value FROM events GROUP BY event_type")
+@query("SELECT event_type AS station, count(*) AS n, round_even(avg(sqrt(value)), 6) AS mean_value FROM events GROUP BY event_type")
 def sql_scan(spark: SparkSession, sf: str) -> DataFrame:
     tables.register(spark, sf, ["events"])
     out = tables.run(spark, "SELECT event_type AS station, count(*) AS n, avg(sqrt(value)) AS mean_value FROM events GROUP BY event_type")
@@ -184,7 +184,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
 
 
-@query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS ts, round(avg(sqrt(value)), 6) AS value FROM events
+@query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS ts, round_even(avg(sqrt(value)), 6) AS value FROM events
 GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     made = ingest.resample_stream(_stream(spark, sf).withColumn("value", F.sqrt("value")), "event_type", "ts", "1 hour", {"value": "mean"}, "2 hours")

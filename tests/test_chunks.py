@@ -68,20 +68,19 @@ def test_chunked_windows_equal_plain_windows(spark, before, after, rows):
     assert made.count() == 157
 
 
-@pytest.mark.parametrize("parts, small", [(2, 0), (7, 0), (32, 0), (32, 10_000)])
-def test_ranks_and_percentiles(spark, parts, small):
-    rng = np.random.default_rng(parts)
+def test_ranks_and_percentiles(spark):
+    rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"s": rng.choice(["a", "b"], 900), "v": np.round(rng.lognormal(0, 3, 900), 1)})
     pdf.loc[rng.choice(900, 300, replace=False), "v"] = 0.0
     pdf.loc[5:20, "v"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    got = C.value_ranks(df, ["s"], "v", parts, small).toPandas().sort_values(["s", "v"])
+    got = C.value_ranks(df, ["s"], "v").toPandas().sort_values(["s", "v"])
     for s, part in got.groupby("s"):
         values = pdf.loc[(pdf.s == s) & pdf.v.notna(), "v"]
         assert list(part["v"]) == sorted(values.unique())
         assert list(part["cum"]) == [(values <= v).sum() for v in part["v"]]
         assert set(part["n"]) == {len(values)}
-    cuts = C.percentiles(df, ["s"], "v", {"a": 0.25, "b": 0.5, "c": 0.99, "d": 1.0}, parts, small).toPandas().set_index("s")
+    cuts = C.percentiles(df, ["s"], "v", {"a": 0.25, "b": 0.5, "c": 0.99, "d": 1.0}).toPandas().set_index("s")
     for s in ("a", "b"):
         values = pdf.loc[(pdf.s == s) & pdf.v.notna(), "v"]
         assert np.allclose(cuts.loc[s, ["a", "b", "c", "d"]].astype(float), np.percentile(values, [25, 50, 99, 100]))
@@ -94,5 +93,17 @@ def test_expand_slots(spark, small_chunks):
     assert list(got[got.s == "b"]["slot"]) == [5]
 
 
-def test_is_small(spark):
-    assert C.is_small(spark.range(10), 10) and not C.is_small(spark.range(11), 10)
+def test_a_large_group_is_ranked_in_many_pieces(spark):
+    df = spark.range(40_000).select(F.lit("a").alias("s"), F.pmod(F.xxhash64("id"), F.lit(30_011)).cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = C.value_ranks(df, ["s"], "v")
+        plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+        assert "_part" in plan
+        got = ranks.orderBy("v").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got["cum"].iloc[-1] == 40_000 == got["n"].iloc[0] and (got["cum"].diff().dropna() == got["cnt"].iloc[1:]).all()

@@ -72,3 +72,12 @@ def test_sweep_orders_by_error(spark):
     rows = spark.range(60).select(F.col("id").cast("double").alias("y"), (F.col("id") % 2 + 1).cast("int").alias("fold"), F.when(F.col("id") < 40, "train").otherwise("test").alias("role"))
     got = ML.sweep(rows, [{"c": 100.0}, {"c": 50.0}], [1, 2], lambda train, p: lambda test: test.withColumn("y_pred", F.lit(p["c"]))).collect()
     assert [r["params"]["c"] for r in got] == ["50.0", "100.0"] and got[0]["rmse"] < got[1]["rmse"]
+
+
+def test_a_missing_best_score_stays(spark):
+    from gaugeline.operators.evaluate import best_so_far
+
+    now = spark.createDataFrame([("m", "y", 1, 3.0)], "model_name string, target_column string, step int, rmse double")
+    old = spark.createDataFrame([("m_BEST", "y", 1, float("nan"))], now.schema)
+    kept = best_so_far(now, old).filter("model_name = 'm_BEST'").first()
+    assert kept["rmse"] != kept["rmse"]

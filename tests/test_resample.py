@@ -61,3 +61,14 @@ def test_configured_grid(spark):
 def test_one_per_slot(spark):
     df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 3, "y"), ("a", 1, 3, "y"), ("a", 2, None, "z")], "s string, slot int, o int, v string")
     assert sorted(map(tuple, one_per_slot(df, ["s", "slot"], ["o"]).collect())) == [("a", 1, 3, "y"), ("a", 2, None, "z")]
+
+
+def test_readings_without_a_station_are_kept(spark):
+    from gaugeline.operators.grid import grid_join
+    from gaugeline.operators.resample import resample
+
+    df = spark.createDataFrame([(None, "2024-01-01 00:00:00", 2.0), ("a", "2024-01-01 00:00:00", 1.0)], "k string, t string, v double")
+    df = df.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    on_grid = grid_join(df, "k", "t", "2024-01-01 00:00:00", "2024-01-01 01:00:00", 3600)
+    assert sorted((r["k"] or "", r["v"] or 0) for r in on_grid.collect()) == [("", 0), ("", 2.0), ("a", 0), ("a", 1.0)]
+    assert sorted((r["k"] or "", r["v"]) for r in resample(df, "k", "t", "h", {"v": "mean"}).collect()) == [("", 2.0), ("a", 1.0)]

@@ -99,3 +99,25 @@ def test_gap_blocks_with_long_gaps(spark):
     counts = gap_distribution(df.filter("s = 'a'"), ["s"], "idx", "v").toPandas()
     assert counts["gaps"].sum() == len(expected)
     assert missing_rate(df, "s", "v", "before").filter("station_id = 'empty'").first()["missing_percentage"] == 100.0
+
+
+def test_rolling_forgets_levels_spikes_and_nan(spark, small_chunks):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(1e6, 10, 60), rng.normal(0, 1e-3, 60)])
+    made = W.row_features(series(spark, v), ["s"], "idx", ["v"], windows=[8], sums=[8]).orderBy("idx").toPandas()
+    plain = [np.std(v[k - 7 : k + 1], ddof=1) for k in range(70, 120)]
+    assert np.allclose(made["rolling_std_8_v"][70:], plain, rtol=1e-9, atol=0)
+    assert np.allclose(made["cum_sum_8_v"][70:], [v[k - 7 : k + 1].sum() for k in range(70, 120)], rtol=0, atol=1e-15)
+    spike = series(spark, [1e16, 1.0, 1.0, 1.0, 0.1, 0.2])
+    made = W.row_features(spike, ["s"], "idx", ["v"], sums=[2]).orderBy("idx").toPandas()
+    assert np.allclose(made["cum_sum_2_v"][2:], [2, 2, 1.1, 0.3], rtol=1e-15)
+    holed = spark.range(12).select(F.lit("a").alias("s"), F.col("id").alias("idx"), F.when(F.col("id") == 3, float("nan")).otherwise(F.col("id") + 0.0).alias("v"))
+    made = W.row_features(holed, ["s"], "idx", ["v"], windows=[3], sums=[3]).orderBy("idx").toPandas()
+    assert made["rolling_mean_3_v"][2] == 1 and made["rolling_mean_3_v"][3:6].isna().all() and made["rolling_mean_3_v"][6] == 5
+    assert list(made["cum_sum_3_v"][3:7]) == [3, 6, 9, 15]
+
+
+def test_any_code_counts(spark):
+    df = spark.createDataFrame([("a", k, c) for k, c in enumerate([7, 7, 7, 1])], "s string, idx long, c int")
+    got = W.rolling_mode(df, ["s"], "idx", "c", [3]).orderBy("idx").collect()
+    assert [r["mode_3"] for r in got] == [7, 7, 7, 7]
