@@ -72,6 +72,5 @@ def event_split(df: DataFrame, ts: str, start: str, end: str, block: int) -> Dat
 
 
 def tail(df: DataFrame, ts: str, rows: int, then: Sequence[str] = ()) -> DataFrame:
-    """The last ``rows`` rows of the frame; ``then`` orders rows of one timestamp."""
-    indexed = with_series_index(df, [], ts, "_idx", then=then)
-    return indexed.filter(F.col("_idx") >= row_count(indexed, "_idx") - rows).drop("_idx")
+    """The last ``rows`` rows of the frame; ``then`` orders rows of one timestamp. Each partition hands on its last rows only."""
+    return df.orderBy(*[F.col(c).desc() for c in (ts, *then)]).limit(rows)

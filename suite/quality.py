@@ -104,6 +104,16 @@ def detector_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(outliers.detector_report(flagged, ["station"]))
 
 
+@query(f"WITH {_flagged('0.95')}, report AS ({_report('ecod')} UNION ALL {_report('pca')}) SELECT * FROM report WHERE station = 'view'")
+def station_detectors(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(outliers.compare_detectors(quarter(spark, sf), QC, "view", "percentile", 0.95)[1])
+
+
+@query(f"WITH {_flagged('0.95').replace('FROM quarter', 'FROM (SELECT * REPLACE (' + chr(39) + 'all' + chr(39) + ' AS station) FROM quarter)')} {_report('ecod')} UNION ALL {_report('pca')}")
+def all_detectors(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(outliers.compare_detectors(quarter(spark, sf), QC, None, "percentile", 0.95)[1])
+
+
 @query(f"""WITH {COMPLETE}, s AS (SELECT station, avg(level) AS ml, avg(rain) AS mr, var_pop(level) AS a, covar_pop(level, rain) AS b, var_pop(rain) AS c FROM comp GROUP BY station),
 e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM s),
 v AS (SELECT *, b / sqrt(b * b + pow(l1 - a, 2)) AS x1, (l1 - a) / sqrt(b * b + pow(l1 - a, 2)) AS y1 FROM e),

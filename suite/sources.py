@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import half_even
-from gaugeline.session import shared_folder
+from gaugeline.session import checkpointed, shared_folder
 from gaugeline.sources import payloads, tables
 from gaugeline.streaming import ingest
 from suite.frames import SHIP, TEL, rounded, shipments, table, telemetry
@@ -172,6 +172,75 @@ def csv_export(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(out.schema).option("header", True).csv(path)
 
 
+def _written(spark: SparkSession, write) -> DataFrame:
+    """The rows of a table of its own after ``write(name)``; the table itself goes."""
+    name = f"written_{uuid.uuid4().hex}"
+    write(name)
+    rows = checkpointed(spark.table(name))
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey >= 10")
+def replace_table(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _customers(spark, sf)
+
+    def write(name: str) -> None:
+        tables.replace_table(rows, name)
+        tables.replace_table(rows.filter("c_nationkey >= 10").drop("c_nationkey"), name)
+
+    return _written(spark, write)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 10 UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def append_positional(spark: SparkSession, sf: str) -> DataFrame:
+    def write(name: str) -> None:
+        tables.replace_table(_customers(spark, sf).filter("c_nationkey < 10").drop("c_nationkey"), name)
+        tables.append_positional(table(spark, sf, "supplier").select("s_suppkey", "s_name"), name)
+
+    return _written(spark, write)
+
+
+@query("""SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey < 10
+UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey END, c_name, NULL FROM customer WHERE c_nationkey >= 10""")
+def append_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _customers(spark, sf)
+    late = rows.filter("c_nationkey >= 10").select(
+        "c_name", F.lit("not in the table").alias("extra"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise("no number").alias("c_custkey")
+    )
+
+    def write(name: str) -> None:
+        tables.append_aligned(rows.filter("c_nationkey < 10"), name)  # there is no table yet
+        tables.append_aligned(late, name)
+
+    return _written(spark, write)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM customer")
+def append_absent(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _customers(spark, sf).select("c_custkey")
+
+    def write(name: str) -> None:
+        tables.replace_table(rows.filter("c_custkey % 3 = 0").withColumn("origin", F.lit("old")), name)
+        tables.append_absent(rows.withColumn("origin", F.lit("new")), name, ["c_custkey"])
+
+    return _written(spark, write)
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def payload_files(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("event_id", "event_type", "value", F.to_date("ts").alias("day"))
+    items = events.groupBy("day", "event_type").agg(F.collect_list(F.struct("event_id", "event_type", "value")).alias("items"))
+    folder = f"{shared_folder(spark)}/payloads-{uuid.uuid4().hex}"
+    items.withColumn("kind", F.col("event_type")).drop("event_type").write.partitionBy("day", "kind").json(folder)  # a payload per file
+    item = items.schema["items"].dataType.elementType
+    return payloads.read_items(spark, folder, item).select("event_id", "event_type", "value")
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read_stream(spark, f"{sf}/events*.parquet", table(spark, sf, "events").schema)
 
