@@ -39,6 +39,11 @@ HEADLINE = [
     "arx_coefficients",
     "chunk_plan",
     "best_upsert",
+    "etl_hourly_wide",
+    "outlier_removal",
+    "feature_snapshot",
+    "gbt_forecast",
+    "parameter_sweep",
 ]
 
 

@@ -55,6 +55,12 @@ def same(keys: Sequence[str], left: str = "l", right: str = "r") -> list[Column]
     return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
 
 
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on ``keys`` as ``same`` does."""
+    more = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), same(keys), how).select("l.*", *more)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "idx") -> DataFrame:
     """Number the rows of each series from 0; with no keys, number the whole frame.
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import clip, half_even, micros_of, slot, slot_time
-from gaugeline.operators.chunks import chunk_of, number_rows, number_sorted, with_series_index
+from gaugeline.operators.chunks import matched, chunk_of, number_rows, number_sorted, with_series_index
 from gaugeline.operators.clean import drop_negatives
 from gaugeline.operators.gaps import missing_rate
 from gaugeline.operators.grid import grid, one_per_slot
@@ -114,7 +114,7 @@ def bounded_fill(
 ) -> DataFrame:
     """Spline values of all gaps to fill, clipped to the bounds, for series with at least four points."""
     bounds = value_bounds(df, keys, value, signed).filter(F.col("points") >= MIN_POINTS)
-    filled = spline_points(df, keys, idx, value, max_gap).join(bounds, list(keys))
+    filled = matched(spline_points(df, keys, idx, value, max_gap), bounds, list(keys), "inner")
     return filled.select(*keys, idx, clip(F.col(value), F.col("lower_bound"), F.col("upper_bound")).alias(value))
 
 
@@ -155,7 +155,7 @@ def fill_gaps(
         # Read by the knots, the bounds, the filled rows and the missing rates; the shuffle is paid once.
         readings = checkpointed(one_per_slot(readings, [key, "_idx"], [ts]))
     readings = readings.drop(ts)
-    dense = grid(df if stations is None else stations, key, ts, lo, hi, step, "_idx").join(readings, [key, "_idx"], "left")
+    dense = matched(grid(df if stations is None else stations, key, ts, lo, hi, step, "_idx"), readings, [key, "_idx"])
     place, source = "_idx", readings
     if not dedupe:
         place = "_row"
@@ -169,7 +169,7 @@ def fill_gaps(
     enough = readings.groupBy(key).agg(*[(F.count(v) >= MIN_POINTS).alias(f"_enough_{v}") for v in values])
 
     before = missing_rate(dense, key, values[0], "before")
-    joined = dense.join(fills, [key, place], "left").join(enough, key, "left")
+    joined = matched(matched(dense, fills, [key, place]), enough, [key])
     out = []
     for c in dense.columns:
         main = c.removesuffix(schema.status_suffix)
@@ -200,7 +200,7 @@ def impute_long(
 ) -> DataFrame:
     """Fill the short gaps of long series (a row per position, NULL where missing) and mark them 4."""
     fills = bounded_fill(df, keys, idx, value, signed, max_gap).withColumnRenamed(value, "_fill")
-    joined = df.join(fills, [*keys, idx], "left")
+    joined = matched(df, fills, [*keys, idx])
     out = []
     for c in df.columns:
         if c == value:
@@ -228,7 +228,7 @@ def impute_wide(
     points = bounded_fill(known, [*keys, "metric"], "_idx", "value", signed, max_gap)
     fills = points.groupBy(*keys, "_idx").pivot("metric", columns).agg(F.first("value"))
     fills = fills.select(*keys, "_idx", *[F.col(c).alias(f"_fill_{c}") for c in columns])
-    joined = indexed.join(fills, [*keys, "_idx"], "left")
+    joined = matched(indexed, fills, [*keys, "_idx"])
     marks = {}
     for c in columns:
         metric, _, station = c.rpartition("_")
