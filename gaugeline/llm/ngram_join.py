@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import components, mark_place, marked, marks, pieces_of, scratch, spaced_words
 from gaugeline.session import checkpointed
 
-#: Text bytes shingled at a time, and records searched at a time: bounds on memory, not on the result.
-BLOCK, RECORDS = 4 << 20, 500
+#: Text bytes shingled at a time, records searched at a time, and nodes of a list held against others at a time: bounds on memory, not on the result.
+BLOCK, RECORDS, TILE = 4 << 20, 500, 400
 #: Lists known as long, and the length from which a list counts as long. They only order the shingles, so neither bound
 #: changes the result.
 LONG_LISTS, LONG = 1 << 19, 4
@@ -248,13 +248,70 @@ def _gathered(pairs: DataFrame, data: DataFrame) -> DataFrame:
     return rows.repartition("q", "salt").sortWithinPartitions("q", "salt")
 
 
+def matched_components(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct rows of the lists with the component of each node."""
+    return shared.distinct().join(classes, "node", "left").select("s", "node", "centre", F.coalesce("component", "node").alias("c"))
+
+
+def _tiles(percent: int):
+    """From rows of one list's two slices side by side, the pairs of different components that their outlines do not rule out.
+
+    All overlaps of two slices are one product of bit matrices, so no pair leaves the task that cannot link."""
+
+    def pairs(nodes: list, c: np.ndarray, n: np.ndarray, own: list, tile: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        out_a, out_b = [], []
+        sizes = np.array([len(x) for x in own])
+        for size in np.unique(sizes):
+            near = np.flatnonzero((sizes == size) | (sizes == 2 * size))  # links differ in size by less than a factor of two
+            bits = np.stack([np.unpackbits(own[k] if sizes[k] == size else _folded(own[k], size)) for k in near]).astype(np.float32)
+            ones = bits.sum(1)
+            left, right = (np.flatnonzero((tile[near] == lo)), np.flatnonzero((tile[near] == hi)))
+            if not len(left) or not len(right):
+                continue
+            both = bits[left] @ bits[right].T
+            a, b = n[near[left]][:, None], n[near[right]][None, :]
+            most = np.minimum(a - ones[left][:, None] + both, b - ones[right][None, :] + both)
+            may = ((100 + percent) * most >= percent * (a + b)) & (c[near[left]][:, None] != c[near[right]][None, :])
+            may &= (sizes[near[left]][:, None] == size) | (sizes[near[right]][None, :] == size)
+            x, y = np.nonzero(may)
+            out_a.append(near[left[x]])
+            out_b.append(near[right[y]])
+        if not out_a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = nodes[np.concatenate(out_a)], nodes[np.concatenate(out_b)]
+        found = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        return found[:, 0], found[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            tile, nodes, c, n = (np.array(x) for x in list(zip(*rows))[:4])
+            a, b = pairs(nodes, c, n, [r[4] for r in rows], tile, group[1], group[2])
+            return pa.record_batch([pa.array(a), pa.array(b)], ["q", "node"])
+
+        for batch in batches:
+            own = batch.column("own")
+            for k, (s, lo, hi, *rest) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("s", "lo", "hi", "tile", "node", "c", "n")))):
+                if (s, lo, hi) != group:
+                    if rows:
+                        yield close()
+                    group, rows = (s, lo, hi), []
+                rows.append((*rest, np.frombuffer(own[k].as_py(), np.uint8)))
+        if rows:
+            yield close()
+
+    return run
+
+
 def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per document: the size of its set of distinct ``width``-word shingles
     and the smallest id reachable over links, where two documents link when 100 * |x and y| >= percent * |x or y|.
 
     1. Equal sets become one node, the smallest id. 2. The lists of the shingles are measured and the long ones
     set aside, so that the lists of the first few shingles of each set stay short; sets that link share one of those. 3. Within each such list the first node is the query of a
-    T-occurrence search over the others, save those whose outlines already rule the overlap out. 4. Lists that still hold several components are searched between the components.
+    T-occurrence search over the others, save those whose outlines already rule the overlap out. 4. In lists that still hold several components all outlines are
+    compared inside the tasks, slice against slice, and the pairs left between components are searched.
     So a group of thousands of near copies is compared with a few of its members, not pair by pair, and no link
     between different components is lost. All shuffles are by shingle, node or (query, slice of its records).
     Cases: null, empty and blank texts have no shingles and link with nothing; shorter texts are one shingle; rows with
@@ -302,12 +359,15 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
         links = verified(first)
         classes = components(links)
         # Lists whose nodes are not all in one component yet: pairs between components that no search has seen.
-        told = shared.join(classes, "node", "left").select("s", "node", "centre", F.coalesce("component", "node").alias("c"))
-        mixed = told.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
-        told = told.join(mixed, "s").where("node <> centre").distinct()
-        other = told.select("s", F.col("node").alias("q"), F.col("c").alias("d"))
-        rest = told.join(other, "s").where("c < d").select("q", "node").distinct()
-        rest = kept(rest.join(first, ["q", "node"], "left_anti"))
+        told = matched_components(shared, classes)
+        mixed = told.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+        # Lists of the same nodes are searched once.
+        mixed = mixed.where("lo <> hi").groupBy("n", "same", "lo", "hi").agg(F.min("s").alias("s")).select("s", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+        rows = told.where("node <> centre").join(mixed, "s").withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.select("s", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("tile"), "node", "c")
+        rows = rows.join(outlines, "node").select("s", "lo", "hi", "tile", "node", "c", "n", "own").repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
+        rest = kept(rows.mapInArrow(_tiles(percent), "q long, node long").distinct().join(first, ["q", "node"], "left_anti"))
         if not rest.isEmpty():
             classes = components(links.union(verified(rest)))
     found = members.join(reps, "key", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")

@@ -196,7 +196,7 @@ def test_decontamination(spark, docs, none, block, monkeypatch):
     assert not any(r["contaminated"] for r in decontam.digest(decontam.mark(docs, none.select(F.col("doc_id").alias("item_id"), "text"))).collect())
 
 
-@pytest.mark.parametrize("settings", [{}, {"LONG": 2, "RECORDS": 3, "BLOCK": 2000}])
+@pytest.mark.parametrize("settings", [{}, {"LONG": 2, "RECORDS": 3, "BLOCK": 2000, "TILE": 3}])
 def test_shingle_join(docs, none, settings, monkeypatch):
     for name, value in settings.items():
         monkeypatch.setattr(ngram_join, name, value)
