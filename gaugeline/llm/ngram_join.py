@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import components, mark_place, marked, marks, pieces_of, scratch, spaced_words
 from gaugeline.session import checkpointed
 
-#: Text bytes shingled at a time, records searched at a time, and nodes of a list held against others at a time: bounds on memory, not on the result.
-BLOCK, RECORDS, TILE = 4 << 20, 500, 400
+#: Text bytes shingled at a time, records searched at a time, and nodes of a list held
+#: against others, and bytes of their outlines compared at a time: bounds on memory, not on the result.
+BLOCK, RECORDS, TILE, STRIP = 4 << 20, 500, 400, 1024
 #: Lists known as long, and the length from which a list counts as long. They only order the shingles, so neither bound
 #: changes the result.
 LONG_LISTS, LONG = 1 << 19, 4
@@ -263,12 +264,15 @@ def _tiles(percent: int):
         sizes = np.array([len(x) for x in own])
         for size in np.unique(sizes):
             near = np.flatnonzero((sizes == size) | (sizes == 2 * size))  # links differ in size by less than a factor of two
-            bits = np.stack([np.unpackbits(own[k] if sizes[k] == size else _folded(own[k], size)) for k in near]).astype(np.float32)
-            ones = bits.sum(1)
-            left, right = (np.flatnonzero((tile[near] == lo)), np.flatnonzero((tile[near] == hi)))
+            packed = np.stack([own[k] if sizes[k] == size else _folded(own[k], size) for k in near])
+            ones = np.bitwise_count(packed).sum(1, dtype=np.int64)
+            left, right = np.flatnonzero(tile[near] == lo), np.flatnonzero(tile[near] == hi)
             if not len(left) or not len(right):
                 continue
-            both = bits[left] @ bits[right].T
+            both = np.zeros((len(left), len(right)), np.float32)
+            for first in range(0, size, STRIP):
+                bits = np.unpackbits(packed[:, first : first + STRIP], axis=1).astype(np.float32)
+                both += bits[left] @ bits[right].T
             a, b = n[near[left]][:, None], n[near[right]][None, :]
             most = np.minimum(a - ones[left][:, None] + both, b - ones[right][None, :] + both)
             may = ((100 + percent) * most >= percent * (a + b)) & (c[near[left]][:, None] != c[near[right]][None, :])
