@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,38 @@ def test_mixing_counts_and_beats_the_base(spark, docs, none):
     assert mixing.score(none).count() == 0
 
 
+def test_mixing_counts_every_context_exactly():
+    rng = random.Random(11)
+    words = [None, *sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(300)})]
+    counts = np.array([[rng.randint(0, 3) * 10 ** rng.randint(0, 9), rng.randint(0, 2)] for _ in words], np.int64)
+    code = mixing.code_paths(np.arange(256))
+    length, nodes, bits = code
+    coded = [b"\n" if w is None else w.encode() + b" " for w in words]
+    context = {"two": lambda w, i: (b"\0" * 4 + w)[i + 2 : i + 4], "three": lambda w, i: (b"\0" * 4 + w)[i + 1 : i + 4], "four": lambda w, i: (b"\0" * 4 + w)[i : i + 4], "word": lambda w, i: w[:i]}
+    expected, asked = collections.Counter(), []
+    for w, n in zip(coded, counts):
+        for i, b in enumerate(w):
+            for step in range(length[b]):
+                for name, cut in context.items():
+                    for g in range(2):
+                        expected[name, cut(w, i), nodes[b, step], g, int(bits[b, step])] += int(n[g])
+    columns = {"word": words, "c0": counts[:, 0], "c1": counts[:, 1]}
+    halves = [pa.table({"block": [k] * len(words[k::2]), **{c: pa.array(v[k::2]) for c, v in columns.items()}}) for k in range(2)]
+    grams = pa.concat_tables([mixing._grams(code, 2)(h) for h in halves]).group_by(["k", "context", "symbol"]).aggregate([("c0", "sum"), ("c1", "sum")])
+    half = coded[0::2]
+    d = mixing.Decisions(half, code)
+    d.locate()
+    row = [(w, i, b, step) for w in half for i, b in enumerate(w) for step in range(length[b])]
+    assert [n for n, _ in mixing.PREDICTORS] == list(context)
+    for k, (name, by_class) in enumerate(mixing.PREDICTORS):
+        own = grams.filter(pa.compute.and_(pa.compute.equal(grams["k"], k), pa.compute.is_in(grams["context"], pa.array(d.contexts[k]))))
+        table = d.counted(k, own["context"].to_numpy(), own["symbol"].to_numpy().astype(np.int64), np.column_stack([own["c0_sum"].to_numpy(), own["c1_sum"].to_numpy()]))
+        for (w, i, b, step), at in zip(row, d.at[k]):
+            for bit in range(2):
+                each = [expected[name, context[name](w, i), nodes[b, step], g, bit] for g in range(2)]
+                assert table[bit, :, at].tolist() == (each if by_class else [sum(each)])
+
+
 def test_code_paths_are_a_whole_tree():
     length, nodes, bits = mixing.code_paths(np.random.default_rng(1).integers(0, 1000, 256))
     assert sum(2.0 ** -int(n) for n in length) == 1
