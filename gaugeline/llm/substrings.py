@@ -14,36 +14,82 @@ from pyspark.sql import functions as F
 from gaugeline.llm.common import mark_place, marked, marks, pieces_of
 
 BLOCK = 4 << 20
-#: A unit: words up to one that ends a sentence or a line, or ``LONG`` words of a longer sentence; all units make up the text.
-LONG = 16
-UNIT = re.compile(r"(?:\s*+\S++){1,%d}?(?:(?<=[.!?])|(?=\s*\n)|(?=\s*\Z))|(?:\s*+\S++){%d}|\s+" % (LONG, LONG))
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: A sentence or line; white space at the end of a text stands alone. All of them make up the text.
+SENTENCE = re.compile(r"(?:\s*+\S++)+?(?:(?<=[.!?])|(?=\s*\n)|(?=\s*\Z))|\s+")
+#: Signs of scripts written without blanks (each is a word, with the marks that follow it), and those marks.
+_BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_MARKS = "\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ece\u102b-\u103e\u1056-\u1059\u17b4-\u17d3\u17dd"
+WORD = re.compile(rf"\s*+(?:[{_BARE}][{_MARKS}]*+|[^\s{_BARE}]++)")
+#: Words between two cuts of a sentence at least; one of twice as many words or more is cut, and no part has as many.
+APART = 5
+_A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+class _Ranks(dict):
+    """A number for each word, whatever its case and the white space before it."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = rank = xxhash.xxh3_64_intdigest(word.strip().lower())
+        return rank
+
+
+_RANKS = _Ranks()
+
+
+def _parts(sentence: str) -> list[str]:
+    """The sentence cut before words of low rank, the lowest first, where no cut is nearer than ``APART`` words.
+
+    Where a cut falls depends on the words around it, not on how many come before: copies inside different sentences are cut alike a few
+    words from their ends."""
+    words = WORD.findall(sentence) if len(sentence) >= 2 * APART else ()
+    if len(words) < 2 * APART:
+        return [sentence]
+    ranks = [_RANKS[w] for w in words]
+    near, cuts = bytearray(len(words) + APART), [0, len(words)]
+    for k in sorted(range(APART, len(words) - APART + 1), key=ranks.__getitem__):
+        if not near[k]:
+            cuts.append(k)
+            near[k - APART + 1 : k + APART] = b"\1" * (2 * APART - 1)
+    cuts.sort()
+    return ["".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def units(text: str | None) -> list[str]:
-    return UNIT.findall(text or "")
+    """Sentences and lines, long ones in parts of ``APART`` to ``2 * APART - 1`` words; together they are the text."""
+    return [part for sentence in SENTENCE.findall(text or "") for part in _parts(sentence)]
+
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
 
-def run_hashes(parts: list[str], run: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each run of ``run`` units with at least ``words`` words, and the unit at which it starts.
+
+def run_hashes(parts: list[str], run: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the run that starts at each unit, the unit, and the units of the run: ``run`` of them, and as many more
+    as it takes to have ``words`` words.
 
     Case and white space do not matter."""
-    tokens = [p.lower().split() for p in parts]
+    none = np.zeros(0, np.uint64)
     if len(parts) < run:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tokens = [p.lower().split() for p in parts]
     h = np.array([xxhash.xxh3_64_intdigest(" ".join(t)) for t in tokens], np.uint64)
-    n = np.array([len(t) for t in tokens]).cumsum()
-    n = n[run - 1 :] - np.concatenate([[0], n[:-run]])
-    a = b = np.zeros(len(h) - run + 1, np.uint64)
-    for k in range(run):
-        part = h[k : len(h) - run + 1 + k]
-        a, b = (a ^ (a >> np.uint64(29))) * _A + part, (b ^ (b >> np.uint64(31))) * _B + part
-    at = np.flatnonzero(n >= words)
-    return a[at], b[at], at
+    n = np.concatenate([[0], np.cumsum([len(t) if p.isascii() else len(WORD.findall(p)) for p, t in zip(parts, tokens)])])
+    at = np.arange(len(parts))
+    end = np.maximum(at + run, np.searchsorted(n, n[:-1] + words))
+    at = at[end <= len(parts)]
+    end = end[at]
+    out = []
+    for base in (_A, _B):
+        power, inverse = _powers(base, len(h))
+        total = np.concatenate([np.zeros(1, np.uint64), (h * power[:-1]).cumsum(dtype=np.uint64)])
+        out.append((total[end] - total[at]) * inverse[at])
+    return *out, at, end - at
 
 
 def repeated_units(docs: DataFrame, run: int = 3, words: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, units): the units of each document covered by a run that also starts earlier, that is in a
+    """Rows (doc_id, units): the units of each document covered by a run (``run_hashes``) that also starts earlier, that is in a
     document with a smaller id or further up in the same one.
 
     The first occurrence of each run is an aggregate, so a run that a third of all documents share shrinks in the tasks
@@ -54,16 +100,16 @@ def repeated_units(docs: DataFrame, run: int = 3, words: int = 10, text: str = "
         for batch in pieces_of(batches, "text", BLOCK):
             found = [run_hashes(units(t), run, words) for t in batch.column("text").to_pylist()]
             doc = np.repeat(batch.column("doc_id").to_numpy(), [len(a) for a, *_ in found])
-            a, b, at = (np.concatenate(c) for c in zip(*found))
-            yield pa.record_batch([pa.array(doc), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at.astype(np.int32))], ["doc_id", "a", "b", "at"])
+            a, b, at, n = (np.concatenate(c) for c in zip(*found))
+            columns = [pa.array(doc), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.record_batch(columns, ["doc_id", "a", "b", "at", "n"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    runs = rows.mapInArrow(hashed, "doc_id long, a long, b long, at int")
-    first = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    runs = rows.mapInArrow(hashed, "doc_id long, a long, b long, at int, n int")
+    first = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = runs.join(first, ["a", "b"]).where(F.struct("doc_id", "at") > F.col("first"))
-    covered = later.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    steps = F.array(*(F.lit(k) for k in range(run)))
-    spread = F.array_distinct(F.flatten(F.transform("at", lambda s: F.transform(steps, lambda k: s + k))))
+    covered = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    spread = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
     return covered.select("doc_id", spread.alias("units"))
 
 

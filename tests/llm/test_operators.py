@@ -391,6 +391,40 @@ def test_substrings(docs, none, spark):
     assert substrings.dedupe(docs).count() == docs.count()
 
 
+def test_substrings_of_short_lines_and_inside_sentences(spark):
+    rng = random.Random(12)
+
+    def words(n):
+        return [rng.choice(WORDS) + rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+
+    rows = []
+    for k in range(100):
+        passage = words(60)
+        for copy in range(2):  # inside a sentence, the words before it in any number
+            rows.append((2 * k + copy, " ".join([*words(rng.randint(1, 40)), *passage, *words(rng.randint(1, 40))]) + ".", passage))
+    for k in range(100, 200, 2):
+        n, signs = 1 + k // 2 % 3, [chr(0x4E00 + rng.randrange(5000)) for _ in range(60)]
+        passage = words(60)
+        short = "\n".join(" ".join(passage[j : j + n]) for j in range(0, 60, n))
+        text = ["\n".join("".join(signs[j : j + 12]) for j in range(0, 60, 12)), "".join(signs)][k // 2 % 2] if k % 8 == 0 else short
+        for copy in range(2):
+            rows.append((1000 + k + copy, " ".join(words(7)) + "\n" + text + "\n" + " ".join(words(7)), re.findall(r"[\u4e00-\u9fff]|[a-z]+", text)))
+    found = {r["doc_id"]: r for r in substrings.dedupe(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+
+    def split(text):
+        return re.findall(r"[\u4e00-\u9fff]|[a-z]+", text)
+
+    for doc, text, passage in rows:
+        left = split(found[doc]["text"])
+        if doc % 2 == 0:
+            assert found[doc]["text"] == text
+        else:  # nothing but words of the passage goes, and none of its 50 words long stretches stays whole
+            gone = len(split(text)) - len(left)
+            at = next(k for k in range(len(split(text))) if split(text)[k : k + 60] == passage)
+            assert 0 < gone <= 60 and left[:at] == split(text)[:at] and left[len(left) - (len(split(text)) - at - 60) :] == split(text)[at + 60 :]
+            assert (gone == 60 if doc >= 1000 and "\n" in text[60:-60] else gone >= 20)
+
+
 def test_surrogates(docs, none, spark):
     texts = [
         "Write to Anna.Berg9@mail.example.com or ANNA.BERG9@MAIL.EXAMPLE.COM, not otto@mail.example.com.",
