@@ -92,6 +92,33 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
             lo = hi
 
 
+#: A single text of a learning sample takes this part of its bytes at most.
+SHARE = 64
+
+
+def sample(docs: DataFrame, wanted: DataFrame, text_bytes: int) -> DataFrame:
+    """Rows (h, y, text) to learn from: one text per id of ``wanted`` (doc_id, y, h: a bounded number of rows), ``text_bytes`` in all.
+
+    A text of more than a ``SHARE``-th of ``text_bytes`` is passed over, of the others of an id the one with the smallest digest is
+    taken, and then ids in the order of ``h`` as long as all their texts fit. Copies shrink to a digest and a size where they are read; texts
+    are fetched last, those of a chosen digest only.
+    """
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", text.alias("text")).join(F.broadcast(wanted), "doc_id").withColumn("n", F.octet_length("text"))
+    sized = sized.where(F.col("n") <= text_bytes // SHARE).withColumn("d", F.md5(F.col("text").cast("binary")))
+    one = sized.groupBy("doc_id").agg(F.min(F.struct("d", "n")).alias("s"))
+    rows = one.join(F.broadcast(wanted), "doc_id").select("doc_id", "h", "s.d", "s.n").orderBy("h", "doc_id").collect()
+    chosen, total = [], 0
+    for r in rows:
+        if total + r["n"] <= text_bytes:  # one that does not fit leaves room for those after it
+            total += r["n"]
+            chosen.append((r["doc_id"], r["d"]))
+    kind = wanted.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, d string")
+    # Copies of a text are equal: any one of them will do, and an aggregate keeps one per task.
+    return sized.join(F.broadcast(chosen), ["doc_id", "d"]).groupBy("doc_id", "h", "y").agg(F.first("text").alias("text")).select("h", "y", "text")
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Gives a function that writes a table to the shared folder and reads it back; the tables go when the block ends, so

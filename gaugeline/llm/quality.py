@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import one_in, pieces_of, spaced_words
+from gaugeline.llm.common import one_in, pieces_of, sample, spaced_words
 
 BLOCK = 4 << 20
 #: Steps of the fit at least, however small the sample.
@@ -21,7 +21,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 def _shape(word: str) -> str:
     """The word with letters as a, digits as 9, runs shortened: what kind of token it is."""
-    return _RUNS.sub(r"\1", "".join("a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
+    return _RUNS.sub(r"\1", "".join("a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
 def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,10 +92,10 @@ def fit(texts: list[str], grades: np.ndarray, levels: int, bits: int, epochs: in
 
 def train(docs: DataFrame, grades: DataFrame, levels: int, most: int = 12_000, text_bytes: int = 40 << 20, bits: int = 18, epochs: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Fits on rated documents (``grades``: doc_id, grade from 0 to levels - 1), at most ``most`` of them and ``text_bytes`` of
-    text, the first in the order of a hash of the id: a documented bound on the learning sample."""
+    text, the first in the order of a hash of the id: a documented bound on the learning sample (``sample``)."""
     wanted = grades.where("grade is not null and doc_id is not null").where(~one_in(F.col("doc_id"), 5))
     wanted = wanted.groupBy("doc_id").agg(F.min("grade").cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").select("h", "y", "text")
+    rows = sample(docs, wanted, text_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, y, texts = [], [], []
@@ -103,8 +103,6 @@ def train(docs: DataFrame, grades: DataFrame, levels: int, most: int = 12_000, t
             for column, name in ((h, "h"), (y, "y"), (texts, "text")):
                 column.extend(batch.column(name).to_pylist())
         order = sorted(range(len(h)), key=lambda k: (h[k], texts[k]))
-        size = np.cumsum([len(texts[k].encode()) for k in order])
-        order = order[: int(np.searchsorted(size, text_bytes, side="right"))]
         if order:
             w, cuts = fit([texts[k] for k in order], np.array([y[k] for k in order]), levels, bits, epochs)
             yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([cuts], pa.list_(pa.float64()))], ["w", "cuts"])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import one_in, pieces_of, spaced_words
+from gaugeline.llm.common import one_in, pieces_of, sample, spaced_words
 
 BLOCK = 4 << 20
 #: Lengths of the beginnings of words that are features beside the words.
@@ -115,10 +115,10 @@ def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: floa
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 16_000, text_bytes: int = 64 << 20, bits: int = 21, epochs: int = 8) -> tuple[np.ndarray, float]:
     """Fits on at most ``most`` labelled documents and ``text_bytes`` of their text, the first in the order of a hash of the
-    id: a documented bound on the learning sample. Ids held out (crc32 modulo 5 is 0) and null labels are left out."""
+    id: a documented bound on the learning sample (``sample``). Ids held out (crc32 modulo 5 is 0) and null labels are left out."""
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~one_in(F.col("doc_id"), 5))
     wanted = wanted.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").select("h", "y", "text")
+    rows = sample(docs, wanted, text_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, y, texts = [], [], []
@@ -126,8 +126,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             for column, name in ((h, "h"), (y, "y"), (texts, "text")):
                 column.extend(batch.column(name).to_pylist())
         order = sorted(range(len(h)), key=lambda k: (h[k], texts[k]))
-        size = np.cumsum([len(texts[k].encode()) for k in order])
-        order = order[: int(np.searchsorted(size, text_bytes, side="right"))]
         w, bias = fit([texts[k] for k in order], np.array([y[k] for k in order]), bits, epochs) if order else (np.zeros(1 << bits, np.float32), -20.0)
         yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 

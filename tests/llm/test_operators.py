@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.llm import decontam, metric_join, mixing, ngram_join, packing, quality, sharding, substrings, surrogates, toxicity
-from gaugeline.llm.common import components
+from gaugeline.llm.common import components, sample
 from gaugeline.llm.queries import EMBEDDING_SQL, public_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, b string, label int, part string"
@@ -343,6 +343,24 @@ def test_toxicity_learns_words_and_their_forms(spark, none):
     assert {r["predicted"] for r in toxicity.score(docs, blank).collect()} == {0}
 
 
+def test_learning_sample_takes_an_id_once_and_passes_over_long_texts(spark):
+    ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
+    bad = set(ids[::4])
+    rows = [(k, f"some plain words number {k % 7} stand here" + " grubble" * (k in bad)) for k in ids]
+    order = [r["id"] for r in spark.range(300).where(F.col("id").isin(ids)).orderBy(F.xxhash64("id")).collect()]
+    rows = [(k, "long " * 4000 if k == order[0] else t) for k, t in rows] + [(order[1], dict(rows)[order[1]])] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = spark.createDataFrame([(k, int(k in bad)) for k in ids], "doc_id long, y int").withColumn("h", F.xxhash64("doc_id"))
+    got = sample(docs, wanted, 64 << 10).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for k, t in dict(rows).items() if k != order[0])
+    few = sample(docs, wanted, 10_000).select(F.sum(F.octet_length("text")), F.count("*")).first()
+    assert 9_000 < few[0] <= 10_000 and few[1] > 150
+    model = toxicity.train(docs, wanted.select("doc_id", F.col("y").alias("toxic")), text_bytes=18_000)
+    found = toxicity.score(spark.createDataFrame([(1, "here some grubble words stand"), (2, "here some plain words stand")], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["predicted"] for r in found.collect()} == {1: 1, 2: 0}
+    assert quality._shape("a" + "9a" * 40) != quality._shape("a" + "9a" * 50)
+
+
 def test_quality_orders_grades(spark, none):
     rng = random.Random(7)
     rows, grades = [], []
