@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.session import checkpointed
 
+#: A name word: inner and all capitals, hyphens, apostrophes; initials may stand before it.
+_NAME = r"(?:\p{Lu}\. ?)*\p{Lu}['’]?[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)*"
 #: What is looked for, the first pattern that fits naming the type of a mention. \\b and classes are ASCII unless said.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -19,11 +21,11 @@ PATTERNS = {
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "phone": r"\+\d{1,3}[^\p{L}\p{N}\n]{0,6}\(?\d{2,4}\)?(?:[^\p{L}\p{N}\n]{1,6}\d{2,4}){1,4}|\+\d{8,15}(?!\d)"
     r"|\(\d{3}\)[^\p{L}\p{N}\n]{0,6}\d{3}[^\p{L}\p{N}\n]{1,3}\d{4}(?!\d)|(?<![\d-])(?:\d{3}[.-])?\d{3}[.-]\d{4}(?![\d-])",
-    "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Madame|Monsieur|Mme|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Madame|Monsieur|Mme|Господин|Госпожа)\.? " + f"{_NAME}(?: {_NAME})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without this cannot hold a mention: spares most texts the long pattern.
-HINT = r"[0-9@]|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Madame|Monsieur|Mme|Господин|Госпожа)\.? "
+HINT = r"[0-9@]|sk-|gh[pousr]_|AKIA|[a-f]{32}|[A-F]{32}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Madame|Monsieur|Mme|Господин|Госпожа)\.? "
 FEMALE, MALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа)", r"^(?:Mr|Herr|Señor|Monsieur|Господин)"
 TITLE = r"^\p{L}+\.? "
 #: First names by gender and parts of family names, for Latin and Cyrillic script.
@@ -64,9 +66,9 @@ def kind_of(mention: Column) -> Column:
 
 
 def canonical(mention: Column, kind: Column) -> Column:
-    """What the spellings of one entity share: its digits, its small letters, or a name with the gender of its title."""
+    """What the spellings of one entity share: its digits, its small letters, or a name (in any case) with the gender of its title."""
     digits = F.regexp_replace(mention, r"\D", "")
-    person = F.concat(F.when(mention.rlike(FEMALE), "f ").when(mention.rlike(MALE), "m ").otherwise("n "), F.regexp_replace(mention, TITLE, ""))
+    person = F.concat(F.when(mention.rlike(FEMALE), "f ").when(mention.rlike(MALE), "m ").otherwise("n "), F.initcap(F.regexp_replace(mention, TITLE, "")))
     return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "person", person).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(F.lower(mention))
 
 
@@ -137,7 +139,8 @@ def formatted(mention: Column, kind: Column, surrogate_: Column) -> Column:
         return F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substring(surrogate_, s["k"], F.lit(1)))).alias("out"), F.when(c == " ", s["k"]).otherwise(s["k"] + 1).alias("k"))
 
     iban = F.aggregate(F.split(mention, ""), iban_start, fill_all, lambda s: s["out"])
-    person = F.concat(F.regexp_extract(mention, f"({TITLE[1:]})", 1), F.substring(surrogate_, F.lit(3), F.length(surrogate_)))
+    name, new = F.regexp_replace(mention, TITLE, ""), F.substring(surrogate_, F.lit(3), F.length(surrogate_))
+    person = F.concat(F.regexp_extract(mention, f"({TITLE[1:]})", 1), F.when(name == F.upper(name), F.upper(new)).otherwise(new))
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate_)).otherwise(surrogate_)
     return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", iban).when(kind == "person", person).otherwise(cased)
 

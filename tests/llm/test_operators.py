@@ -475,6 +475,21 @@ def test_surrogates(docs, none, spark):
     assert plain.columns == docs.columns + ["n_entities"] and surrogates.replace(none, "k1").count() == 0
 
 
+def test_surrogates_of_letter_secrets_and_long_names(spark):
+    secrets = ["sk-" + "abcdefghijklmnopqrst", "ghp_" + "aBcDeFgHiJkL" * 3, "AKIA" + "ABCDEFGHIJKLMNOP", "abcdef" * 6, "ABCDEF" * 6]
+    names = ["Mr John Paul Smith", "Frau Anna Mueller-Schmidt", "Mr McDonald", "Mr O'Brien", "Mr SMITH", "Mr J. Vance Harrow", "Mr Smith"]
+    texts = [f"the key {x} is here" for x in secrets] + [f"we met {x} there" for x in names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["text"], r["n_entities"]) for r in surrogates.replace(docs, "k1").collect()}
+    for k, x in enumerate(secrets):
+        assert found[k][1] == 1 and x not in found[k][0] and re.fullmatch(r"the key \S{%d} is here" % len(x), found[k][0])
+    for k, x in enumerate(names, len(secrets)):
+        new, n = found[k]
+        assert n == 1 and new.startswith("we met " + x.split()[0] + " ") and new.endswith(" there")
+        assert not set(re.findall(r"\w{2,}", x)[1:]) & set(re.findall(r"\w{2,}", new))
+    assert found[9][0].split()[3].isupper() and found[9][0].lower() == found[11][0].lower()  # one entity in two cases
+
+
 def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, attempt, key: (F.pmod(F.crc32(F.concat(entity, attempt.cast("string")).cast("binary")), F.lit(400))).cast("string"))
     entities = spark.createDataFrame([("ip", str(k)) for k in range(30)], "kind string, entity string")
