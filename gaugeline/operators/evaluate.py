@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,59 @@ def run_row(spark: SparkSession, model: str, params: dict, metrics: dict) -> Dat
     return spark.createDataFrame([(model, text, {k: float(v) for k, v in metrics.items()})], RUNS)
 
 
+@dataclass(frozen=True)
+class RunLog:
+    """An append-only log of evaluation runs: rows (run_id, mode, model, target_column, step, fold, params, metrics) under ``folder``.
+
+    A run writes its own partitions (run_id, mode) in one go; writing them again, as a retry does, replaces them, so
+    nothing is logged twice and no other run is touched.
+    """
+
+    folder: str
+    run_id: str
+
+    def append(self, scored: DataFrame, mode: str, params: dict[str, dict] | None = None) -> None:
+        """Logs the scores of every (model, step, fold), with the parameters of each model."""
+        known = [(m, {k: str(v) for k, v in p.items()}) for m, p in (params or {}).items()]
+        known = scored.sparkSession.createDataFrame(known, "model string, params map<string,string>")
+        metrics = F.map_filter(F.create_map(*[x for s in SCORES for x in (F.lit(s), F.col(s))]), lambda k, v: v.isNotNull())
+        rows = scored.withColumnRenamed("model_name", "model").withColumn("metrics", metrics).join(known, "model", "left")
+        empty = F.create_map().cast("map<string,string>")
+        rows = rows.select(
+            F.lit(self.run_id).alias("run_id"), F.lit(mode).alias("mode"), "model", "target_column", "step", "fold", F.coalesce("params", empty).alias("params"), "metrics"
+        )
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "mode").parquet(self.folder)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """Every run logged so far."""
+        kinds = "model string, target_column string, step int, fold int, params map<string,string>, metrics map<string,double>, run_id string, mode string"
+        return spark.read.schema(kinds).parquet(self.folder)
+
+
+@dataclass(frozen=True)
+class BestTable:
+    """The best rows so far, as numbered snapshots under ``folder``: a merge writes the next one whole, readers take the last
+    complete one. A merge that dies leaves the last one as it was; one that is repeated changes nothing, since ties keep the old row."""
+
+    folder: str
+    keys: tuple[str, ...] = ("model_name", "target_column", "step")
+
+    def latest(self, spark: SparkSession) -> int | None:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path(self.folder)):
+            return None
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.folder))]
+        done = [int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-") and fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))]
+        return max(done, default=None)
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        last = self.latest(spark)
+        return None if last is None else spark.read.parquet(f"{self.folder}/snapshot-{last}")
+
+    def merge(self, current: DataFrame) -> DataFrame:
+        spark = current.sparkSession
+        last = self.latest(spark)
+        merged = best_so_far(current, self.read(spark), self.keys)
+        merged.write.mode("overwrite").parquet(f"{self.folder}/snapshot-{(last or 0) + 1}")
+        return self.read(spark)

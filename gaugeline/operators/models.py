@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import metrics as M
 from gaugeline.functions.expr import ratio
-from gaugeline.operators.chunks import over_chunks
+from gaugeline.operators.chunks import matched, over_chunks
 
 SEASON = 24
 
@@ -29,13 +29,30 @@ SEARCH_SPACE = {
     "colsample_bytree": (0.5, 1.0, "float"),
     "gamma": (0.0, 10.0, "float"),
 }
+# Of trees that grow by leaves: depth follows from the leaves; a penalty on weights has no counterpart here.
+LEAF_SEARCH_SPACE = {
+    "n_estimators": (100, 3000, "step100"),
+    "learning_rate": (0.001, 0.1, "log"),
+    "max_depth": (3, 10, "int"),
+    "num_leaves": (20, 300, "int"),
+    "min_child_samples": (5, 100, "int"),
+    "colsample_bytree": (0.5, 0.8, "step0.05"),
+    "subsample": (0.5, 1.0, "float"),
+}
 SELECTOR = {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8}
 
 
 def mean_baseline(rows: DataFrame, by: Sequence[str], y: str = "y", role: str = "role") -> DataFrame:
     """Test rows with ``y_pred`` the mean of the training rows of their group."""
     fitted = rows.groupBy(*by).agg(F.avg(F.when(F.col(role) == "train", F.col(y))).alias("y_pred"))
-    return rows.filter(F.col(role) == "test").join(fitted, list(by))
+    return matched(rows.filter(F.col(role) == "test"), fitted, list(by))
+
+
+def fold_means(rows: DataFrame, folds: int, y: str = "y") -> DataFrame:
+    """(step, fold, y_mean) of the training rows of every fold: rows are summed up once per first fold, folds add the sums."""
+    sums = rows.where(F.col("train_from").isNotNull()).groupBy("step", "train_from").agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    each = sums.withColumn("fold", F.explode(F.sequence("train_from", F.lit(folds))))
+    return each.groupBy("step", "fold").agg((F.sum("_s") / F.sum("_n")).alias("y_mean"))
 
 
 def seasonal_naive(df: DataFrame, keys: Sequence[str], idx: str, y: str, season: int = SEASON) -> DataFrame:
@@ -72,10 +89,13 @@ def assemble(df: DataFrame, features: Sequence[str], name: str = "features") ->
 def gbt(params: dict | None = None, y: str = "y", seed: int = 42, validation: str | None = None) -> GBTRegressor:
     """Boosted trees from parameters under their usual names; ``validation`` marks rows that stop training early."""
     params = params or {}
+    depth = int(params.get("max_depth", 5))
+    if "num_leaves" in params:
+        depth = min(depth, max(1, math.ceil(math.log2(int(params["num_leaves"])))))
     model = GBTRegressor(
         labelCol=y,
         maxIter=int(params.get("n_estimators", 100)),
-        maxDepth=int(params.get("max_depth", 5)),
+        maxDepth=depth,
         stepSize=float(params.get("learning_rate", 0.1)),
         subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy=str(params.get("colsample_bytree", "all")),
@@ -87,7 +107,7 @@ def gbt(params: dict | None = None, y: str = "y", seed: int = 42, validation: st
 
 
 @contextmanager
-def _kept(df: DataFrame) -> Iterator[DataFrame]:
+def kept(df: DataFrame) -> Iterator[DataFrame]:
     """Training rows held for the passes of a fit; lost blocks are computed again."""
     df = df.persist()
     try:
@@ -99,7 +119,7 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
 def fit_gbt(rows: DataFrame, features: Sequence[str], params: dict | None = None, y: str = "y", role: str = "role", seed: int = 42) -> GBTRegressionModel:
     """Fit on ``train`` rows with early stopping on ``val`` rows."""
     used = rows.filter(F.col(role).isin("train", "val")).withColumn("_val", F.col(role) == "val")
-    with _kept(assemble(used, features).select("features", y, "_val")) as ready:
+    with kept(assemble(used, features).select("features", y, "_val")) as ready:
         return gbt(params, y, seed, "_val").fit(ready)
 
 
@@ -112,7 +132,7 @@ def importance(
     rows: DataFrame, features: Sequence[str], y: str, k: int = 50, seed: int = 42, params: dict | None = None
 ) -> DataFrame:
     """(feature, importance) of the ``k`` features boosted trees use most."""
-    with _kept(assemble(rows, features).select("features", y)) as ready:
+    with kept(assemble(rows, features).select("features", y)) as ready:
         model = gbt(params or SELECTOR, y, seed).fit(ready)
     ranked = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
     table = rows.sparkSession.createDataFrame(ranked, "feature string, importance double")
@@ -139,10 +159,39 @@ def arx_frame(df: DataFrame, keys: Sequence[str], idx: str, y: str, step: int, o
     return over_chunks(df, keys, idx, build, before=max(season, order + 1), after=step)
 
 
+def arx_terms(order: int = 3) -> list[str]:
+    return [*(f"ar_{i + 1}" for i in range(order)), "sar_1"]
+
+
+def arx_rows(df: DataFrame, keys: Sequence[str], idx: str, y: str, steps: Sequence[int], order: int = 3, season: int = SEASON) -> DataFrame:
+    """Each row once per horizon with ``step``, the target ``y`` that many rows ahead, its change ``dy``, ``seasonal`` (the target
+    a season before it, of as many seasons as reach back to the row) and the terms of ``arx_terms``.
+
+    ``ar_i`` is the i-th last change, ``sar_1`` the change over the same horizon those seasons earlier. All horizons come
+    from one pass over the ordered rows; rows without a target ahead go.
+    """
+    back = [-(-s // season) * season for s in steps]
+
+    def build(spread: DataFrame, o: WindowSpec) -> DataFrame:
+        at = lambda n: F.lag(y, n).over(o) if n >= 0 else F.lead(y, -n).over(o)
+        ar = [(at(i) - at(i + 1)).alias(f"ar_{i + 1}") for i in range(order)]
+        ahead = [
+            F.struct(
+                F.lit(s).alias("step"), at(-s).alias("y"), (at(-s) - F.col(y)).alias("dy"), at(b - s).alias("seasonal"), (at(b - s) - at(b)).alias("sar_1")
+            )
+            for s, b in zip(steps, back, strict=True)
+        ]
+        return spread.select("*", *ar, F.array(*ahead).alias("_ahead"))
+
+    made = over_chunks(df, keys, idx, build, before=max(order + 1, *back), after=max(steps))
+    names = [c for c in made.columns if c != "_ahead"]
+    return made.select(*names, F.inline("_ahead")).where(F.col("y").isNotNull())
+
+
 def fit_arx(rows: DataFrame, features: Sequence[str], response: str = "dy") -> LinearRegressionModel:
     """Least squares on complete rows."""
     complete = rows.na.drop(subset=[*features, response])
-    with _kept(assemble(complete, features).select("features", response)) as ready:
+    with kept(assemble(complete, features).select("features", response)) as ready:
         return LinearRegression(labelCol=response, solver="normal", standardization=False, regParam=0.0).fit(ready)
 
 
@@ -162,8 +211,10 @@ def candidates(n: int, seed: int = 42, space: dict | None = None) -> list[dict]:
                 one[name] = math.exp(draw.uniform(math.log(low), math.log(high)))
             elif kind == "int":
                 one[name] = draw.randint(low, high)
-            elif kind == "step100":
-                one[name] = 100 * draw.randint(low // 100, high // 100)
+            elif kind.startswith("step"):
+                size = float(kind.removeprefix("step"))
+                value = low + size * draw.randint(0, round((high - low) / size))
+                one[name] = int(value) if isinstance(low, int) else round(value, 10)
             else:
                 one[name] = draw.uniform(low, high)
         out.append(one)

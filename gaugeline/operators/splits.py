@@ -42,6 +42,24 @@ def walk_forward(df: DataFrame, ts: str, folds: int, block: int, embargo: int =
     return _explode_roles(rows, roles)
 
 
+def walk_forward_columns(rows: DataFrame, folds: int, block: int, embargo: int = 0, idx: str = "idx", step: str = "step") -> DataFrame:
+    """The folds of ``walk_forward`` without repeating a row: ``train_from``, the first fold that trains on the row (every
+    later one does), ``val_fold`` and ``test_fold``, each NULL where there is none.
+
+    ``rows`` holds each row once per ``step``; a horizon of s steps has s rows less than the longest frame.
+    """
+    n = row_count(rows.select((F.col(idx) + F.col(step)).alias(idx)), idx) - F.col(step)
+    left = n - F.col(idx)  # rows from this one to the end
+    behind = F.floor((left - 1) / F.lit(block))
+    first = F.greatest(F.lit(1), F.lit(folds + 3) - F.ceil((left - embargo) / F.lit(block)))
+    trained = F.when((first <= folds) & (left > embargo), first).cast("int")
+    return rows.withColumns({
+        "train_from": trained,
+        "val_fold": F.when(behind.between(1, folds), F.lit(folds + 1) - behind).cast("int"),
+        "test_fold": F.when(behind < folds, F.lit(folds) - behind).cast("int"),
+    })
+
+
 def time_series_split(df: DataFrame, ts: str, splits: int, gap: int = 0, idx: str = "idx") -> DataFrame:
     """Expanding folds of equal test size ``n div (splits + 1)``; training ends ``gap`` rows before the test."""
     rows = df if idx in df.columns else with_series_index(df, [], ts, idx)
@@ -57,6 +75,27 @@ def time_series_split(df: DataFrame, ts: str, splits: int, gap: int = 0, idx: st
     return _explode_roles(rows, roles)
 
 
+def expanding_columns(rows: DataFrame, splits: int, gap: int = 0, tail: float = 0.1, idx: str = "idx") -> DataFrame:
+    """The folds of ``time_series_split`` without repeating a row, as ``walk_forward_columns`` has them.
+
+    The last ``tail`` of a block before each gap validates instead of training, so that fits can stop early.
+    """
+    n = row_count(rows, idx)
+    left = n - F.col(idx)
+    size = F.greatest(F.floor(n / F.lit(splits + 1)), F.lit(1))
+    last = F.floor(size * tail)
+    behind = F.floor((left - 1) / size)
+    before = left - gap - 1
+    first = F.greatest(F.lit(1), F.lit(splits + 2) - F.ceil((left - gap - last) / size))
+    block = F.floor(before / size)
+    late = (before >= 0) & block.between(1, splits) & (before - block * size < last)
+    return rows.withColumns({
+        "train_from": F.when((first <= splits) & (left > gap + last), first).cast("int"),
+        "val_fold": F.when(late, F.lit(splits + 1) - block).cast("int"),
+        "test_fold": F.when(behind < splits, F.lit(splits) - behind).cast("int"),
+    })
+
+
 def event_split(df: DataFrame, ts: str, start: str, end: str, block: int) -> DataFrame:
     """``role``: test inside [start, end), val the last ``block`` rows before it, train the rest before it.
 

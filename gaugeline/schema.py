@@ -122,6 +122,7 @@ class SeriesSchema:
     meta: tuple[str, ...] = METADATA
     signed: tuple[str, ...] = SIGNED
     status_suffix: str = STATUS_SUFFIX
+    categories: tuple[str, ...] = ("Rio_Codigo",)
 
     def status(self, value: str) -> str:
         return value + self.status_suffix
@@ -138,15 +139,15 @@ def is_status(name: str) -> bool:
     return STATUS_SUFFIX in name
 
 
-def numeric_columns(columns: list[str], target: str | None = None) -> list[str]:
-    """Columns to impute and scale: not a status, not metadata, not the timestamp, not the target."""
-    skip = (*METADATA, TS)
-    return [c for c in columns if not is_status(c) and not c.startswith(skip) and c != target]
+def numeric_columns(columns: list[str], target: str | None = None, schema: SeriesSchema = SeriesSchema()) -> list[str]:
+    """Columns to impute and scale: not a status, not metadata, not a category, not the timestamp, not the target."""
+    skip = (*schema.meta, *schema.categories, schema.ts)
+    return [c for c in columns if schema.status_suffix not in c and not c.startswith(skip) and c != target]
 
 
-def categorical_columns(columns: list[str], target: str | None = None) -> list[str]:
-    """Columns to one-hot encode: status codes and river codes."""
-    return [c for c in columns if (is_status(c) or c.startswith("Rio_Codigo")) and c != target]
+def categorical_columns(columns: list[str], target: str | None = None, schema: SeriesSchema = SeriesSchema()) -> list[str]:
+    """Columns to one-hot encode: status codes and categories such as river codes."""
+    return [c for c in columns if (schema.status_suffix in c or c.startswith(schema.categories)) and c != target]
 
 
 def feature_columns(schema: T.StructType) -> list[str]:
