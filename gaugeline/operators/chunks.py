@@ -186,3 +186,39 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str,
         return below + (above - below) * weight
 
     return ranks.groupBy(*keys).agg(*[at(share).alias(name) for name, share in probs.items()])
+
+
+def ranked_rows(df: DataFrame, keys: Sequence[str], value: str, spread: Column) -> DataFrame:
+    """Rows that have a value, with ``below`` (rows of the group with a smaller one), ``cnt`` (rows with the same one) and ``n``.
+
+    Rows are sorted by ranges over group, value and ``spread`` (any column that differs between rows), so a value that a third of all
+    rows share lies in several ranges like any other rows. A range counts its own rows; totals carry on from range to range, and values
+    at the edges of a range, of which there are at most four per range, are counted over all ranges and broadcast. No row is joined
+    by its value.
+    """
+    keys, columns = list(keys), df.columns
+    sort = [*keys, value]
+    ranged = df.filter(F.col(value).isNotNull()).withColumn("_rk_spread", spread).repartitionByRange(*sort, "_rk_spread").sortWithinPartitions(*sort)
+    placed = checkpointed(ranged.select(*columns, F.spark_partition_id().alias("_rk_part")))
+    by = [*keys, "_rk_part"]
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rk_size"), F.min(value).alias("_rk_lo"), F.max(value).alias("_rk_hi"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = checkpointed(
+        sizes.select("*", F.coalesce(F.sum("_rk_size").over(earlier), F.lit(0)).alias("_rk_offset"), F.sum("_rk_size").over(group).alias("n"))
+    )
+    split = sizes.filter(F.col("_rk_size") < F.col("n")).drop("n")
+    edge = placed.select(*by, value).alias("l").join(F.broadcast(split).alias("r"), same(by)).select("l.*", "_rk_size", "_rk_lo", "_rk_hi", "_rk_offset")
+    edge = edge.filter((F.col(value) == F.col("_rk_lo")) | (F.col(value) == F.col("_rk_hi"))).groupBy(*by, value).agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_rk_size").alias("_rk_size"), F.first("_rk_lo").alias("_rk_lo"), F.first("_rk_offset").alias("_rk_offset")
+    )
+    under = F.col("_rk_offset") + F.when(F.col(value) == F.col("_rk_lo"), 0).otherwise(F.col("_rk_size") - F.col("_c"))
+    edge = edge.groupBy(*keys, value).agg(F.min_by(under, "_rk_part").alias("_rk_under"), F.sum("_c").alias("_rk_all"))
+    inside = Window.partitionBy(*by)
+    counted = placed.select(
+        "*", F.count(F.lit(1)).over(inside.orderBy(value)).alias("_rk_upto"), F.count(F.lit(1)).over(Window.partitionBy(*by, value)).alias("_rk_same")
+    )
+    joined = counted.alias("l").join(sizes.alias("r"), same(by)).select("l.*", "_rk_offset", "n")
+    joined = joined.alias("l").join(F.broadcast(edge).alias("r"), same([*keys, value]), "left").select("l.*", "_rk_under", "_rk_all")
+    below = F.coalesce(F.col("_rk_under"), F.col("_rk_offset") + F.col("_rk_upto") - F.col("_rk_same"))
+    return joined.select(*columns, below.alias("below"), F.coalesce("_rk_all", "_rk_same").alias("cnt"), "n")

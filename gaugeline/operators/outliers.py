@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import ratio
-from gaugeline.operators.chunks import percentiles, same, value_ranks
+from gaugeline.operators.chunks import matched, percentiles, ranked_rows
 from gaugeline.schema import SeriesSchema
 from gaugeline.session import checkpointed
 
@@ -29,40 +29,36 @@ def mark_complete(df: DataFrame, keys: Sequence[str], features: Sequence[str], f
     for f in features:
         full = full & (~F.col(f"_has_{f}") | F.col(f).isNotNull())
         some = some | F.col(f"_has_{f}")
-    return df.join(seen, list(keys), "left").withColumn(flag, full & some)
+    return matched(df, seen, list(keys)).withColumn(flag, full & some)
 
 
 def ecod_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], name: str = "ecod") -> DataFrame:
     """Sum over the metrics of the largest of the left, right and skew-chosen tail, each -ln of a tail share.
 
-    Needs the columns of ``mark_complete``; incomplete rows get NULL. Tail shares come from the ranks of distinct
-    values; adaptive execution decides by their size how they are joined back.
+    Needs the columns of ``mark_complete``; incomplete rows get NULL. All metrics are ranked at once in long form, the tail shares
+    follow from the ranks on the rows, and one aggregate brings the metrics of a row together: the frame is sorted
+    and joined once, whatever the number of metrics.
     """
     keys = list(keys)
-    complete = df.filter("_complete")
-    long = complete.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
-        keys, list(features), "_metric", "_value"
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    complete = rows.filter("_complete")
+    long = complete.select(*keys, "_row", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
+        [*keys, "_row"], list(features), "_metric", "_value"
     )
-    tails = value_ranks(long, [*keys, "_metric"], "_value").select(
-        *keys,
-        "_metric",
-        "_value",
-        (-F.ln(F.col("cum") / F.col("n"))).alias("_left"),
-        (-F.ln((F.col("n") - F.col("cum") + F.col("cnt")) / F.col("n"))).alias("_right"),
-    )
-    lean = complete.groupBy(*keys).agg(*[F.coalesce(F.skewness(f), F.lit(0.0)).alias(f"_skew_{f}") for f in features])
-    scored = df.join(lean, keys, "left")
+    ranks = ranked_rows(long, [*keys, "_metric"], "_value", F.xxhash64("_row"))
+    left = -F.ln((F.col("below") + F.col("cnt")) / F.col("n"))
+    right = -F.ln((F.col("n") - F.col("below")) / F.col("n"))
+    lean = complete.groupBy(*keys).agg(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*[F.coalesce(F.skewness(f), F.lit(0.0)) for f in features])).alias("_lean"))
+    told = matched(ranks.withColumns({"_left": left, "_right": right}), lean, keys)
+    skew = F.col("_lean")[F.col("_metric")]
+    chosen = F.when(skew < 0, F.col("_left")).when(skew > 0, F.col("_right")).otherwise(F.col("_left") + F.col("_right"))
+    tails = told.select("_row", "_metric", F.greatest("_left", "_right", chosen).alias("_tail"))
+    # Each metric in its own column, so that they are added up in the same order every time.
+    wide = tails.groupBy("_row").agg(*[F.max(F.when(F.col("_metric") == f, F.col("_tail"))).alias(f"_tail{i}") for i, f in enumerate(features)])
     total = F.lit(0.0)
-    for f in features:
-        side = tails.filter(F.col("_metric") == f).select(
-            *keys, F.col("_value").alias(f"_at_{f}"), F.col("_left").alias(f"_left_{f}"), F.col("_right").alias(f"_right_{f}")
-        )
-        match = F.col(f).cast("double") == F.col(f"_at_{f}")
-        scored = scored.alias("l").join(side.alias("r"), [*same(keys), match], "left")
-        scored = scored.select("l.*", f"_left_{f}", f"_right_{f}")
-        left, right, skew = F.col(f"_left_{f}"), F.col(f"_right_{f}"), F.col(f"_skew_{f}")
-        chosen = F.when(skew < 0, left).when(skew > 0, right).otherwise(left + right)
-        total = total + F.coalesce(F.greatest(left, right, chosen), F.lit(0.0))
+    for i in range(len(features)):
+        total = total + F.coalesce(F.col(f"_tail{i}"), F.lit(0.0))
+    scored = rows.join(wide, "_row", "left")
     return scored.select(*[F.col(c) for c in df.columns], F.when(F.col("_complete"), total).alias(name))
 
 
@@ -148,7 +144,7 @@ def pca_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], name:
             loading = loading + F.abs(F.col(f"_v{i}_{j}"))
         live.append((loading > 0).alias(f"_live{j}"))
     axes = axes.select("*", *live)
-    joined = df.join(axes, list(keys), "left")
+    joined = matched(df, axes, list(keys))
     return joined.select(*[F.col(c) for c in df.columns], F.when(F.col("_complete"), total).alias(name))
 
 
@@ -156,7 +152,7 @@ def project(df: DataFrame, keys: Sequence[str], features: Sequence[str], k: int
     """Complete rows on the first ``k`` axes of the centred metrics, ``pc1`` to ``pc<k>``, with the explained shares."""
     d = len(features)
     axes = principal_axes(df, keys, features, scale=False)
-    joined = df.filter("_complete").join(axes, list(keys))
+    joined = matched(df.filter("_complete"), axes, list(keys))
     z = _centred(features)
     out = []
     for i in range(min(k, d)):
@@ -202,7 +198,7 @@ def flag_outliers(
         scored = pca_score(scored, keys, features)
     # Limits and flags must see the same scores to the last bit, and scoring again would cost as much as the copy.
     scored = checkpointed(scored)
-    scored = scored.join(thresholds(scored, keys, detectors, method, share), keys, "left")
+    scored = matched(scored, thresholds(scored, keys, detectors, method, share), keys)
     flags, agree = [], F.lit(True)
     for d in detectors:
         hit = F.coalesce(F.col(d) > F.col(f"{d}_threshold"), F.lit(False))

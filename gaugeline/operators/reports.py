@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline import schema as S
 from gaugeline.functions import metrics as M
 from gaugeline.functions.expr import ratio
-from gaugeline.operators.chunks import percentiles
+from gaugeline.operators.chunks import matched, percentiles
 
 
 def null_percent(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) ->
     share = ratio((F.col(value) - F.col("low")) * bins, F.col("high") - F.col("low"))
     number = F.least(F.floor(F.coalesce(share, F.lit(0.0))) + 1, F.lit(bins)).cast("bigint")
     present = df.filter(F.col(value).isNotNull())
-    joined = present.join(span, list(keys)) if keys else present.withColumn("low", low).withColumn("high", high)
+    joined = matched(present, span, list(keys)) if keys else present.withColumn("low", low).withColumn("high", high)
     return joined.groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -84,7 +84,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     cuts = percentiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     v, reach = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
-    joined = df.join(cuts, list(keys))
+    joined = matched(df, cuts, list(keys), "inner")
     return joined.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),

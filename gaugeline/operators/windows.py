@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import half_even
-from gaugeline.operators.chunks import over_chunks
+from gaugeline.operators.chunks import matched, over_chunks
 
 
 def row_features(
@@ -143,7 +143,7 @@ def pad_predictions(df: DataFrame, keys: Sequence[str], idx: str, pred: str) ->
     """Give the rows before the first prediction of a series that prediction."""
     first = df.filter(F.col(pred).isNotNull()).groupBy(*keys).agg(F.min_by(pred, idx).alias("_first"), F.min(idx).alias("_at"))
     head = F.when(F.col(idx) < F.col("_at"), F.col("_first"))
-    return df.join(first, list(keys), "left").withColumn(pred, F.coalesce(F.col(pred), head)).drop("_first", "_at")
+    return matched(df, first, list(keys)).withColumn(pred, F.coalesce(F.col(pred), head)).drop("_first", "_at")
 
 
 def rolling_mode(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.feature import VectorSizeHint, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from gaugeline import schema as S
 from gaugeline.operators import encode as E
 from gaugeline.operators import models as ML
 from gaugeline.plans import training
+from gaugeline.session import shared_folder
 from suite.frames import HOURLY_WIDE, TEL, hourly_wide, rounded, table, telemetry
 from suite.registry import query
 
@@ -94,6 +99,47 @@ def column_routing(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(coded.withColumnRenamed(S.TS, "ts"))
 
 
+def _saved(spark: SparkSession, encoder: E.Encoder) -> E.Encoder:
+    """Written and read again, as another run does."""
+    folder = f"{shared_folder(spark)}/encoder-{uuid.uuid4().hex}"
+    encoder.save(folder)
+    return E.Encoder.load(spark, folder)
+
+
+CODED = """tl AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS station, ts, CASE WHEN event_id % 5 <> 0 THEN sqrt(value) END AS level, CASE WHEN event_id % 3 <> 0 THEN event_id % 4 END AS st FROM events),
+t AS (SELECT * FROM tl WHERE ts < TIMESTAMP '2024-01-15'), m AS (SELECT station, quantile_cont(level, 0.5) AS ml FROM t GROUP BY station),
+f AS (SELECT t.station, any_value(ml) AS ml, avg(coalesce(level, ml)) AS al, stddev_pop(coalesce(level, ml)) AS sl FROM t JOIN m ON t.station IS NOT DISTINCT FROM m.station GROUP BY t.station),
+w AS (SELECT DISTINCT station, coalesce(st, 0) AS st FROM t), p AS (SELECT st, row_number() OVER (ORDER BY st) - 1 AS place FROM (SELECT DISTINCT st FROM w))"""
+
+
+@query(f"""WITH {CODED} SELECT tl.event_id, tl.station, round_even((coalesce(level, ml) - al) / sl, 6) + 0.0 AS level, CAST(p.place AS INTEGER) AS place, CAST(1 + (SELECT count(*) FROM p) AS INTEGER) AS size
+FROM tl JOIN f ON tl.station IS NOT DISTINCT FROM f.station LEFT JOIN w ON w.station IS NOT DISTINCT FROM tl.station AND w.st = coalesce(tl.st, 0) LEFT JOIN p ON p.st = w.st""")
+def stored_encoder(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers and codes of groups, one of them without a name, by an encoder that was saved: the vector taken apart."""
+    rows = telemetry(spark, sf).select("event_id", F.when(F.col("station") != "view", F.col("station")).alias("station"), "ts", "level", "level_Status")
+    train = rows.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+    encoder = _saved(spark, E.fit_encoder(train, ["level"], ["level_Status"], ["station"]))
+    made = encoder.apply(rows).withColumn("x", vector_to_array("features"))
+    place = F.array_position(F.slice("x", F.lit(2), F.size("x") - 1), F.lit(1.0))
+    return rounded(made.select("event_id", "station", F.col("x")[0].alias("level"), F.when(place > 0, place - 1).cast("int").alias("place"), F.size("x").alias("size")))
+
+
+@query("""WITH t AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'), p AS (SELECT o_custkey, CAST(row_number() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS place FROM t)
+SELECT o_orderkey, place, CAST(CASE WHEN place IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS entries, CAST((SELECT count(*) FROM t) + 1 AS INTEGER) AS size FROM orders LEFT JOIN p USING (o_custkey)""")
+def one_hot_large(spark: SparkSession, sf: str) -> DataFrame:
+    """A column of many categories as a sparse vector: categories are rows of a table, joined and never listed."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    train = rows.filter(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    encoder = _saved(spark, E.fit_encoder(train, ["o_totalprice"], ["o_custkey"]))
+    made = encoder.places(encoder.apply(rows), "o_custkey", "place")
+    size = 1 + encoder.sizes["o_custkey"]
+    checked = VectorSizeHint(inputCol="features", size=size, handleInvalid="error").transform(made)
+    # The categories' part of the vector alone: the sum of its entries is 1 for a known customer and 0 for another.
+    coded = VectorSlicer(inputCol="features", outputCol="_coded", indices=list(range(1, size))).transform(checked)
+    entries = F.aggregate(vector_to_array("_coded"), F.lit(0.0), lambda a, b: a + b)
+    return coded.select("o_orderkey", "place", entries.alias("entries"), F.lit(size).alias("size"))
+
+
 FEATURES = HOURLY_WIDE + """, f0 AS (SELECT ts, click, ln(1 + "view") AS "view", row_number() OVER (ORDER BY ts) - 1 AS idx FROM wide WHERE "view" IS NOT NULL AND ts < TIMESTAMP '2024-01-26')"""
 
 
@@ -126,4 +172,4 @@ def f_regression_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gbt_importance_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return ML.importance(table(spark, sf, "lineitem").withColumnRenamed("l_extendedprice", "y"), FS, "y", 2, params={**ML.SELECTOR, "n_estimators": 10})
+    return ML.importance(table(spark, sf, "lineitem").withColumnRenamed("l_extendedprice", "y"), FS, "y", 2, params=ML.SELECTOR)

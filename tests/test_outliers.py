@@ -162,3 +162,36 @@ def test_samples(spark):
     assert set(again["id"]) == set(got["id"])
     few = O.display_sample(df.filter("id < 30"), "flag", ["id"]).toPandas()
     assert len(few) == 30
+
+
+def test_rows_are_ranked_over_range_edges(spark):
+    import numpy as np
+
+    from gaugeline.operators.chunks import ranked_rows
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), None if i % 3 else "a", None if i % 50 == 7 else float(v)) for i, v in enumerate(np.where(rng.random(4000) < 0.4, 0.0, rng.integers(-5, 200, 4000)))]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(6)
+    got = ranked_rows(df, ["g"], "v", F.xxhash64("id")).collect()
+    assert len({r["id"] for r in got}) == sum(v is not None for _, _, v in rows) == len(got)
+    for g in ("a", None):
+        mine = np.sort([v for _, h, v in rows if h == g and v is not None])
+        for r in (r for r in got if r["g"] == g):
+            assert r["n"] == len(mine) and r["below"] == np.searchsorted(mine, r["v"]) and r["below"] + r["cnt"] == np.searchsorted(mine, r["v"], "right")
+
+
+def test_a_station_without_a_name_is_flagged(spark):
+    import numpy as np
+
+    from gaugeline import SeriesSchema
+    from gaugeline.operators.outliers import flag_outliers
+
+    rng = np.random.default_rng(5)
+    values = [(float(a), float(b)) for a, b in rng.normal(0, 1, (300, 2))] + [(40.0, 40.0)]
+    rows = [(s, i, a, b) for s in ("a", None) for i, (a, b) in enumerate(values)]
+    own = SeriesSchema(key="s", ts="i", values=("u", "w"), meta=(), signed=())
+    got = flag_outliers(spark.createDataFrame(rows, "s string, i long, u double, w double"), own).collect()
+    flagged = {s: {r["i"] for r in got if r["s"] == s and r["is_outlier"]} for s in ("a", None)}
+    assert flagged["a"] == flagged[None] and 300 in flagged["a"]
+    scores = {s: sorted((r["i"], r["ecod"]) for r in got if r["s"] == s) for s in ("a", None)}
+    assert scores["a"] == scores[None] and all(e is not None for _, e in scores[None])
