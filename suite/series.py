@@ -67,6 +67,52 @@ def resample_month(spark: SparkSession, sf: str) -> DataFrame:
     return resample(shipments(spark, sf), "station", "ts", "ME", {"value": "sum"})
 
 
+WEEK_END = "CAST(ceil((CAST(ts AS DATE) - DATE '1970-01-0{}') / 7.0) AS BIGINT)"
+MONTH = "(year(ts) * 12 + month(ts) - 1)"
+
+
+def _calendar_sql(ordinal: str, label: str, count: int = 1) -> str:
+    """Sums per calendar period and supplier: periods as numbers, ``count`` of them a bin that ends with its last one."""
+    return f"""WITH {SHIP}, o AS (SELECT station, {ordinal} AS k, value FROM ship), f AS (SELECT station, min(k) AS k0, max(k) AS k1 FROM o GROUP BY station),
+b AS (SELECT station, k0 + CAST(ceil((k - k0) / {count}.0) AS BIGINT) * {count} AS k, sum(value) AS value FROM o JOIN f USING (station) GROUP BY 1, 2),
+s AS (SELECT station, unnest(generate_series(k0, k0 + CAST(ceil((k1 - k0) / {count}.0) AS BIGINT) * {count}, {count})) AS k FROM f)
+SELECT s.station, CAST({label} AS TIMESTAMP) AS ts, round_even(value, 3) AS value FROM s LEFT JOIN b ON b.station = s.station AND b.k = s.k"""
+
+
+def _calendar(spark: SparkSession, sf: str, freq: str) -> DataFrame:
+    return resample(shipments(spark, sf), "station", "ts", freq, {"value": "sum"})
+
+
+@query(_calendar_sql(WEEK_END.format(4), "DATE '1970-01-04' + CAST(s.k * 7 AS INTEGER)", 2))
+def resample_two_weeks(spark: SparkSession, sf: str) -> DataFrame:
+    return _calendar(spark, sf, "2W")
+
+
+@query(_calendar_sql(WEEK_END.format(7), "DATE '1970-01-07' + CAST(s.k * 7 AS INTEGER)"))
+def resample_week_wednesday(spark: SparkSession, sf: str) -> DataFrame:
+    return _calendar(spark, sf, "W-WED")
+
+
+@query(_calendar_sql(MONTH, "last_day(make_date(s.k // 12, s.k % 12 + 1, 1))", 2))
+def resample_two_months(spark: SparkSession, sf: str) -> DataFrame:
+    return _calendar(spark, sf, "2ME")
+
+
+@query(_calendar_sql(MONTH, "make_date(s.k // 12, s.k % 12 + 1, 1)"))
+def resample_month_start(spark: SparkSession, sf: str) -> DataFrame:
+    return _calendar(spark, sf, "MS")
+
+
+@query(_calendar_sql("(year(ts) * 4 + quarter(ts) - 1)", "last_day(make_date(s.k // 4, s.k % 4 * 3 + 3, 1))"))
+def resample_quarter(spark: SparkSession, sf: str) -> DataFrame:
+    return _calendar(spark, sf, "QE")
+
+
+@query(_calendar_sql("year(ts)", "make_date(s.k, 12, 31)"))
+def resample_year(spark: SparkSession, sf: str) -> DataFrame:
+    return _calendar(spark, sf, "YE")
+
+
 @query(f"""WITH {DENSE} SELECT station AS station_id, 'before' AS period, round_even(100.0 * count(*) FILTER (level IS NULL) / count(*), 6) AS missing_percentage
 FROM dense GROUP BY station""")
 def missing_rate(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,7 +22,7 @@ def readings(spark):
     return pdf, df.select("s", "t", "v_Status", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("v", "m")])
 
 
-@pytest.mark.parametrize("freq", ["15min", "h", "5h", "7h", "D", "2D", "W", "ME"])
+@pytest.mark.parametrize("freq", ["15min", "h", "5h", "7h", "D", "2D", "W", "ME", "2W", "3W-WED", "W-MON", "2ME", "MS", "2MS", "QE", "QE-JAN", "QS", "YE", "YS", "YE-JAN"])
 def test_equals_pandas(spark, freq):
     pdf, df = readings(spark)
     got = resample(df, "s", "t", freq, RULES, digits=None).toPandas().sort_values(["s", "t"]).reset_index(drop=True)
@@ -44,12 +44,18 @@ def test_rounding_and_missing_bins(spark):
 
 
 def test_frequencies():
-    assert parse_frequency("15min") == ("step", 900) and parse_frequency("h") == ("step", 3600) and parse_frequency("W") == ("week", 1)
-    for bad in ("x", "2W", "15", "3ME"):
+    assert parse_frequency("15min").seconds == 900 and parse_frequency("h").seconds == 3600 and parse_frequency("W").anchor == 3
+    for bad in ("x", "15", "3M", "0D", "W-ABC", "QE-XXX", "MEE"):
         with pytest.raises(ValueError):
             parse_frequency(bad)
 
 
+def test_missing_periods_appear(spark):
+    rows = spark.createDataFrame([("a", "2024-01-31 23:59:59", 1.0), ("a", "2024-07-01 00:00:00", 2.0)], "s string, t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = [(str(r["t"])[:10], r["v"]) for r in resample(rows, "s", "t", "2ME", {"v": "sum"}).orderBy("t").collect()]
+    assert got == [("2024-01-31", 1.0), ("2024-03-31", None), ("2024-05-31", None), ("2024-07-31", 2.0)]
+
+
 def test_configured_grid(spark):
     assert slots_between("2018-08-01", "2025-10-05", 900) == 251_713
     got = grid(spark.createDataFrame([("a",), ("a",)], "s string"), "s", "t", "2018-08-01", "2025-10-05", 900)
