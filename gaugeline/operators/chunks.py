@@ -222,3 +222,10 @@ def ranked_rows(df: DataFrame, keys: Sequence[str], value: str, spread: Column)
     joined = joined.alias("l").join(F.broadcast(edge).alias("r"), same([*keys, value]), "left").select("l.*", "_rk_under", "_rk_all")
     below = F.coalesce(F.col("_rk_under"), F.col("_rk_offset") + F.col("_rk_upto") - F.col("_rk_same"))
     return joined.select(*columns, below.alias("below"), F.coalesce("_rk_all", "_rk_same").alias("cnt"), "n")
+
+
+def sketch_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Percentiles from a mergeable sketch in one aggregate, without a sort: each is a value of the data whose rank is off by
+    at most a share of ``1 / accuracy`` of the group's rows. ``percentiles`` gives the exact ones."""
+    both = F.percentile_approx(value, list(probs.values()), accuracy)
+    return df.groupBy(*keys).agg(both.alias("_p")).select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])

@@ -117,3 +117,32 @@ def save_stages(folder: str, **frames: DataFrame | None) -> dict[str, DataFrame]
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def _marker(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_whole")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def save_days(df: DataFrame, folder: str, stage: str, ts: str, key: str) -> None:
+    """Replace the days that ``df`` has rows of, and no others, in a stage laid out by day.
+
+    Rows are dealt by ranges of day, station and time, so a day's files are few and each holds a range of stations, however many there
+    are. A marker goes before the write and comes back after it: ``read_days`` refuses a stage whose last write
+    died half way, and writing the same days again mends it.
+    """
+    spark, path = df.sparkSession, stage_path(folder, stage)
+    fs, marker = _marker(spark, path)
+    fs.delete(marker, False)
+    dealt = df.withColumn("day", F.to_date(ts)).repartitionByRange("day", key, ts).sortWithinPartitions("day", key, ts)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    fs.create(marker, True).close()
+
+
+def read_days(spark: SparkSession, folder: str, stage: str) -> DataFrame:
+    """A stage written by ``save_days``; filters on ``day`` prune its folders, filters on the station its files."""
+    path = stage_path(folder, stage)
+    fs, marker = _marker(spark, path)
+    if not fs.exists(marker):
+        raise RuntimeError(f"the last write to {path} did not end; write its days again")
+    return spark.read.parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeline.operators.chunks import same
+
 AGGREGATES = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
 
 
@@ -51,3 +53,57 @@ def run_available(df: DataFrame, path: str, state: str, mode: str = "append") ->
     )
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_batches(df: DataFrame, path: str, state: str, made: Callable[[DataFrame, int], DataFrame]) -> None:
+    """Process what is there; each batch writes ``made(rows, number)`` into a folder of its own number.
+
+    A batch that is delivered again, as after a failure, replaces its own folder: every reading counts once.
+    """
+
+    def sink(rows: DataFrame, number: int) -> None:
+        made(rows, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = df.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def _parts(rules: dict[str, str]) -> list[Column]:
+    out = []
+    for c, r in rules.items():
+        if r not in AGGREGATES:
+            raise ValueError(f"not available on streams: {c}")
+        out += [F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_count")] if r == "mean" else [AGGREGATES[r](c).alias(c)]
+    return out
+
+
+def collect_bins(df: DataFrame, key: str, ts: str, width: str, rules: dict[str, str], path: str, state: str) -> None:
+    """Bins of a stream as partial aggregates per batch: nothing is held back until a watermark passes and no late reading is
+    lost. ``read_bins`` merges them."""
+    window = F.window(ts, width)["start"].cast(T.TimestampNTZType())
+    write_batches(as_event_time(df, ts), path, state, lambda rows, _: rows.groupBy(key, window.alias(ts)).agg(*_parts(rules)))
+
+
+def read_bins(spark: SparkSession, path: str, key: str, ts: str, rules: dict[str, str]) -> DataFrame:
+    """The bins of all batches so far, also those that are still filling."""
+    out = []
+    for c, r in rules.items():
+        out.append((F.sum(f"{c}_sum") / F.sum(f"{c}_count")).alias(c) if r == "mean" else AGGREGATES[r](c).alias(c))
+    return spark.read.parquet(path).groupBy(key, ts).agg(*out)
+
+
+def insert_absent(df: DataFrame, keys: Sequence[str], path: str, state: str) -> None:
+    """Adds the readings of a stream whose keys the table does not hold yet, one of each within a batch.
+
+    A batch is compared with the batches before it only, so delivering it again adds nothing. A missing key equals a missing key.
+    """
+    spark = df.sparkSession
+
+    def fresh(rows: DataFrame, number: int) -> DataFrame:
+        rows = rows.dropDuplicates(list(keys))
+        if not number:
+            return rows
+        earlier = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path).where(F.col("batch") < number)
+        return rows.alias("l").join(earlier.select(*keys).distinct().alias("r"), same(keys), "left_anti")
+
+    write_batches(df, path, state, fresh)

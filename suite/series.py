@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators import gaps, windows
-from gaugeline.operators.chunks import percentiles, value_ranks, with_series_index
+from gaugeline.operators.chunks import percentiles, sketch_percentiles, value_ranks, with_series_index
 from gaugeline.operators.impute import value_bounds
 from gaugeline.operators.resample import resample
 from gaugeline.operators.splits import tail
@@ -248,3 +248,17 @@ def clip_bounds(spark: SparkSession, sf: str) -> DataFrame:
 def tail_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     return tail(rows, "o_orderdate", 3000, ["o_orderkey"])
+
+
+@query("SELECT l_suppkey % 3 AS part, count(*) AS n, TRUE AS low_within, TRUE AS middle_within, TRUE AS high_within FROM lineitem GROUP BY 1")
+def approximate_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of a sketch: the exact rank of each lies within a hundredth of the rows of the wanted one."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("part"), F.col("l_extendedprice").alias("v"))
+    probs, accuracy = {"low": 0.05, "middle": 0.5, "high": 0.99}, 100
+    found = sketch_percentiles(rows, ["part"], "v", probs, accuracy)
+    counted = rows.join(found, "part").groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.struct(F.count_if(F.col("v") < F.col(c)).alias("below"), F.count_if(F.col("v") <= F.col(c)).alias("upto")).alias(c) for c in probs],
+    )
+    off = F.col("n") / accuracy + 1
+    return counted.select("part", "n", *[((F.col(c)["below"] <= F.col("n") * p + off) & (F.col(c)["upto"] >= F.col("n") * p - off)).alias(f"{c}_within") for c, p in probs.items()])

@@ -13,7 +13,7 @@ from gaugeline.functions.expr import half_even
 from gaugeline.session import checkpointed, shared_folder
 from gaugeline.sources import payloads, tables
 from gaugeline.streaming import ingest
-from suite.frames import SHIP, TEL, rounded, shipments, table, telemetry
+from suite.frames import SHIP, TEL, hourly, rounded, shipments, table, telemetry
 from suite.registry import query
 
 
@@ -234,7 +234,10 @@ def append_absent(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, event_type, value FROM events")
 def payload_files(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", "event_type", "value", F.to_date("ts").alias("day"))
-    items = events.groupBy("day", "event_type").agg(F.collect_list(F.struct("event_id", "event_type", "value")).alias("items"))
+    # Pages of about a thousand items: a busy day and type has many, none holds an unbounded number.
+    pages = events.groupBy("day", "event_type").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("pages"))
+    paged = events.join(pages, ["day", "event_type"]).withColumn("page", F.pmod(F.xxhash64("event_id"), F.col("pages")))
+    items = paged.groupBy("day", "event_type", "page").agg(F.collect_list(F.struct("event_id", "event_type", "value")).alias("items")).drop("page")
     folder = f"{shared_folder(spark)}/payloads-{uuid.uuid4().hex}"
     items.withColumn("kind", F.col("event_type")).drop("event_type").write.partitionBy("day", "kind").json(folder)  # a payload per file
     item = items.schema["items"].dataType.elementType
@@ -253,12 +256,37 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
 
 
-@query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS ts, round_even(avg(sqrt(value)), 6) AS value FROM events
-GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS ts, round_even(avg(sqrt(value)), 6) AS value, round_even(max(value), 6) AS highest FROM events GROUP BY 1, 2")
 def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    made = ingest.resample_stream(_stream(spark, sf).withColumn("value", F.sqrt("value")), "event_type", "ts", "1 hour", {"value": "mean"}, "2 hours")
+    """Every hour of the stream, the last ones included; a second delivery of all batches changes nothing."""
+    rules = {"value": "mean", "highest": "max"}
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return rounded(ingest.run_available(made, f"{folder}/out", f"{folder}/state"))
+    for state in ("first", "again"):
+        rows = _stream(spark, sf).select("event_type", "ts", F.sqrt("value").alias("value"), F.col("value").alias("highest"))
+        ingest.collect_bins(rows, "event_type", "ts", "1 hour", rules, f"{folder}/out", f"{folder}/{state}")
+    return rounded(ingest.read_bins(spark, f"{folder}/out", "event_type", "ts", rules))
+
+
+@query("SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS ts FROM events")
+def stream_absent(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per user, type and day, though every batch is delivered twice."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for state in ("first", "again"):
+        days = _stream(spark, sf).select("user_id", "event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
+        ingest.insert_absent(days, ["user_id", "event_type", "ts"], f"{folder}/out", f"{folder}/{state}")
+    return spark.read.parquet(f"{folder}/out").select("user_id", "event_type", "ts")
+
+
+@query(f"""WITH {TEL}, h AS (SELECT station, time_bucket(INTERVAL 1 HOUR, ts) AS ts, round_even(avg(level), 6) AS level FROM tel GROUP BY 1, 2)
+SELECT station, ts, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-09' THEN level * 2 ELSE level END AS level, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM h""")
+def stage_days(spark: SparkSession, sf: str) -> DataFrame:
+    """A stage by day, one day of which is written again with other values."""
+    rows = hourly(spark, sf).where("level IS NOT NULL OR rain IS NOT NULL").select("station", "ts", "level")
+    folder = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+    tables.save_days(rows, folder, "aggregated", "ts", "station")
+    day = tables.read_days(spark, folder, "aggregated").where("day = DATE '2024-01-09'").select("station", "ts", (F.col("level") * 2).alias("level"))
+    tables.save_days(checkpointed(day), folder, "aggregated", "ts", "station")
+    return tables.read_days(spark, folder, "aggregated").withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT event_id, round_even(value * 0.125 * 1000, 0) / 1000 AS rounded FROM events")

@@ -134,3 +134,27 @@ def test_stream_windows_close_after_the_delay(spark, tmp_path):
     assert [r["v"] for r in got] == [25.0, 85.0]
     with pytest.raises(ValueError):
         ingest.resample_stream(source, "s", "ts", "1 hour", {"v": "first"})
+
+
+def test_batches_delivered_again_change_nothing(spark, tmp_path):
+    def arrive(name, rows):
+        spark.createDataFrame(rows, "s string, at long, v double").select("s", F.timestamp_micros(F.col("at") * 60_000_000).cast("timestamp_ntz").alias("ts"), "v").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    arrive("one", [("a", i, float(i)) for i in range(0, 100, 10)] + [(None, 5, 1.0), (None, 5, 1.0)])
+    kinds = spark.read.parquet(str(tmp_path / "in" / "one")).schema
+    source = lambda: ingest.read_stream(spark, str(tmp_path / "in" / "*"), kinds, 1)
+    rules = {"v": "mean"}
+    bins, keyed, state = str(tmp_path / "bins"), str(tmp_path / "keyed"), str(tmp_path / "state")
+    for name in ("first", "second", "third"):
+        if name == "second":
+            arrive("two", [("a", 1, 100.0), ("a", 10, 5.0), ("b", 130, 7.0)])  # late, repeated and new
+        again = "" if name != "third" else "again"  # a lost state: every batch comes again
+        ingest.collect_bins(source(), "s", "ts", "1 hour", rules, bins, state + "b" + again)
+        ingest.insert_absent(source(), ["s", "ts"], keyed, state + "k" + again)
+        got = {(r["s"], r["ts"].hour, r["v"]) for r in ingest.read_bins(spark, bins, "s", "ts", rules).collect()}
+        want = {("a", 0, 25.0), ("a", 1, 75.0), (None, 0, 1.0)}
+        if name != "first":
+            want = {("a", 0, (150 + 100 + 5) / 8), ("a", 1, 75.0), (None, 0, 1.0), ("b", 2, 7.0)}
+        assert got == want
+        rows = spark.read.parquet(keyed)
+        assert rows.count() == rows.select("s", "ts").distinct().count() == (11 if name == "first" else 13)

@@ -94,3 +94,37 @@ def test_station_list_reaches_the_scan(spark, tmp_path):
     text = scan._jdf.queryExecution().executedPlan().toString()
     assert "In(codigoestacao, [1,2])" in text and "wide" not in text
     assert scan.count() == 2
+
+
+DAY = "s string, t timestamp_ntz, v double"
+
+
+def test_a_day_written_again_leaves_the_others_alone(spark, tmp_path):
+    import os
+
+    from gaugeline.sources import tables
+
+    rows = spark.sql("SELECT cast(id % 3 AS string) AS s, timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id AS int)) AS t, cast(id AS double) AS v FROM range(96)")
+    tables.save_days(rows, str(tmp_path), "cleaned", "t", "s")
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    second = rows.where("t >= '2024-01-02' and t < '2024-01-03'").withColumn("v", -rows["v"])
+    tables.save_days(second, str(tmp_path), "cleaned", "t", "s")
+    after = files()
+    assert {f: m for f, m in before.items() if "2024-01-02" not in f} == {f: m for f, m in after.items() if "2024-01-02" not in f}
+    got = tables.read_days(spark, str(tmp_path), "cleaned")
+    assert got.count() == 96 and {r["v"] < 0 for r in got.where("day = '2024-01-02'").collect()} == {True} and got.where("v < 0").count() == 24
+    os.remove(tmp_path / tables.STAGE_TABLES["cleaned"] / "_whole")  # what a write that died leaves behind
+    with pytest.raises(RuntimeError):
+        tables.read_days(spark, str(tmp_path), "cleaned")
+
+
+def test_all_outputs_are_written(spark, tmp_path):
+    from gaugeline.sources import tables
+
+    frames = {stage: spark.createDataFrame([(stage, k) for k in range(3)], "codigoestacao string, step int") for stage in tables.STAGE_TABLES}
+    got = tables.save_stages(str(tmp_path), **frames)
+    assert len(got) == 10
+    for stage, df in got.items():
+        assert {(r["codigoestacao"], r["step"]) for r in df.collect()} == {(stage, k) for k in range(3)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(tables.STAGE_TABLES.values())
