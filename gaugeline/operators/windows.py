@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import half_even
-from gaugeline.operators.chunks import matched, over_chunks
+from gaugeline.operators.chunks import chunk_of, halo_rows, matched, over_chunks
 
 
 def row_features(
@@ -146,16 +150,60 @@ def pad_predictions(df: DataFrame, keys: Sequence[str], idx: str, pred: str) ->
     return matched(df, first, list(keys)).withColumn(pred, F.coalesce(F.col(pred), head)).drop("_first", "_at")
 
 
+#: So many codes are counted in a column each; of more, every task counts those of its rows.
+FEW_CODES = 16
+
+
+def _recent_modes(codes: np.ndarray, window: int) -> list[int | None]:
+    """The most frequent code of the last ``window`` rows, the lowest on ties; NaN is no code."""
+    counts: dict[int, int] = {}
+    best: list[tuple[int, int]] = []  # (-count, code): those that no longer hold are dropped when they come up
+    out: list[int | None] = []
+    for i, code in enumerate(codes.tolist()):
+        for c, change in ((code, 1), (codes[i - window] if i >= window else math.nan, -1)):
+            if not math.isnan(c):
+                counts[int(c)] = n = counts.get(int(c), 0) + change
+                heapq.heappush(best, (-n, int(c)))
+        while best and counts[best[0][1]] != -best[0][0]:
+            heapq.heappop(best)
+        out.append(best[0][1] if best and best[0][0] else None)
+    return out
+
+
+def _mode_of_many(df: DataFrame, keys: Sequence[str], idx: str, status: str, windows: Sequence[int]) -> DataFrame:
+    """``rolling_mode`` for any number of codes: each chunk is swept once per window, with the rows it must see before it."""
+    before = max(windows)
+    rows = halo_rows(before, 0)
+    first, last = chunk_of(idx, rows), chunk_of(F.col(idx) + before, rows)
+    lean = df.select(*keys, idx, F.col(status).cast("bigint").cast("double").alias("_code"))
+    spread = lean.withColumn("_chunk", F.explode(F.sequence(first, last)))
+    names = [f"mode_{w}" for w in windows]
+
+    def sweep(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(idx, kind="stable")
+        codes, mine = group["_code"].to_numpy(), (group[idx] // rows == group["_chunk"]).to_numpy()
+        made = group.loc[mine, [*keys, idx]].copy()
+        for w, name in zip(windows, names):
+            made[name] = pd.array(_recent_modes(codes, w), dtype="Int64")[mine]
+        return made
+
+    kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in (*keys, idx)), *(f"{n} bigint" for n in names)])
+    return matched(df, spread.groupBy(*keys, "_chunk").applyInPandas(sweep, kinds), [*keys, idx])
+
+
 def rolling_mode(
     df: DataFrame, keys: Sequence[str], idx: str, status: str, windows: Sequence[int], codes: Sequence[int] | None = None
 ) -> DataFrame:
     """Most frequent code of the last ``w`` rows, the lowest on ties, NULL without any code: ``mode_<w>``.
 
-    Without ``codes`` those that occur in the data are counted; each becomes a running column.
+    Without ``codes`` those that occur in the data are counted: up to ``FEW_CODES`` in a running column each, more of
+    them chunk by chunk, so that their list is never gathered.
     """
     if codes is None:
-        seen = df.select(F.col(status).cast("bigint").alias("c")).distinct().filter("c is not null").orderBy("c")
-        codes = [r["c"] for r in seen.toLocalIterator()]
+        seen = df.select(F.col(status).cast("bigint").alias("c")).distinct().filter("c is not null").limit(FEW_CODES + 1)
+        codes = sorted(r["c"] for r in seen.collect())
+        if len(codes) > FEW_CODES:
+            return _mode_of_many(df, keys, idx, status, windows)
     if not codes:
         return df.select("*", *[F.lit(None).cast("bigint").alias(f"mode_{w}") for w in windows])
 

@@ -212,6 +212,13 @@ def rolling_mode(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("station", "idx", "mode_8", "mode_96")
 
 
+@query(f"""WITH {DAILY}, p AS (SELECT a.station, a.idx, b.value AS c, count(*) AS n FROM daily a JOIN daily b ON a.station = b.station AND b.idx BETWEEN a.idx - 6 AND a.idx GROUP BY ALL)
+SELECT station, idx, CAST(arg_min(c, [-n, c]) AS BIGINT) AS mode_7 FROM p GROUP BY station, idx""")
+def rolling_mode_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantities of a day as codes: far more than have a column each."""
+    return windows.rolling_mode(daily_shipments(spark, sf), ["station"], "idx", "value", [7]).select("station", "idx", "mode_7")
+
+
 @query(f"""WITH {DENSE} SELECT d.station, d.idx, round_even(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 95 PRECEDING), 2) AS rain_1d,
   round_even(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 671 PRECEDING), 2) AS rain_7d, round_even(sum(ln(1 + rain)) OVER (PARTITION BY d.station ORDER BY d.idx ROWS 2879 PRECEDING), 2) AS rain_30d,
   CAST(a.m AS BIGINT) AS "rain_1d_Status", CAST(b.m AS BIGINT) AS "rain_7d_Status", CAST(c.m AS BIGINT) AS "rain_30d_Status"

@@ -121,3 +121,24 @@ def test_any_code_counts(spark):
     df = spark.createDataFrame([("a", k, c) for k, c in enumerate([7, 7, 7, 1])], "s string, idx long, c int")
     got = W.rolling_mode(df, ["s"], "idx", "c", [3]).orderBy("idx").collect()
     assert [r["mode_3"] for r in got] == [7, 7, 7, 7]
+
+
+def test_modes_of_ten_thousand_codes(spark, small_chunks):
+    import collections
+
+    import numpy as np
+
+    from gaugeline.operators.windows import rolling_mode
+
+    rng = np.random.default_rng(6)
+    rows = [(s, i, None if rng.random() < 0.2 else int(rng.integers(0, 10_000)) if rng.random() < 0.5 else int(rng.integers(0, 4))) for s in ("a", None) for i in range(300)]
+    rows += [("wide", i, i * 7 % 10_007) for i in range(10_000)]
+    got = {(r["s"], r["i"]): (r["mode_5"], r["mode_40"]) for r in rolling_mode(spark.createDataFrame(rows, "s string, i long, c int"), ["s"], "i", "c", [5, 40]).collect()}
+    assert len(got) == len(rows)
+    for s in ("a", None, "wide"):
+        codes = [c for t, _, c in rows if t == s]
+        for i in range(0, len(codes), 1 if s != "wide" else 97):
+            for k, w in enumerate((5, 40)):
+                counts = collections.Counter(c for c in codes[max(0, i - w + 1) : i + 1] if c is not None)
+                want = min(counts, key=lambda c: (-counts[c], c)) if counts else None
+                assert got[s, i][k] == want
