@@ -249,3 +249,23 @@ def test_only_proven_seams_are_spliced(spark):
 def test_empty_tables(spark, model):
     none = spark.createDataFrame([], DOCS)
     assert periods.find(none).count() == 0 and token_counts.count(none, model).count() == 0
+
+
+def test_ids_equal_the_tokenizers(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from gaugeline.llm import packing
+
+    path = public_tokenizer()
+    own, encode = Tokenizer.from_file(path), packing.encoder(path)
+    rng = random.Random(11)
+    signs = [chr(c) for c in rng.sample([c for c in range(0x30000) if not 0xD800 <= c < 0xE000], 300)] + list(" \t\n abcABC123.,'s're 　") * 12
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += [t for t in token_texts() if t] + ["a<|endoftext|>b <|endoftext|> <|endof", "x" * 9000, "y " * 3000 + "\n" * 5000]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    assert packing.ranked_vocabulary({"model": {"type": "WordPiece"}}) is None
+    monkeypatch.setattr(packing, "ranked_vocabulary", lambda spec: None)
+    import sys
+
+    monkeypatch.delitem(sys.modules, "_gaugeline_bpe")
+    assert packing.encoder(path)(texts[:300]) == encode(texts[:300])
