@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -151,20 +152,27 @@ class Index:
         return out
 
 
-class Phrases:
-    """The distinct windows of a block of test items, and the items of each."""
+class Phrases(NamedTuple):
+    """The distinct windows of a block of test items, and the items of each. Tasks get it as a plain tuple of arrays and lists."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        flat, counts = words_of([t for _, t in items])
-        coded = flat.dictionary_encode()
-        self.vocabulary, codes = coded.dictionary, coded.indices.to_numpy()
-        found: dict[tuple, set[str]] = {}
-        for (item, _), first, n in zip(items, counts.cumsum() - counts, counts):
-            for k in range(first, first + max(n - window, 0) + 1) if n else ():
-                found.setdefault(tuple(codes[k : k + min(n, window)]), set()).add(item)
-        self.items = list(found.values())
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.matrix = np.array([(0,) * (window - len(p)) + p for p in found], np.int64).reshape(-1, window)
+    vocabulary: pa.Array
+    matrix: np.ndarray
+    lengths: np.ndarray
+    items: list[list[str]]
+
+
+def phrases_of(items: list[tuple[str | None, str | None]], window: int) -> Phrases:
+    """The windows of ``items`` (id, text); those without an id have windows that belong to no item."""
+    flat, counts = words_of([t for _, t in items])
+    coded = flat.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    found: dict[tuple, set[str]] = {}
+    for (item, _), first, n in zip(items, counts.cumsum() - counts, counts):
+        for k in range(first, first + max(n - window, 0) + 1) if n else ():
+            found.setdefault(tuple(codes[k : k + min(n, window)].tolist()), set()).update(() if item is None else (item,))
+    lengths = np.array([len(p) for p in found], np.int64)
+    matrix = np.array([(0,) * (window - len(p)) + p for p in found], np.int64).reshape(-1, window)
+    return Phrases(coded.dictionary, matrix, lengths, [sorted(i) for i in found.values()])
 
 
 def _marked(texts: list[str | None], phrases: Phrases, spans: list, items: list) -> tuple[list, list, np.ndarray]:
@@ -201,24 +209,25 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     its task, so nothing is shuffled. The test items are searched in blocks of about ``TEST_BYTES``; every block is one more
     pass over the rows, which carry what was found, so a test set of any size is searched whole.
     Cases: null and empty texts have no words; items without words have no window; equal items and windows are each
-    reported; repeated documents are marked each; an empty table on either side finds nothing; extra columns stay, save
+    reported; words of items without an id are hit, but no item is named for them; repeated documents are marked each; an empty table on either side finds nothing; extra columns stay, save
     n_words, hit_spans and hit_items, which are replaced.
     """
-    tests = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
+    tests = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // TEST_BYTES) or 1
     out = docs.drop("n_words", "hit_spans", "hit_items").withColumns(
         {"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "hit_items": F.expr("cast(array() as array<string>)")}
     )
     for block in range(blocks):
-        own = tests.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
-        phrases = out.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in own], window))
+        own = tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
+        # A broadcast is pickled by reference to its classes, which executors need not have: only arrays and lists go.
+        phrases = out.sparkSession.sparkContext.broadcast(tuple(phrases_of([tuple(r) for r in own], window)))
 
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for batch in pieces_of(batches, text, SHARD_BYTES):
                 names = batch.schema.names
                 spans, items = (batch.column(c).to_pylist() for c in ("hit_spans", "hit_items"))
-                spans, items, lengths = _marked(batch.column(text).to_pylist(), phrases.value, spans, items)
+                spans, items, lengths = _marked(batch.column(text).to_pylist(), Phrases(*phrases.value), spans, items)
                 for name, values in (("n_words", lengths), ("hit_spans", spans), ("hit_items", items)):
                     kind = batch.schema.field(name).type
                     batch = batch.set_column(names.index(name), name, pa.array(values, kind))

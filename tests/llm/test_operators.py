@@ -156,7 +156,7 @@ def test_suffixes_ranks_and_search():
     key = [[(0, i + k) if s == 0 else (1, int(s)) for k, s in enumerate(index.sequence[i : i + 60])] for i in range(len(index.sequence))]
     key = [k[: next((j + 1 for j, x in enumerate(k) if x[0] == 0), len(k))] for k in key]
     assert order.tolist() == sorted(range(len(key)), key=lambda i: key[i])
-    phrases = decontam.Phrases([("1", "a b"), ("2", "dd a c"), ("3", "a a a"), ("4", "zz")], 3)
+    phrases = decontam.phrases_of([("1", "a b"), ("2", "dd a c"), ("3", "a a a"), ("4", "zz")], 3)
     lo, hi = index.search(phrases.vocabulary, phrases.matrix, phrases.lengths)
     words = np.array(["\n", *index.words.to_pylist()])[index.sequence].tolist()
     for p, (a, b) in enumerate(zip(lo, hi)):

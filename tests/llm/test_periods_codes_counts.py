@@ -269,3 +269,22 @@ def test_ids_equal_the_tokenizers(monkeypatch):
 
     monkeypatch.delitem(sys.modules, "_gaugeline_bpe")
     assert packing.encoder(path)(texts[:300]) == encode(texts[:300])
+
+
+def test_items_without_an_id_are_hit(spark, monkeypatch):
+    import pickle
+
+    from pyspark import SparkContext
+
+    from gaugeline.llm import decontam
+
+    sent, plain = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sent.append(value), plain(self, value))[1])
+    passage = " ".join(f"word{k}" for k in range(97, 112))
+    letters = "".join(c for c in passage if not c.isdigit())
+    tests = spark.createDataFrame([(None, passage), ("b", "short item"), ("c", None), (None, None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "a short item here"), (3, letters)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.digest(decontam.mark(docs, tests)).collect()}
+    assert got == {1: (15, 0, True), 2: (2, 1, True), 3: (0, 0, False)}
+    # What is broadcast is loaded where the package is not installed.
+    assert sent and not any(b"gaugeline" in pickle.dumps(v) for v in sent)
