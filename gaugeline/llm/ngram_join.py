@@ -25,7 +25,8 @@ LONG_LISTS, LONG = 1 << 19, 4
 #: Weight of the binary probes against the merge when the long lists are chosen (Li, Lu and Lu, 2008): a fixed value.
 MU = 0.0085
 _P = np.uint64(0x9E3779B97F4A7C15)
-NO_ID = -(1 << 63)
+#: Stands for a null id, after all others: a class takes its number from a document that has one.
+NO_ID = (1 << 63) - 1
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -319,7 +320,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
     So a group of thousands of near copies is compared with a few of its members, not pair by pair, and no link
     between different components is lost. All shuffles are by shingle, node or (query, slice of its records).
     Cases: null, empty and blank texts have no shingles and link with nothing; shorter texts are one shingle; rows with
-    the same id are one document; a null id is an id of its own; an empty table gives no rows.
+    the same id are one document; rows without an id are one document, whose classes have the smallest id of the others; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

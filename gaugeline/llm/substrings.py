@@ -89,7 +89,7 @@ def run_hashes(parts: list[str], run: int, words: int) -> tuple[np.ndarray, np.n
 
 
 def repeated_units(docs: DataFrame, run: int = 3, words: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, units): the units of each document covered by a run (``run_hashes``) that also starts earlier, that is in a
+    """Rows (doc_id, h, units): the units of each document, known by its id and a hash of its text, covered by a run (``run_hashes``) that also starts earlier, that is in a
     document with a smaller id or further up in the same one.
 
     The first occurrence of each run is an aggregate, so a run that a third of all documents share shrinks in the tasks
@@ -99,18 +99,19 @@ def repeated_units(docs: DataFrame, run: int = 3, words: int = 10, text: str = "
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BLOCK):
             found = [run_hashes(units(t), run, words) for t in batch.column("text").to_pylist()]
-            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(a) for a, *_ in found])
+            each = [len(a) for a, *_ in found]
+            doc, own = (np.repeat(batch.column(c).to_numpy(), each) for c in ("doc_id", "h"))
             a, b, at, n = (np.concatenate(c) for c in zip(*found))
-            columns = [pa.array(doc), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.record_batch(columns, ["doc_id", "a", "b", "at", "n"])
+            columns = [pa.array(doc), pa.array(own), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.record_batch(columns, ["doc_id", "h", "a", "b", "at", "n"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    runs = rows.mapInArrow(hashed, "doc_id long, a long, b long, at int, n int")
-    first = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = runs.join(first, ["a", "b"]).where(F.struct("doc_id", "at") > F.col("first"))
-    covered = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    runs = rows.withColumn("h", F.xxhash64("text")).mapInArrow(hashed, "doc_id long, h long, a long, b long, at int, n int")
+    first = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    later = runs.join(first, ["a", "b"]).where(F.struct("doc_id", "h", "at") > F.col("first"))
+    covered = later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     spread = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
-    return covered.select("doc_id", spread.alias("units"))
+    return covered.select("doc_id", "h", spread.alias("units"))
 
 
 def dedupe(docs: DataFrame, run: int = 3, words: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -120,7 +121,7 @@ def dedupe(docs: DataFrame, run: int = 3, words: int = 10, text: str = "text", k
     The first occurrence (smallest id, then place) of every run stays. Units that no repeated run covers stay as they are, so documents
     that share nothing are unchanged. Only rows whose id may have something to remove are joined with it.
     Cases: null and empty texts have no units and stay; a null id is never compared and keeps its text; rows that
-    repeat an id with the same text keep and lose the same units; an empty table gives no rows; other columns are ignored.
+    repeat an id with the same text keep and lose the same units, with another text they are documents of their own; an empty table gives no rows; other columns are ignored.
     """
     from gaugeline.session import checkpointed
 
@@ -147,6 +148,6 @@ def dedupe(docs: DataFrame, run: int = 3, words: int = 10, text: str = "text", k
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_units", "n_removed", "text"])
 
     apart = chosen(False).withColumn("units", F.lit(None).cast("array<int>"))
-    joined = chosen(True).join(found, "doc_id", "left").select("doc_id", "text", "units")
+    joined = chosen(True).withColumn("h", F.xxhash64("text")).join(found, ["doc_id", "h"], "left").select("doc_id", "text", "units")
     out = apart.unionByName(joined).mapInArrow(cut, "doc_id long, n_units long, n_removed long, text string")
     return out.withColumnsRenamed({"doc_id": key, "text": text})

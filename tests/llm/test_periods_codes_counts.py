@@ -288,3 +288,24 @@ def test_items_without_an_id_are_hit(spark, monkeypatch):
     assert got == {1: (15, 0, True), 2: (2, 1, True), 3: (0, 0, False)}
     # What is broadcast is loaded where the package is not installed.
     assert sent and not any(b"gaugeline" in pickle.dumps(v) for v in sent)
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    from gaugeline.llm import substrings
+
+    rng = random.Random(7)
+    text = lambda k: " ".join(" ".join(rng.choice("ka lo mi tu ra en so".split()) + str(rng.randrange(900)) for _ in range(9)) + "." for _ in range(k))
+    a, b = text(5), text(5)
+    rows = spark.createDataFrame([(0, b), (1, a), (1, b), (1, b)], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["text"]) for r in substrings.dedupe(rows).collect())
+    assert got == sorted([(0, b), (1, a), (1, ""), (1, "")])
+
+
+def test_a_link_to_a_row_without_an_id_keeps_the_class(spark):
+    from gaugeline.llm import ngram_join
+
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words, "more"])
+    rows = spark.createDataFrame([(7, " ".join(words)), (9, near), (None, " ".join(words)), (None, " ".join(words)), (3, "something else that links with none of them")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.join(rows).collect()), key=str)
+    assert got == sorted([(7, 7), (9, 7), (None, 7), (None, 7), (3, 3)], key=str)

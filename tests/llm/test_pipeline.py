@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_query_runs_and_is_named_by_its_number():
     numbers = {int(re.match(r"op(\d+)_", name)[1]) for name in CATALOGUE}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
