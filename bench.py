@@ -36,6 +36,9 @@ HEADLINE = [
     "walk_forward",
     "horizon_scores",
     "general_evaluation",
+    "case_evaluation",
+    "stored_encoder",
+    "resample_two_months",
     "arx_coefficients",
     "chunk_plan",
     "best_upsert",
