@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -81,7 +82,8 @@ def spaced_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds at most ``most`` bytes of ``column``, or a single row: bounds what a task holds."""
+    """Cuts batches so that each holds at most ``most`` bytes of ``column``, or a single row: bounds what a task holds. What a task
+    has freed goes back to the machine when its rows end, since its process lives on beside later stages."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
         lo = 0
@@ -90,6 +92,28 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
             hi = max(lo + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    hand_back()
+
+
+def hand_back() -> None:
+    """Returns freed memory of Arrow and of the C library to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: A key that one row in so many has, or more, is hot. At most so many keys are.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], times: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, which has one row per key and in ``times`` the number of rows with it, out of ``total``.
+
+    Rows of hot keys meet a broadcast of ``HOT`` rows of ``found`` at most, wherever they are; only the others are shuffled by key.
+    """
+    hot = F.col(times) * HOT >= total
+    few, rest = F.broadcast(found.where(hot).drop(times)), found.where(~hot).drop(times)
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(rest, keys, how))
 
 
 #: A single text of a learning sample takes this part of its bytes at most.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import components, mark_place, marked, marks, pieces_of, scratch, spaced_words
+from gaugeline.llm.common import components, mark_place, marked, marks, pieces_of, scratch, spaced_words, spread_join
 from gaugeline.session import checkpointed
 
 #: Text bytes shingled at a time, records searched at a time, and nodes of a list held
@@ -62,26 +62,18 @@ def _first(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _summaries(width: int):
-    """Rows (doc_id, n, key): the size and a digest of each set."""
+def _summaries(width: int, percent: int):
+    """Rows (doc_id, n, key, hashes, seen): the size and a digest of each set, and on the first row of each block the shingles of all
+    its sets that may come up in a list, were half of them set aside as long, with how often they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BLOCK):
             sets = shingle_sets(batch.column("text"), width)
             keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
-
-    return run
-
-
-def _measured(width: int, percent: int):
-    """Rows (hash, seen): the shingles of each set that may come up in a list, were half of them set aside as long."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text", BLOCK):
-            sets = shingle_sets(batch.column("text"), width)
             found, seen = np.unique(np.concatenate([s[: 2 * _first(len(s), percent)] for s in sets]), return_counts=True)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(seen.astype(np.int32))], ["hash", "seen"])
+            ends = pa.array([0] + [len(found)] * len(sets), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (found.view(np.int64), seen.astype(np.int32))]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *lists], ["doc_id", "n", "key", "hashes", "seen"])
 
     return run
 
@@ -322,15 +314,21 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
     Cases: null, empty and blank texts have no shingles and link with nothing; shorter texts are one shingle; rows with
     the same id are one document; rows without an id are one document, whose classes have the smallest id of the others; an empty table gives no rows.
     """
+    with scratch(docs.sparkSession) as kept:
+        return checkpointed(_joined(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), width, percent, kept)).withColumnRenamed("doc_id", key)
+
+
+def _joined(docs: DataFrame, width: int, percent: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``join``, from tables that ``kept`` writes."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    often = docs.select("text").mapInArrow(_measured(width, percent), "hash long, seen int").groupBy("hash").agg(F.sum("seen").alias("w"))
+    summaries = kept(docs.mapInArrow(_summaries(width, percent), "doc_id long, n long, key binary, hashes array<long>, seen array<int>"))
+    often = summaries.select(F.explode(F.arrays_zip("hashes", "seen")).alias("s")).groupBy("s.hashes").agg(F.sum("s.seen").alias("w")).withColumnRenamed("hashes", "hash")
     often = often.where(F.col("w") >= LONG).orderBy(F.desc("w"), "hash").limit(LONG_LISTS).toPandas()
     long = often["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(long)
     frequent = spark.sparkContext.broadcast((long[order], often["w"].to_numpy(np.int64)[order]))
-    members = checkpointed(docs.mapInArrow(_summaries(width), "doc_id long, n long, key binary")).select("doc_id", "n", "key", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
-    reps = members.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
+    members = summaries.select("doc_id", "n", "key", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    reps = members.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
 
     prefixes = docs.mapInArrow(_prefixes(width, percent, frequent), "key binary, doc_id long, prefix array<long>")
     nodes = prefixes.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("key").agg(F.min("id").alias("node"), F.first("prefix").alias("prefix"))
@@ -350,31 +348,31 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
 
         return ids.mapInArrow(run, f"node long, n long, own {kind}").where("n > 0")
 
-    with scratch(spark) as kept:
-        shared = kept(lists.mapInArrow(_lists, "s long, node long, centre long"))
-        outlines = kept(data(shared, "binary"))
-
-        def verified(pairs: DataFrame) -> DataFrame:
-            """The pairs (q, node) that link, as (a, b)."""
-            likely = checkpointed(_gathered(pairs, outlines).mapInArrow(_screened(percent), "q long, node long").distinct())
-            either = likely.select("node").union(likely.select("q")).distinct()
-            return checkpointed(_gathered(likely, data(either, "array<long>")).mapInArrow(_searched(percent), "a long, b long"))
-
-        first = kept(shared.select(F.col("centre").alias("q"), "node").where("q <> node").distinct())
-        links = verified(first)
-        classes = components(links)
-        # Lists whose nodes are not all in one component yet: pairs between components that no search has seen.
-        told = matched_components(shared, classes)
-        mixed = told.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
-        # Lists of the same nodes are searched once.
-        mixed = mixed.where("lo <> hi").groupBy("n", "same", "lo", "hi").agg(F.min("s").alias("s")).select("s", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-        rows = told.where("node <> centre").join(mixed, "s").withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("s", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("tile"), "node", "c")
-        rows = rows.join(outlines, "node").select("s", "lo", "hi", "tile", "node", "c", "n", "own").repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
-        rest = kept(rows.mapInArrow(_tiles(percent), "q long, node long").distinct().join(first, ["q", "node"], "left_anti"))
-        if not rest.isEmpty():
-            classes = components(links.union(verified(rest)))
-    found = members.join(reps, "key", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    result = F.coalesce("component", "rep", "id")
-    return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(result != NO_ID, result).alias("component_id"))
+    shared = kept(lists.mapInArrow(_lists, "s long, node long, centre long"))
+    outlines = kept(data(shared, "binary"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (q, node) that link, as (a, b)."""
+        likely = checkpointed(_gathered(pairs, outlines).mapInArrow(_screened(percent), "q long, node long").distinct())
+        either = likely.select("node").union(likely.select("q")).distinct()
+        return checkpointed(_gathered(likely, data(either, "array<long>")).mapInArrow(_searched(percent), "a long, b long"))
+
+    first = kept(shared.select(F.col("centre").alias("q"), "node").where("q <> node").distinct())
+    links = verified(first)
+    classes = components(links)
+    # Lists whose nodes are not all in one component yet: pairs between components that no search has seen.
+    told = matched_components(shared, classes)
+    mixed = told.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+    # Lists of the same nodes are searched once.
+    mixed = mixed.where("lo <> hi").groupBy("n", "same", "lo", "hi").agg(F.min("s").alias("s")).select("s", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rows = told.where("node <> centre").join(mixed, "s").withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("s", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("tile"), "node", "c")
+    rows = rows.join(outlines, "node").select("s", "lo", "hi", "tile", "node", "c", "n", "own").repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
+    rest = kept(rows.mapInArrow(_tiles(percent), "q long, node long").distinct().join(first, ["q", "node"], "left_anti"))
+    if not rest.isEmpty():
+        classes = components(links.union(verified(rest)))
+    classed = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class"), "times")
+    found = spread_join(members, classed, ["key"], "times", members.count(), "left")
+    result = F.coalesce("class", "id")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(result != NO_ID, result).alias("component_id"))
