@@ -143,16 +143,25 @@ def sample(docs: DataFrame, wanted: DataFrame, text_bytes: int) -> DataFrame:
     return sized.join(F.broadcast(chosen), ["doc_id", "d"]).groupBy("doc_id", "h", "y").agg(F.first("text").alias("text")).select("h", "y", "text")
 
 
+#: Spark's setting that drops the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Gives a function that writes a table to the shared folder and reads it back; the tables go when the block ends, so
-    what leaves the block must not read them."""
+    what leaves the block must not read them. What was shuffled for a table goes when it is written."""
     folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
     count = iter(range(1 << 30))
 
     def kept(df: DataFrame) -> DataFrame:
         path = f"{folder}/{next(count)}"
-        df.write.parquet(path)
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
         return spark.read.schema(df.schema).parquet(path)
 
     try:

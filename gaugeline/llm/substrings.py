@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import mark_place, marked, marks, pieces_of
+from gaugeline.llm.common import mark_place, marked, marks, pieces_of, scratch, spread_join
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: A sentence or line; white space at the end of a text stands alone. All of them make up the text.
 SENTENCE = re.compile(r"(?:\s*+\S++)+?(?:(?<=[.!?])|(?=\s*\n)|(?=\s*\Z))|\s+")
 #: Signs of scripts written without blanks (each is a word, with the marks that follow it), and those marks.
@@ -22,6 +22,8 @@ _MARKS = "\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ece\u102b
 WORD = re.compile(rf"\s*+(?:[{_BARE}][{_MARKS}]*+|[^\s{_BARE}]++)")
 #: Words between two cuts of a sentence at least; one of twice as many words or more is cut, and no part has as many.
 APART = 5
+#: Sentences up to so many words are cut by their lowest ranks one after the other, longer ones by all ranks in order.
+SHORT = 256
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -46,14 +48,34 @@ def _parts(sentence: str) -> list[str]:
     words = WORD.findall(sentence) if len(sentence) >= 2 * APART else ()
     if len(words) < 2 * APART:
         return [sentence]
-    ranks = [_RANKS[w] for w in words]
-    near, cuts = bytearray(len(words) + APART), [0, len(words)]
-    for k in sorted(range(APART, len(words) - APART + 1), key=ranks.__getitem__):
+    ranks = list(map(_RANKS.__getitem__, words))
+    if len(words) < 3 * APART:  # all places for a cut are near each other
+        at = ranks.index(min(ranks[APART : len(words) - APART + 1]), APART)
+        return ["".join(words[:at]), "".join(words[at:])]
+    cuts = sorted([0, *(_lowest(ranks) if len(words) <= SHORT else _lowest_of_many(ranks)), len(words)])
+    return ["".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _lowest(ranks: list[int]) -> list[int]:
+    """The cuts of a sentence: the lowest rank, then the same on either side of it where no cut is near."""
+    cuts, sides = [], [(APART, len(ranks) - APART + 1)]
+    while sides:
+        lo, hi = sides.pop()
+        if lo < hi:
+            at = ranks.index(min(ranks[lo:hi]), lo)
+            cuts.append(at)
+            sides += (lo, at - APART + 1), (at + APART, hi)
+    return cuts
+
+
+def _lowest_of_many(ranks: list[int]) -> list[int]:
+    """The same cuts in time that does not grow with the square of the length."""
+    near, cuts = bytearray(len(ranks) + APART), []
+    for k in sorted(range(APART, len(ranks) - APART + 1), key=ranks.__getitem__):
         if not near[k]:
             cuts.append(k)
             near[k - APART + 1 : k + APART] = b"\1" * (2 * APART - 1)
-    cuts.sort()
-    return ["".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return cuts
 
 
 def units(text: str | None) -> list[str]:
@@ -88,12 +110,12 @@ def run_hashes(parts: list[str], run: int, words: int) -> tuple[np.ndarray, np.n
     return *out, at, end - at
 
 
-def repeated_units(docs: DataFrame, run: int = 3, words: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_units(docs: DataFrame, kept: Callable[[DataFrame], DataFrame], run: int = 3, words: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (doc_id, h, units): the units of each document, known by its id and a hash of its text, covered by a run (``run_hashes``) that also starts earlier, that is in a
     document with a smaller id or further up in the same one.
 
-    The first occurrence of each run is an aggregate, so a run that a third of all documents share shrinks in the tasks
-    that read it; the join back has one row per run on its other side and may be split at will.
+    Texts are cut and hashed once, into a table of runs that ``kept`` writes. The first occurrence of each run is an aggregate, so a run
+    that a third of all documents share shrinks in the tasks that read it, and such runs meet their first occurrence without a shuffle.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +127,12 @@ def repeated_units(docs: DataFrame, run: int = 3, words: int = 10, text: str = "
             columns = [pa.array(doc), pa.array(own), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
             yield pa.record_batch(columns, ["doc_id", "h", "a", "b", "at", "n"])
 
+    # Texts of one id in the order of half their hash, which leaves room for the unit.
+    place = F.struct("doc_id", F.shiftleft(F.shiftright("h", 32), 32).bitwiseOR(F.col("at").cast("long")).alias("at"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    runs = rows.withColumn("h", F.xxhash64("text")).mapInArrow(hashed, "doc_id long, h long, a long, b long, at int, n int")
-    first = runs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = runs.join(first, ["a", "b"]).where(F.struct("doc_id", "h", "at") > F.col("first"))
+    runs = kept(rows.withColumn("h", F.xxhash64("text")).mapInArrow(hashed, "doc_id long, h long, a long, b long, at int, n int"))
+    first = kept(runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1"))
+    later = spread_join(runs, first, ["a", "b"], "times", runs.count()).where(place > F.col("first"))
     covered = later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     spread = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
     return covered.select("doc_id", "h", spread.alias("units"))
@@ -125,7 +149,8 @@ def dedupe(docs: DataFrame, run: int = 3, words: int = 10, text: str = "text", k
     """
     from gaugeline.session import checkpointed
 
-    found = checkpointed(repeated_units(docs, run, words, text, key))
+    with scratch(docs.sparkSession) as kept:
+        found = checkpointed(repeated_units(docs, kept, run, words, text, key))
     known = docs.sparkSession.sparkContext.broadcast(marks(found, "doc_id"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("b", mark_place("doc_id"))
 
