@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.llm import decontam, metric_join, mixing, ngram_join, packing, quality, sharding, substrings, surrogates, toxicity
-from gaugeline.llm.common import components, sample
+from gaugeline.llm.common import components, sample, spread_join
 from gaugeline.llm.queries import EMBEDDING_SQL, public_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, b string, label int, part string"
@@ -499,3 +499,20 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, attempt, key: F.concat(kind, F.lit("-"), F.length(entity).cast("string")))
     with pytest.raises(ValueError):
         surrogates.assigned(entities, "k", attempts=1)
+
+
+def test_cuts_of_short_and_long_sentences_agree():
+    rng = random.Random(5)
+    for n in [*range(15, 60), 255, 256]:
+        ranks = [rng.randrange(12) for _ in range(n)]
+        assert sorted(substrings._lowest(ranks)) == sorted(substrings._lowest_of_many(ranks))
+        assert sorted(substrings._lowest([1] * n)) == sorted(substrings._lowest_of_many([1] * n))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_join(spark, how):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)] + [(None, -1), (1000, -2)], "k long, v long")
+    found = rows.where("k < 1000").groupBy("k").agg(F.max("v").alias("m"), F.count("*").alias("times")).where("k is not null")
+    total = 100_000  # keys with 100 rows are hot
+    wanted = sorted(rows.join(found.drop("times"), "k", how).collect(), key=str)
+    assert sorted(spread_join(rows, found, ["k"], "times", total, how).collect(), key=str) == wanted
