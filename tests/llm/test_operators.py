@@ -456,7 +456,7 @@ def test_surrogates(docs, none, spark):
     one = found[0]["text"]
     mails = re.findall(r"[\w.]+@[\w.]+\w", one)
     assert len(mails) == 3 and mails[0].lower() == mails[1].lower() and mails[1].isupper() and mails[2] != mails[0].lower()
-    assert "mail" not in one.lower().split("@")[1] and re.fullmatch(r"[a-z]{4}\.[a-z]{4}\d@[a-z]{4}\.[a-z]{7}\.com", mails[0]) and mails[0].split("@")[1] == mails[2].split("@")[1]
+    assert "mail" not in one.lower().split("@")[1] and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{3}\d@[a-z]{4}\.[a-z]{7}\.com", mails[0]) and mails[0].split("@")[1] == mails[2].split("@")[1]
     two = found[1]["text"]
     digits = [re.sub(r"\D", "", x) for x in re.findall(r"\+1[^;o]*?\d{3}-\d{4}", two)]
     cards = re.findall(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", two)
@@ -493,12 +493,70 @@ def test_surrogates_of_letter_secrets_and_long_names(spark):
 def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, attempt, key: (F.pmod(F.crc32(F.concat(entity, attempt.cast("string")).cast("binary")), F.lit(400))).cast("string"))
     entities = spark.createDataFrame([("ip", str(k)) for k in range(30)], "kind string, entity string")
-    found = surrogates.assigned(entities, "k", attempts=200).collect()
+    found = surrogates.assigned(entities, "k").collect()
     assert len(found) == 30 and len({r["surrogate"] for r in found}) == 30
     assert not {r["surrogate"] for r in found} & {str(k) for k in range(30)}
-    monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, attempt, key: F.concat(kind, F.lit("-"), F.length(entity).cast("string")))
-    with pytest.raises(ValueError):
-        surrogates.assigned(entities, "k", attempts=1)
+
+
+def test_surrogates_of_used_up_formats_grow(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "DRAWS", 2)
+    mails = [f"{a}{b}@host.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [f"write to {m} today" for m in mails] + [f"call {k}-1000" for k in range(100, 160)] + ["from 1.2.3.4 on"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(surrogates, "HOT", 1 << 40)  # a list of three texts is hot
+    monkeypatch.setattr(surrogates, "SALT", 3)
+    found = {r["doc_id"]: r["text"] for r in surrogates.replace(docs, "k1").collect()}
+    new = [found[k].split()[2] for k in range(len(mails))]
+    assert len(found) == len(texts) and len(set(new)) == len(mails) and not set(new) & set(mails)
+    assert all(re.fullmatch("[a-z]{2,6}@[a-z]{4}[.]org", m) for m in new)
+    hosts = {found[k] for k in range(len(texts) - 8, len(texts))}
+    assert len(hosts) == 1 and re.fullmatch(r"from \d+(\.\d+){3} on", *hosts) and hosts != {"from 1.2.3.4 on"}
+
+
+def luhn_sum(digits):
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits)))
+
+
+def iban_rest(iban):
+    turned = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97
+
+
+def test_surrogates_keep_check_digits_prefixes_and_case(spark):
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "4111111111111112"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE88 3704 0044 0532 0130 00"]
+    rest = ["sk-AbCdEfGhIjKlMnOpQrStUv", "sk-aBcDeFgHiJkLmNoPqRsTuV", "Anna.Berg@Mail.example.com"]
+    docs = spark.createDataFrame(list(enumerate(f"it is {x} here" for x in cards + ibans + rest)), "doc_id long, text string")
+    found = {r["doc_id"]: r["text"][len("it is ") : -len(" here")] for r in surrogates.replace(docs, "k1").collect()}
+    for k, x in enumerate(cards + ibans + rest):
+        assert found[k] != x and len(found[k]) == len(x)
+        assert re.sub(r"\w", "a", found[k]) == re.sub(r"\w", "a", x)
+    for k, x in enumerate(cards):
+        assert (luhn_sum(re.sub(r"\D", "", found[k])) % 10 == 0) >= (luhn_sum(re.sub(r"\D", "", x)) % 10 == 0)
+    for k, x in enumerate(ibans, len(cards)):
+        assert (iban_rest(found[k].replace(" ", "")) == 1) >= (iban_rest(x.replace(" ", "")) == 1) and found[k][:2] == x[:2]
+    first, second, mail = found[6], found[7], found[8]
+    assert first.startswith("sk-") and second.startswith("sk-") and first.lower() != second.lower()
+    assert [c.isupper() for c in first] == [c.isupper() for c in rest[0]] and [c.isupper() for c in mail] == [c.isupper() for c in rest[2]]
+
+
+def test_a_surname_alone_is_the_person_named_in_full(spark):
+    texts = [
+        "Mr John Smith came. Mr Smith left, MR SMITH did not; Mr SMITH did.",
+        "Mr Smith and Mrs Anna Smith",
+        "Dr. Jane Roe and Prof. Dr. Karl Lind: Dr Roe, Mr Lind.",
+        "Mr Paul Smith, Mr John Smith, Mr Smith",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in surrogates.replace(docs, "k1").collect()}
+    whole = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) left, MR SMITH did not; Mr (\w+) did\.", found[0])
+    assert whole[2] == whole[3] and whole[4] == whole[2].upper() and whole[2] != "Smith"
+    mr, mrs = re.fullmatch(r"Mr (\w+) and Mrs \w+ (\w+)", found[1]).groups()
+    assert mr != mrs and mr != whole[2]  # no man is named in full there
+    jane, karl, dr, lind = re.fullmatch(r"Dr\. \w+ (\w+) and Prof\. Dr\. \w+ (\w+): Dr (\w+), Mr (\w+)\.", found[2]).groups()
+    assert jane == dr and karl == lind and jane != karl
+    paul, john, last = re.fullmatch(r"Mr \w+ (\w+), Mr \w+ (\w+), Mr (\w+)", found[3]).groups()
+    assert paul == last != john == whole[2]
 
 
 def test_cuts_of_short_and_long_sentences_agree():
