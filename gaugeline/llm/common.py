@@ -102,6 +102,16 @@ def hand_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def handing_back(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task code, which hands back freed memory at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        hand_back()
+
+    return run
+
+
 #: A key that one row in so many has, or more, is hot. At most so many keys are.
 HOT = 1000
 

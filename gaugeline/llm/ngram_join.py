@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import components, mark_place, marked, marks, pieces_of, scratch, spaced_words, spread_join
+from gaugeline.llm.common import components, handing_back, mark_place, marked, marks, pieces_of, scratch, spaced_words, spread_join
 from gaugeline.session import checkpointed
 
 #: Text bytes shingled at a time, records searched at a time, and nodes of a list held
@@ -348,14 +348,14 @@ def _joined(docs: DataFrame, width: int, percent: int, kept: Callable[[DataFrame
 
         return ids.mapInArrow(run, f"node long, n long, own {kind}").where("n > 0")
 
-    shared = kept(lists.mapInArrow(_lists, "s long, node long, centre long"))
+    shared = kept(lists.mapInArrow(handing_back(_lists), "s long, node long, centre long"))
     outlines = kept(data(shared, "binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (q, node) that link, as (a, b)."""
-        likely = checkpointed(_gathered(pairs, outlines).mapInArrow(_screened(percent), "q long, node long").distinct())
+        likely = checkpointed(_gathered(pairs, outlines).mapInArrow(handing_back(_screened(percent)), "q long, node long").distinct())
         either = likely.select("node").union(likely.select("q")).distinct()
-        return checkpointed(_gathered(likely, data(either, "array<long>")).mapInArrow(_searched(percent), "a long, b long"))
+        return checkpointed(_gathered(likely, data(either, "array<long>")).mapInArrow(handing_back(_searched(percent)), "a long, b long"))
 
     first = kept(shared.select(F.col("centre").alias("q"), "node").where("q <> node").distinct())
     links = verified(first)
@@ -369,7 +369,7 @@ def _joined(docs: DataFrame, width: int, percent: int, kept: Callable[[DataFrame
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("s", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("tile"), "node", "c")
     rows = rows.join(outlines, "node").select("s", "lo", "hi", "tile", "node", "c", "n", "own").repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
-    rest = kept(rows.mapInArrow(_tiles(percent), "q long, node long").distinct().join(first, ["q", "node"], "left_anti"))
+    rest = kept(rows.mapInArrow(handing_back(_tiles(percent)), "q long, node long").distinct().join(first, ["q", "node"], "left_anti"))
     if not rest.isEmpty():
         classes = components(links.union(verified(rest)))
     classed = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class"), "times")

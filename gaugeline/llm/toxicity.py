@@ -11,9 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import one_in, pieces_of, sample, spaced_words
+from gaugeline.llm.common import handing_back, one_in, pieces_of, sample, spaced_words
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Learned texts that are cut into words at a time.
+LEARNED = 500
 #: Lengths of the beginnings of words that are features beside the words.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: A sentence with fewer blanks is no instance of its own.
@@ -64,6 +66,18 @@ def _logits(weights: np.ndarray, bias: float, words: np.ndarray, counts: np.ndar
     return bias + np.bincount(np.repeat(np.arange(len(counts)), counts), each[words], len(counts))
 
 
+def _instances(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``sentences`` of many texts, block by block so that little more than their result is held, and the texts each word of the
+    vocabulary is in. Every block has a vocabulary of its own."""
+    out, base = [], 0
+    for lo in range(0, max(len(texts), 1), LEARNED):
+        words, counts, per_doc, features = sentences(texts[lo : lo + LEARNED], bits)
+        pairs = np.unique(np.repeat(np.repeat(np.arange(len(per_doc)), per_doc), counts) << 32 | words)
+        out.append(((words + base).astype(np.int32), counts, per_doc, features, np.bincount(pairs & (1 << 32) - 1, minlength=len(features))))
+        base += len(features)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: float = 0.05, decay: float = 1.5e-4, least: int = 5) -> tuple[np.ndarray, float]:
     """Word weights and bias of the sentence model, learned from document labels only. Words in fewer than ``least``
     documents of the sample get no weight: they could only be learned by heart. Weights are not negative: a word adds to the
@@ -72,22 +86,21 @@ def fit(texts: list[str], labels: np.ndarray, bits: int, epochs: int, rate: floa
     P(document) = 1 - prod(1 - p(sentence)); with S = sum of softplus(logit), the gradient of the log loss with respect
     to a logit is sigmoid(logit) * ((1 - y) - y * exp(-S) / (1 - exp(-S))). Adam over batches in a fixed order, the rate falling to 0.
     """
-    words, counts, per_doc, features = sentences(texts, bits)
+    order = sorted(range(len(texts)), key=lambda k: xxhash.xxh3_64_intdigest(texts[k]))  # stable
+    labels = labels[order]
+    words, counts, per_doc, features, within = _instances([texts[k] for k in order], bits)
     first_word = np.concatenate([[0], counts.cumsum()])
     first_sentence = np.concatenate([[0], per_doc.cumsum()])
-    pairs = np.unique(np.repeat(np.repeat(np.arange(len(per_doc)), per_doc), counts) << 32 | words)
-    within = np.bincount(pairs & (1 << 32) - 1, minlength=len(features))
     slots = np.flatnonzero(np.bincount(features.ravel(), np.repeat(within, features.shape[1]), 1 << bits)[: 1 << bits] >= least)
     size, place = len(slots), np.full((1 << bits) + 1, len(slots))
     place[slots] = np.arange(size)
     features = place[features]
     w, bias, m, v, step = np.zeros(size), -8.0, np.zeros(size + 1), np.zeros(size + 1), 0
-    order = np.argsort([xxhash.xxh3_64_intdigest(t) for t in texts], kind="stable")
     batches = max(1, len(order) // 500)
     epochs = max(epochs, STEPS // batches)
     total = epochs * batches + 1
     for _ in range(epochs):
-        for batch in np.array_split(order, batches):
+        for batch in np.array_split(np.arange(len(order)), batches):
             y = labels[batch].astype(float)
             chosen = np.concatenate([np.arange(first_sentence[d], first_sentence[d + 1]) for d in batch])
             n = per_doc[batch]
@@ -129,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         w, bias = fit([texts[k] for k in order], np.array([y[k] for k in order]), bits, epochs) if order else (np.zeros(1 << bits, np.float32), -20.0)
         yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 
-    found = rows.repartition(1).mapInArrow(run, "w binary, bias double").first()
+    found = rows.repartition(1).mapInArrow(handing_back(run), "w binary, bias double").first()
     return (np.frombuffer(bytes(found["w"]), np.float32), found["bias"]) if found else (np.zeros(1 << bits, np.float32), -20.0)
 
 
