@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gaugeline.llm import decontam, metric_join, mixing, ngram_join, packing, quality, sharding, substrings, surrogates, toxicity
@@ -343,6 +344,39 @@ def test_toxicity_learns_words_and_their_forms(spark, none):
     assert {r["predicted"] for r in toxicity.score(docs, blank).collect()} == {0}
 
 
+def test_toxicity_score_is_the_noisy_or_of_its_sentences(spark, none):
+    rng = np.random.default_rng(3)
+    bits, bias = 10, -1.5
+    weights = rng.normal(0, 0.7, 1 << bits).astype(np.float32)
+    texts = [t for t in small_texts(4, 20)] + ["One two three four five six. Seven eight! Nine\nten eleven twelve thirteen fourteen? ...", "a. b. c. d. e. f. g."]
+
+    def logit(words):
+        z = bias
+        for w in words:
+            keys = [w] + [w[:k] for k in toxicity.BEGINNINGS if len(w) > k]
+            seeds = [0] + [k for k in toxicity.BEGINNINGS if len(w) > k]
+            z += sum(float(weights[xxhash.xxh3_64_intdigest(x, seed) & (1 << bits) - 1]) for x, seed in zip(keys, seeds))
+        return z
+
+    wanted = {}
+    for k, text in enumerate(texts):
+        clean, open_, found = re.sub(r"[^a-z0-9\n.!?\x80-\U0010ffff]", " ", low(text)), [], []
+        for part in re.split(r"[.!?\n]", clean):
+            if open_ or part.strip(" "):
+                open_.append(part)
+                if " ".join(open_).count(" ") >= toxicity.SHORT:
+                    found.append(" ".join(open_).split())
+                    open_ = []
+        if open_:
+            found.append(" ".join(open_).split())
+        wanted[k] = 1 - np.prod([1 - 1 / (1 + np.exp(-logit(w))) for w in found]) if found else 0.0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scored = {r["doc_id"]: r for r in toxicity.score(docs, (weights, bias)).collect()}
+    assert len(scored) == len(texts)
+    for k, x in wanted.items():
+        assert abs(scored[k]["score"] - x) < 1e-6 and scored[k]["predicted"] == int(scored[k]["score"] >= 0.5), (k, texts[k])
+
+
 def test_learning_sample_takes_an_id_once_and_passes_over_long_texts(spark):
     ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
     bad = set(ids[::4])
