@@ -141,6 +141,14 @@ def _slots(n: int, place: Column) -> Column:
     return F.transform(every, lambda i: F.when(i.eqNullSafe(place), 1.0).otherwise(0.0))
 
 
+def entries_sum(vector: str, first: int = 0) -> Column:
+    """The sum of a vector's entries from place ``first`` on. Only entries that are stored are read: a sparse vector of any size
+    costs as much as it has entries."""
+    held = F.unwrap_udt(vector)
+    places = F.coalesce(held["indices"], F.slice(F.sequence(F.lit(0), F.size(held["values"])), F.lit(1), F.size(held["values"])))
+    return F.aggregate(F.zip_with(places, held["values"], lambda i, x: F.when(i >= first, x).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+
+
 @dataclass(frozen=True)
 class Encoder:
     """A fitted encoding as tables, which are saved, loaded and joined.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import VectorSizeHint, VectorSlicer
+from pyspark.ml.feature import VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,9 +135,8 @@ def one_hot_large(spark: SparkSession, sf: str) -> DataFrame:
     size = 1 + encoder.sizes["o_custkey"]
     checked = VectorSizeHint(inputCol="features", size=size, handleInvalid="error").transform(made)
     # The categories' part of the vector alone: the sum of its entries is 1 for a known customer and 0 for another.
-    coded = VectorSlicer(inputCol="features", outputCol="_coded", indices=list(range(1, size))).transform(checked)
-    entries = F.aggregate(vector_to_array("_coded"), F.lit(0.0), lambda a, b: a + b)
-    return coded.select("o_orderkey", "place", entries.alias("entries"), F.lit(size).alias("size"))
+    entries = E.entries_sum("features", 1)
+    return checked.select("o_orderkey", "place", entries.alias("entries"), F.lit(size).alias("size"))
 
 
 FEATURES = HOURLY_WIDE + """, f0 AS (SELECT ts, click, ln(1 + "view") AS "view", row_number() OVER (ORDER BY ts) - 1 AS idx FROM wide WHERE "view" IS NOT NULL AND ts < TIMESTAMP '2024-01-26')"""

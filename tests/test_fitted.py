@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gaugeline import SeriesSchema
@@ -36,6 +37,13 @@ def test_encoder_vectors(spark, rows, tmp_path, monkeypatch, few):
         assert encoder.names() == ["n", "s_Status_0", "s_Status_1", "s_Status_2", "s_Status_4", "r_missing_value", "r_x", "r_y", "r_z"]
 
 
+def test_entries_of_large_sparse_vectors_are_added_without_listing_places(spark):
+    size = 2**31 - 1  # as an array it would take 16 GB
+    rows = [(1, Vectors.sparse(size, [0, 7, size - 1], [5.0, 1.0, 2.0])), (2, Vectors.sparse(size, [0], [5.0])), (3, Vectors.dense([5.0, 1.0])), (4, Vectors.dense([]))]
+    df = spark.createDataFrame(rows, ["id", "v"])
+    assert {r["id"]: r["s"] for r in df.select("id", E.entries_sum("v", 1).alias("s")).collect()} == {1: 3.0, 2: 0.0, 3: 1.0, 4: 0.0}
+
+
 def test_groups_without_a_name_are_scaled(spark, rows):
     fitted = E.fit_numeric(rows, ["n"], ["g"])
     got = {(r["g"], r["n"]) for r in E.apply_numeric(rows, fitted, ["n"], ["g"]).collect()}
