@@ -16,6 +16,24 @@ from gaugeline.functions.expr import half_even
 from gaugeline.operators.chunks import chunk_of, halo_rows, matched, over_chunks
 
 
+#: So many stretches of a length are merged into one of the next length.
+RADIX = 4
+
+
+def _added(a: str, b: str) -> Column:
+    """The sum of two stretches of rows; NULL is one without values."""
+    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
+
+
+def _merged(a: str, b: str) -> Column:
+    """Count ``n``, mean ``m``, squared deviations ``q``, maximum ``x`` and minimum ``y`` of two stretches of rows; NULL is one without values."""
+    a, b = F.col(a), F.col(b)
+    n, apart = a["n"] + b["n"], b["m"] - a["m"]
+    # The mean lies between the stretches' means.
+    both = {"n": n, "m": a["m"] + apart * (b["n"] / n), "q": a["q"] + b["q"] + apart * apart * (a["n"] * b["n"] / n), "x": F.greatest(a["x"], b["x"]), "y": F.least(a["y"], b["y"])}
+    return F.when(b.isNull(), a).when(a.isNull(), b).otherwise(F.struct(*[c.alias(f) for f, c in both.items()]))
+
+
 def row_features(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,62 +46,57 @@ def row_features(
 ) -> DataFrame:
     """Lag, rolling mean, rolling sample deviation and rolling sum columns for every value column.
 
-    Mean and deviation need a full window of values; a sum needs one value; NaN counts as missing. A window of ``w`` rows is the
-    end of one block of ``w`` rows and the beginning of the next: running counts, means and squared deviations of both
-    parts are merged. Nothing is subtracted from a longer total, so earlier levels, spikes or NaN leave no trace, and
-    the cost does not grow with the window.
+    Mean and deviation need a full window of values; a sum needs one value; NaN counts as missing. Counts, sums, means and
+    squared deviations of the last 4, 16, 64, ... rows are merged from those of the stretches a quarter as long, and a window
+    is merged from the few stretches that make it up. Nothing is subtracted from a longer total, so earlier levels, spikes or NaN
+    leave no trace, and the cost grows with the logarithm of the window. All of it looks back along one order: the rows of a
+    task are sorted once, however many windows there are.
     """
     reach = max([*lags, *windows, *sums, 0])
+    kinds = [(k, merge, wanted) for k, merge, wanted in (("s", _added, sums), ("m", _merged, windows)) if wanted]
 
     def build(spread: DataFrame, order: WindowSpec) -> DataFrame:
         kept, made = [F.col(c) for c in spread.columns], []
-        frame = spread.select("*", (F.row_number().over(order) - 1).alias("_at"))
         for v in values:
             made += [F.lag(v, k).over(order).alias(names.format(kind="lag", size=k, value=v)) for k in lags]
-            frame = frame.withColumn(f"_v_{v}", F.nanvl(F.col(v).cast("double"), F.lit(None)))
-        out = [names.format(kind="lag", size=k, value=v) for v in values for k in lags]
-        frame = frame.select("*", *made)
-        for w in dict.fromkeys([*windows, *sums]):
-            block = Window.partitionBy(*keys, "_chunk", F.floor(F.col("_at") / w))
-            parts = {"a": block.orderBy(F.asc("_at")), "b": block.orderBy(F.desc("_at"))}
-            running = {}
-            for v in values:
-                for side, window in parts.items():
-                    window, c = window.rowsBetween(Window.unboundedPreceding, 0), F.col(f"_v_{v}")
-                    running[f"_n{side}_{v}"] = F.count(c).over(window)
-                    if w in windows:
-                        running[f"_m{side}_{v}"] = F.avg(c).over(window)
-                        running[f"_q{side}_{v}"] = F.var_pop(c).over(window) * F.count(c).over(window)
-                        running[f"_x{side}_{v}"] = F.max(c).over(window)
-                        running[f"_y{side}_{v}"] = F.min(c).over(window)
-                    if w in sums:
-                        running[f"_s{side}_{v}"] = F.sum(c).over(window)
-            frame = frame.withColumns(running)
-            # Where the window is one whole block, nothing of the block before belongs to it.
-            split = F.col("_at") % w != w - 1
-            frame = frame.withColumns({c: F.when(split, F.lag(c, w - 1).over(order)) for c in running if c[2] == "b"})
+        frame = spread.select("*", *made)
+        frame = frame.withColumns({f"_v_{v}": F.nanvl(F.col(v).cast("double"), F.lit(None)) for v in values})
+        for kind, merge, sizes in kinds:
+            # _t<level>: the last RADIX ** level rows, _b: a stretch that ends so many rows back.
             for v in values:
-                part = lambda c: (F.col(f"_{c}a_{v}"), F.col(f"_{c}b_{v}"))  # noqa: E731, B023
-                na, nb = part("n")[0], F.coalesce(part("n")[1], F.lit(0))
-                n = na + nb
-                if w in windows:
-                    (ma, mb), (qa, qb) = part("m"), part("q")
-                    apart = mb - ma
-                    # The window's mean lies between the parts' means; a part without values has none.
-                    mean = F.when(na == 0, mb).when(nb == 0, ma).otherwise(ma + apart * (nb / n))
-                    squares = F.when(na == 0, qb).when(nb == 0, qa).otherwise(qa + qb + apart * apart * (na * nb / n))
-                    flat = F.greatest(*part("x")) == F.least(*part("y"))  # equal values: their mean and 0, exactly
-                    mean, squares = F.when(flat, F.least(*part("y"))).otherwise(mean), F.when(flat, F.lit(0.0)).otherwise(squares)
-                    mean_name, std_name = (names.format(kind=kind, size=w, value=v) for kind in ("rolling_mean", "rolling_std"))
-                    frame = frame.withColumns({mean_name: F.when(n == w, mean), std_name: F.when((n == w) & (F.lit(w) > 1), F.sqrt(squares / max(w - 1, 1)))})
-                    out += [mean_name, std_name]
-                if w in sums:
-                    sa, sb = part("s")
-                    name = names.format(kind="cum_sum", size=w, value=v)
-                    total = F.when(na == 0, sb).when(nb == 0, sa).otherwise(sa + sb)
-                    frame = frame.withColumn(name, F.when(n > 0, total))
-                    out.append(name)
-            frame = frame.drop(*running)
+                c = F.col(f"_v_{v}")
+                one = c if kind == "s" else F.when(c.isNotNull(), F.struct(F.lit(1).cast("bigint").alias("n"), c.alias("m"), F.lit(0.0).alias("q"), c.alias("x"), c.alias("y")))
+                frame = frame.withColumn(f"_t0_{v}", one)
+            top = 0
+            while RADIX ** (top + 1) <= max(sizes):
+                back = {f"_b{k}_{v}": F.lag(f"_t{top}_{v}", k * RADIX**top).over(order) for v in values for k in range(1, RADIX)}
+                frame, top = frame.withColumns({**back, **{f"_t{top + 1}_{v}": F.col(f"_t{top}_{v}") for v in values}}), top + 1
+                for k in range(1, RADIX):
+                    frame = frame.withColumns({f"_t{top}_{v}": merge(f"_t{top}_{v}", f"_b{k}_{v}") for v in values})
+                frame = frame.drop(*back)
+            parts, back = {w: [] for w in dict.fromkeys(sizes)}, {}
+            for w, found in parts.items():
+                gone = 0
+                for level in range(top, -1, -1):
+                    for _ in range((w - gone) // RADIX**level):
+                        found.append(f"_w{w}_{gone}")
+                        back |= {f"_w{w}_{gone}_{v}": F.lag(f"_t{level}_{v}", gone).over(order) for v in values}
+                        gone += RADIX**level
+            frame = frame.withColumns(back).drop(*(f"_t{level}_{v}" for level in range(top + 1) for v in values))
+            for k in range(1, max(map(len, parts.values()))):
+                frame = frame.withColumns({f"{p[0]}_{v}": merge(f"{p[0]}_{v}", f"{p[k]}_{v}") for p in parts.values() if k < len(p) for v in values})
+            done = {}
+            for w in parts:
+                for v in values:
+                    all_of = F.col(f"_w{w}_0_{v}")
+                    if kind == "s":
+                        done[names.format(kind="cum_sum", size=w, value=v)] = all_of
+                        continue
+                    flat, full = all_of["x"] == all_of["y"], all_of["n"] == w  # equal values: their mean and 0, exactly
+                    mean, squares = F.when(flat, all_of["y"]).otherwise(all_of["m"]), F.when(flat, F.lit(0.0)).otherwise(all_of["q"])
+                    done[names.format(kind="rolling_mean", size=w, value=v)] = F.when(full, mean)
+                    done[names.format(kind="rolling_std", size=w, value=v)] = F.when(full & (F.lit(w) > 1), F.sqrt(squares / max(w - 1, 1)))
+            frame = frame.withColumns(done).drop(*back)
         columns = [names.format(kind=kind, size=k, value=v) for v in values for kind, sizes in
                    (("lag", lags), ("rolling_mean", windows), ("rolling_std", windows), ("cum_sum", sums)) for k in sizes]
         return frame.select(*kept, *dict.fromkeys(columns))

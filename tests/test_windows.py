@@ -142,3 +142,12 @@ def test_modes_of_ten_thousand_codes(spark, small_chunks):
                 counts = collections.Counter(c for c in codes[max(0, i - w + 1) : i + 1] if c is not None)
                 want = min(counts, key=lambda c: (-counts[c], c)) if counts else None
                 assert got[s, i][k] == want
+
+
+def test_all_windows_share_one_sort(spark):
+    """What a task holds does not grow with the windows: every other sort would hold all rows of the task once more."""
+    df = spark.range(50).select(F.lit("a").alias("s"), F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
+    made = W.row_features(df, ["s"], "i", ["v"], lags=[1], windows=[6, 24], sums=[3, 96, 672, 2880])
+    assert made._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    last = made.orderBy(F.desc("i")).first()
+    assert (last["cum_sum_3_v"], last["cum_sum_96_v"], last["rolling_mean_6_v"], last["rolling_mean_24_v"]) == (144.0, 1225.0, 46.5, 37.5)
