@@ -61,6 +61,18 @@ def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.alias("l").join(right.alias("r"), same(keys), how).select("l.*", *more)
 
 
+#: A table of at most so many groups goes to every task whole.
+FEW_GROUPS = 10_000
+
+
+def looked_up(left: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``matched`` with a table of one row per group, written once and counted. Where groups are few, many rows of ``left`` share
+    one, and a join by group would send them to one task: the groups then go to the rows, which stay where they are."""
+    groups = checkpointed(groups)
+    few = groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return matched(left, F.broadcast(groups) if few else groups, keys)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "idx") -> DataFrame:
     """Number the rows of each series from 0; with no keys, number the whole frame.
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from gaugeline import schema as S
 from gaugeline.functions.expr import calendar, col, cyclical
-from gaugeline.operators.chunks import matched, number_sorted, percentiles
+from gaugeline.operators.chunks import looked_up, matched, number_sorted, percentiles
 
 
 def nature_encode(df: DataFrame, column: str, period: float | str) -> DataFrame:
@@ -53,7 +53,7 @@ def fit_numeric(train: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
 def apply_numeric(df: DataFrame, fitted: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Fill with the group's median, subtract its mean and divide by its scale.
 
-    The fitted table is pivoted to one row per group and joined on the group; without groups its single row is a
+    The fitted table is pivoted to one row per group and looked up by the group; without groups its single row is a
     scalar subquery. A column without any value stays NULL.
     """
     by = list(by)
@@ -63,7 +63,7 @@ def apply_numeric(df: DataFrame, fitted: DataFrame, columns: Sequence[str], by:
     )
     packed = F.struct(*[F.col(f"`{n}`") for n in names]).alias("_fit")
     if by:
-        joined = matched(df, wide.select(*by, packed), by)
+        joined = looked_up(df, wide.select(*by, packed), by)
     else:
         joined = df.withColumn("_fit", wide.select(packed).scalar())
     fit = F.col("_fit")

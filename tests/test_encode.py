@@ -55,3 +55,24 @@ def test_routing_passes_the_rest_through(spark):
     got = E.encode(df, df, None).orderBy("Altitude_1").collect()
     assert set(got[0].asDict()) == {"Cota_1", "Cota_Status_1_0", "Cota_Status_1_2", "Altitude_1", "Rio_Codigo_1_a", "Rio_Codigo_1_missing_value"}
     assert (got[0]["Cota_1"], got[0]["Altitude_1"], got[0]["Rio_Codigo_1_missing_value"], got[1]["Cota_1"]) == (1.0, 8.0, 1.0, -1.0)
+
+
+def test_rows_of_a_large_group_are_scaled_where_they_are(spark):
+    """Few groups: no shuffle brings all rows of a group to one task."""
+    df = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") > 0, "x").alias("g"), F.col("id").cast("double").alias("a"))
+    got = E.apply_numeric(df, E.fit_numeric(df, ["a"], ["g"]), ["a"], ["g"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    rows = [r["a"] for r in got.where("g = 'x'").collect()]
+    assert got.count() == 1000 and abs(sum(rows)) < 1e-6 and got.where("g is null").first()["a"] == 0.0
+
+
+def test_many_groups_are_joined(spark, monkeypatch):
+    from gaugeline.operators import chunks
+
+    df = spark.createDataFrame([("x", 1.0), ("x", 3.0), (None, 5.0), ("y", None)], "g string, a double")
+    fitted = E.fit_numeric(df, ["a"], ["g"])
+    few = E.apply_numeric(df, fitted, ["a"], ["g"]).collect()
+    monkeypatch.setattr(chunks, "FEW_GROUPS", 1)
+    many = E.apply_numeric(df, fitted, ["a"], ["g"]).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(many) == 4
