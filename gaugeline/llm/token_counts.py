@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import pieces_of
+from gaugeline.llm.common import pieces_of, scratch
 from gaugeline.session import checkpointed
 
 #: Characters of a chunk, a text of more is huge; characters by which a chunk first reaches into the next one.
 CHUNK, OVERLAP = 1 << 14, 1 << 7
+#: The chunks of a text of more of them are dealt over tasks; of fewer, they are encoded where the text is.
+DEALT = 64
 _SPACE, _LONG = "▁", 3  # the sign that stands for a blank inside the model, and its bytes
 
 
@@ -115,8 +117,8 @@ def spliced(chunks: DataFrame) -> DataFrame:
 def count(docs: DataFrame, model: str, limit: int = 4096, chunk: int = CHUNK, overlap: int = OVERLAP, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row (doc_id, n_bytes, n_tokens, over_limit) per document: the tokens that the model of the file gives the whole text.
 
-    Texts of more than ``chunk`` characters are cut into overlapping chunks, which are encoded anywhere and spliced
-    (``spliced``). Where two neighbours share no token, as in a long run of one sign, the text goes through again with chunks and overlaps four times as
+    Texts of more than ``chunk`` characters are cut into overlapping chunks, which are encoded where the text is, or dealt
+    over tasks if they are many, and spliced (``spliced``). Where two neighbours share no token, as in a long run of one sign, the text goes through again with chunks and overlaps four times as
     large, until it is one chunk. The models must be byte-pair models that give unknown signs as bytes and leave the text as it is
     but for a blank put before it; with any other, texts are encoded whole.
     Cases: null and empty texts have no bytes and no tokens; rows that repeat an id or a text are counted each; null ids
@@ -135,20 +137,24 @@ def count(docs: DataFrame, model: str, limit: int = 4096, chunk: int = CHUNK, ov
 
     sized = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     done = sized.where(~huge).mapInArrow(whole, f"id {kind}, n_bytes long, n_tokens long")
-    # Written once: the numbers of the rows hold in every task and every attempt.
-    large = checkpointed(sized.where(huge).withColumn("row", F.monotonically_increasing_id()))
-    found, todo = [], large.select("row", "text")
-    while True:
-        cut = todo.mapInArrow(_cut(chunk, overlap), "row long, chunk long, text string, own long").repartition("row", "chunk")
-        parts = cut.mapInArrow(_encoded(model, chunk, overlap), "row long, seam long, n long, left array<long>, right array<long>")
-        told = checkpointed(spliced(parts))
-        found.append(told.where("open = 0").select("row", "n_tokens"))
-        again = told.where("open > 0").select("row")
-        if again.isEmpty():
-            break
-        chunk, overlap = 4 * chunk, 4 * overlap
-        todo = large.join(again, "row", "left_semi").select("row", "text")
-    counts = functools.reduce(DataFrame.unionByName, found)
-    joined = large.select("row", "id", "n_bytes").join(counts, "row").select("id", "n_bytes", "n_tokens")
+    with scratch(spark) as kept:
+        # Written once: the numbers of the rows hold in every task and every attempt.
+        large = kept(sized.where(huge).withColumn("row", F.monotonically_increasing_id()))
+        found, todo = [], large.select("row", "text")
+        while True:
+            cut, encoded = _cut(chunk, overlap), _encoded(model, chunk, overlap)
+            far, pieces = F.char_length("text") > DEALT * chunk, "row long, chunk long, text string, own long"
+            near = todo.where(~far).mapInArrow(cut, pieces)
+            dealt = todo.where(far).mapInArrow(cut, pieces).repartition("row", "chunk")
+            schema = "row long, seam long, n long, left array<long>, right array<long>"
+            told = kept(spliced(near.mapInArrow(encoded, schema).unionByName(dealt.mapInArrow(encoded, schema))))
+            found.append(told.where("open = 0").select("row", "n_tokens"))
+            again = kept(told.where("open > 0").select("row"))  # few: its size is known, and texts are not moved to meet it
+            if again.isEmpty():
+                break
+            chunk, overlap = 4 * chunk, 4 * overlap
+            todo = large.join(again, "row", "left_semi").select("row", "text")
+        counts = functools.reduce(DataFrame.unionByName, found)
+        joined = checkpointed(large.select("row", "id", "n_bytes").join(counts, "row").select("id", "n_bytes", "n_tokens"))
     out = done.unionByName(joined)
     return out.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

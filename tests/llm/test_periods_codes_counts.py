@@ -238,6 +238,21 @@ def test_token_counts(spark, model, chunk, overlap):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_chunks_are_dealt_only_of_texts_with_many(spark, model, monkeypatch):
+    """Else the texts of all documents above one chunk go through a shuffle, and with a second pass through another one."""
+    from sentencepiece import SentencePieceProcessor
+
+    texts = list(enumerate(["some words " * 200, "other words " * 1000, "few"]))  # 22 and 120 chunks of 100 characters
+    frame, dealt = spark.createDataFrame([(k, t, "i", "n", 1, 2, "p") for k, t in texts], DOCS), []
+    kind = type(frame)
+    real = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *by: dealt.append(df.count()) or real(df, *by))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count(frame, model, chunk=100, overlap=30).collect()}
+    whole = SentencePieceProcessor(model_file=model)
+    assert got == {k: len(whole.encode(t)) for k, t in texts}
+    assert dealt == [120]
+
+
 def test_only_proven_seams_are_spliced(spark):
     rows = [(1, 0, 10, [5 << 32 | 7, 9 << 32 | 8, 12 << 32 | 3], None), (1, 0, 6, None, [4 << 32 | 2, 9 << 32 | 8, 12 << 32 | 1])]
     rows += [(2, 0, 4, [1 << 32 | 1], None), (2, 0, 5, None, [1 << 32 | 2]), (3, -1, 11, None, None)]
