@@ -313,6 +313,34 @@ def test_mixing_counts_every_context_exactly():
                 assert table[bit, :, at].tolist() == (each if by_class else [sum(each)])
 
 
+
+def test_mixing_counts_meet_by_part_in_little_room():
+    rng, classes, parts = random.Random(5), 3, 4
+    words = [None, *sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(2000)})]
+    counts = np.array([[rng.choice((0, 0, 1, 2, 10**12)) for _ in range(classes)] for _ in words], np.int64)
+    code = mixing.code_paths(np.arange(256))
+    blocks = [pa.table({"block": [b] * len(words[b::3]), "word": words[b::3], **{f"c{g}": counts[b::3, g] for g in range(classes)}}) for b in range(3)]
+    rows = pa.concat_tables([mixing._grams(code, classes)(b) for b in blocks])
+    total = collections.defaultdict(lambda: np.zeros(classes, np.int64))
+    for k, context, symbol, *n in zip(*(rows[c].to_pylist() for c in ("k", "context", "symbol", "c0", "c1", "c2"))):
+        total[k, context, symbol] += np.array(n) if mixing.PREDICTORS[k][1] else np.array([sum(n)] * classes)
+    pieces = pa.concat_tables([mixing._pieces(code, classes, parts)(b) for b in blocks])
+    assert pieces.nbytes * 4 < rows.nbytes
+    pieces = pieces.group_by(["kind", "part"]).aggregate([(c, "list") for c in ("block", "n", "contexts", "per", "symbols", "counts")])
+    for p in pieces.to_pylist():
+        asked = {c: p[f"{c}_list"] for c in ("block", "n", "contexts", "per", "symbols", "counts")}
+        answers = mixing._followers(classes)(pa.table({"kind": [p["kind"]] * len(asked["n"]), "part": [p["part"]] * len(asked["n"]), **asked})).to_pylist()
+        assert [r["block"] for r in answers] == asked["block"]
+        for n, contexts, r in zip(asked["n"], asked["contexts"], answers):
+            contexts, per = mixing._unpacked(contexts, n), mixing._unpacked(r["per"], n)
+            symbols, owner = mixing._unpacked(r["symbols"], int(per.sum())).tolist(), np.repeat(contexts, per).tolist()
+            width = classes if mixing.PREDICTORS[p["kind"]][1] else 1
+            seen = mixing._unpacked(r["counts"], width * len(symbols)).reshape(width, -1).T.tolist()
+            mine = {(p["kind"], c) for c in contexts.tolist()}
+            expected = {key[1:]: n.tolist()[:width] for key, n in total.items() if key[:2] in mine and n.any()}
+            assert dict(zip(zip(owner, symbols), seen)) == expected
+
+
 def test_code_paths_are_a_whole_tree():
     length, nodes, bits = mixing.code_paths(np.random.default_rng(1).integers(0, 1000, 256))
     assert sum(2.0 ** -int(n) for n in length) == 1
