@@ -359,7 +359,7 @@ def _joined(docs: DataFrame, width: int, percent: int, kept: Callable[[DataFrame
 
     first = kept(shared.select(F.col("centre").alias("q"), "node").where("q <> node").distinct())
     links = verified(first)
-    classes = components(links)
+    classes = components(links, kept)
     # Lists whose nodes are not all in one component yet: pairs between components that no search has seen.
     told = matched_components(shared, classes)
     mixed = told.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
@@ -371,7 +371,7 @@ def _joined(docs: DataFrame, width: int, percent: int, kept: Callable[[DataFrame
     rows = rows.join(outlines, "node").select("s", "lo", "hi", "tile", "node", "c", "n", "own").repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
     rest = kept(rows.mapInArrow(handing_back(_tiles(percent)), "q long, node long").distinct().join(first, ["q", "node"], "left_anti"))
     if not rest.isEmpty():
-        classes = components(links.union(verified(rest)))
+        classes = components(links.union(verified(rest)), kept)
     classed = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class"), "times")
     found = spread_join(members, classed, ["key"], "times", members.count(), "left")
     result = F.coalesce("class", "id")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gaugeline.llm import decontam, metric_join, mixing, ngram_join, packing, quality, sharding, substrings, surrogates, toxicity
-from gaugeline.llm.common import components, sample, spread_join
+from gaugeline.llm.common import components, sample, scratch, spread_join
 from gaugeline.llm.queries import EMBEDDING_SQL, public_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, b string, label int, part string"
@@ -88,6 +88,20 @@ def test_components_against_union_find(spark):
     assert found == linked(nodes, links)
 
 
+def test_components_write_every_round_with_kept(spark):
+    links, widths = [(k, k + 1) for k in range(40)] + [(100, 99), (7, 7)], []
+    with scratch(spark) as kept:
+
+        def packed(df):
+            out = kept(df.repartition(50))
+            widths.append(out.rdd.getNumPartitions())  # of 50 small files fewer tasks read several each
+            return out
+
+        found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), packed).collect()}
+    assert found == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
+    assert widths and max(widths) < 50
+
+
 def test_sharding(docs, none):
     rows = sharding.shard(docs).collect()
     assert len(rows) == docs.count()
