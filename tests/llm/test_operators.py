@@ -6,6 +6,8 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -326,6 +328,63 @@ def test_mixing_counts_every_context_exactly():
                 each = [expected[name, context[name](w, i), nodes[b, step], g, bit] for g in range(2)]
                 assert table[bit, :, at].tolist() == (each if by_class else [sum(each)])
 
+def _mixed_block(words, counts):
+    """What the learning stage makes of a block that is the whole table, and the most bytes it held meanwhile."""
+    classes, code = counts.shape[1], mixing.code_paths(np.arange(256))
+    block = pa.table({"block": pa.array([0] * len(words), pa.int32()), "word": words, **{f"c{g}": counts[:, g] for g in range(classes)}, "times": counts.sum(1)})
+    pieces = mixing._pieces(code, classes, 1)(block)
+    seen = pa.concat_tables([mixing._followers(classes)(pieces.slice(k, 1)) for k in range(pieces.num_rows)])
+    tracemalloc.start()
+    try:
+        out = mixing._learned(code, classes, 1)(block, seen)
+        return code, out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_mixing_holds_tables_of_one_class_at_a_time():
+    rng = random.Random(13)
+    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(4000)})
+    few, many = (np.eye(n, dtype=np.int64)[np.arange(len(words)) % n] * 3 for n in (2, 8))
+    assert _mixed_block(words, many)[2] < 1.3 * _mixed_block(words, few)[2]
+
+
+def test_mixing_logs_of_words_follow_their_decisions():
+    rng = random.Random(14)
+    words = [None, *sorted({"".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(150)})]
+    counts = np.array([[rng.choice([0, 1, 2, 5000]), rng.randint(0, 2), 0] for _ in words], np.int64)
+    code, out, _ = _mixed_block(words, counts)
+    length, nodes, bits = code
+    rows = np.random.default_rng(1)
+    w, refined = rows.normal(size=(mixing.GATES, len(mixing.PREDICTORS))), rows.uniform(0.1, 0.9, mixing.GATES * mixing.CELLS)
+    (found,) = mixing._word_logs(types.SimpleNamespace(value=(code, w, refined)), 3, 2.0)(iter(out.drop_columns("state").combine_chunks().to_batches()))
+    coded = [b"\n" if x is None else x.encode() + b" " for x in words]
+    cut = {"two": lambda x, i: (b"\0" * 4 + x)[i + 2 : i + 4], "three": lambda x, i: (b"\0" * 4 + x)[i + 1 : i + 4], "four": lambda x, i: (b"\0" * 4 + x)[i : i + 4], "word": lambda x, i: x[:i]}
+    seen = collections.Counter()
+    for x, n in zip(coded, counts):
+        for i, b in enumerate(x):
+            for step in range(length[b]):
+                for name, by_class in mixing.PREDICTORS:
+                    for g in range(3):
+                        seen[name, cut[name](x, i), nodes[b, step], int(bits[b, step]), g if by_class else 0] += int(n[g])
+    assert found.column("word").to_pylist() == words
+    for x, n, logs in zip(coded, counts, found.column("logs").to_pylist()):
+        expected = [math.log10(n.sum() + 0.1) - 2.0]
+        for g in range(3):
+            total = 0.0
+            for i, b in enumerate(x):
+                for step in range(length[b]):
+                    dot, gate = [], 0
+                    for name, by_class in mixing.PREDICTORS:
+                        zeros, ones = (seen[name, cut[name](x, i), nodes[b, step], bit, g if by_class else 0] for bit in (0, 1))
+                        dot.append(math.log(ones + mixing.PRIOR) - math.log(zeros + mixing.PRIOR))
+                        if name in ("three", "word"):
+                            gate = gate * 4 + sum(zeros + ones > m for m in (0, 3, 31))
+                    dot = float(np.dot(dot, w[gate]))
+                    p = 0.75 / (1 + math.exp(-min(30, max(-30, dot)))) + 0.25 * refined[gate * mixing.CELLS + round(min(12, max(-12, dot * 1.5))) + 12]
+                    total += math.log10(p if bits[b, step] else 1 - p)
+            expected.append(total)
+        assert logs == pytest.approx(expected, rel=1e-5, abs=1e-5)
 
 
 def test_mixing_counts_meet_by_part_in_little_room():
