@@ -386,6 +386,19 @@ def test_mixing_logs_of_words_follow_their_decisions():
             expected.append(total)
         assert logs == pytest.approx(expected, rel=1e-5, abs=1e-5)
 
+def test_mixing_locates_shared_beginnings_once():
+    code = mixing.code_paths(np.arange(256))
+    stem, n = "abcdefghijklmnop", 40
+    coded = [f"{stem}{k} ".encode() for k in range(n)] + [b"q "]
+    d = mixing.Decisions(coded, code)
+    d.locate()
+    length = code[0]
+    every = [int(sum(length[b] for b in w)) for w in coded]
+    assert len(d.bits) == len(d.steps[0]) < sum(every) / 3 and len(d.at[0]) == sum(every)
+    counts = np.arange(1, n + 2)
+    assert d.weight(counts).sum() == counts @ every and d.weight(counts).max() == counts[:n].sum()
+    assert d.per_word(np.ones(len(d.bits))).tolist() == every
+
 
 def test_mixing_counts_meet_by_part_in_little_room():
     rng, classes, parts = random.Random(5), 3, 4
