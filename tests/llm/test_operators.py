@@ -400,6 +400,17 @@ def test_mixing_locates_shared_beginnings_once():
     assert d.per_word(np.ones(len(d.bits))).tolist() == every
 
 
+def test_mixing_head_is_cut_by_frequency_without_a_sort(spark, monkeypatch):
+    rows = [(None, 99), *((f"w{k}", k) for k in range(1, 40)), *((f"x{k}", 7) for k in range(9))]
+    logs = spark.createDataFrame(rows, "word string, times long").repartition(4)
+    for most, expected in ((100, 1), (42, 7), (41, 8), (32, 8), (10, 30), (7, 34), (0, 100)):
+        monkeypatch.setattr(mixing, "HEAD", most)
+        found = mixing._head(logs)
+        # Of levels that hold several frequencies all or none are taken.
+        assert len(found.collect()) <= most and {r["word"] for r in found.collect()} == {w for w, n in rows if w and n >= expected}
+        assert "TakeOrdered" not in (plan := found._jdf.queryExecution().toString()) and "Limit" not in plan
+
+
 def test_mixing_counts_meet_by_part_in_little_room():
     rng, classes, parts = random.Random(5), 3, 4
     words = [None, *sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(2000)})]
