@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import metrics as M
 from gaugeline.functions.expr import ratio
+from gaugeline.operators import boosting
 from gaugeline.operators.chunks import matched, over_chunks
 
 SEASON = 24
@@ -131,10 +132,16 @@ def predict(model, rows: DataFrame, features: Sequence[str], name: str = "y_pred
 def importance(
     rows: DataFrame, features: Sequence[str], y: str, k: int = 50, seed: int = 42, params: dict | None = None
 ) -> DataFrame:
-    """(feature, importance) of the ``k`` features boosted trees use most."""
-    with kept(assemble(rows, features).select("features", y)) as ready:
-        model = gbt(params or SELECTOR, y, seed).fit(ready)
-    ranked = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
+    """(feature, importance) of the ``k`` features boosted trees use most.
+
+    Trees over few features grow from sums per cell of their bins, in one pass over the rows; others from a pass for every level.
+    """
+    trees = gbt(params or SELECTOR, y, seed)
+    weights = boosting.importances(rows, features, trees)
+    if weights is None:
+        with kept(assemble(rows, features).select("features", y)) as ready:
+            weights = trees.fit(ready).featureImportances.toArray()
+    ranked = [(f, float(w)) for f, w in zip(features, weights, strict=True)]
     table = rows.sparkSession.createDataFrame(ranked, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(k)
 
