@@ -438,6 +438,89 @@ def test_mixing_counts_meet_by_part_in_little_room():
             assert dict(zip(zip(owner, symbols), seen)) == expected
 
 
+def test_mixing_reads_texts_in_their_order(spark, monkeypatch):
+    rng = random.Random(21)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    after = {w: rng.sample(names, 2) for w in names}
+
+    def text(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    held = [k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 10 == 0][:8]
+    learned = [(k, " ".join(text(40)), "en") for k in range(200) if zlib.crc32(str(k).encode()) % 10]
+    ordered = [text(40) for _ in held[:4]]
+    mixed = [rng.sample(w, len(w)) for w in ordered]
+    rows = learned + [(k, " ".join(w), "en") for k, w in zip(held, ordered + mixed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in mixing.score(docs).collect()}
+    for a, b in zip(held[:4], held[4:]):
+        assert found[a]["base_score"] == pytest.approx(found[b]["base_score"])
+        assert found[a]["score"] > 0.5 * found[b]["score"]  # the same words: of one probability as long as their order tells nothing
+    # Wherever rows lie, and with few words that every task knows.
+    monkeypatch.setattr(mixing, "BLOCK", 3000)
+    again = {r["doc_id"]: r["score"] for r in mixing.score(docs.repartition(3)).collect()}
+    assert again == {k: pytest.approx(r["score"], rel=1e-9) for k, r in found.items()}
+    monkeypatch.setattr(mixing, "HEAD", 5)
+    few = {r["doc_id"]: r for r in mixing.score(docs).collect()}
+    assert {k: (r["n_known"], pytest.approx(r["base_score"])) for k, r in found.items()} == {k: (r["n_known"], r["base_score"]) for k, r in few.items()}
+    assert all(few[a]["score"] > 0.5 * few[b]["score"] for a, b in zip(held[:4], held[4:]))
+
+
+def test_mixing_tells_words_by_the_word_before(monkeypatch):
+    monkeypatch.setattr(mixing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(mixing, "BLOCK", 300)
+    rng = random.Random(22)
+    names = [*("".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(25)), "ab", "a", "b"]
+    texts = [[rng.choice(names) for _ in range(rng.choice((0, 1, 5, 30)))] for _ in range(60)]
+    learned = [rng.random() < 0.8 for _ in texts]
+    count, pairs, end, begin = collections.Counter(), collections.Counter(), "\n", "^"
+    for w, known in zip(texts, learned):
+        if known:
+            count.update([*w, end, begin])
+            pairs.update(zip([begin, *w], [*w, end]))
+    names = sorted({x for w in texts for x in w})
+    logs = {w: [-rng.uniform(1, 3), -rng.uniform(1, 400), -rng.uniform(1, 3)] for w in [*names, end]}
+    inner, outer = names[::2], names[1::2]
+    table = pa.array(inner, pa.string()), np.array([count[w] for w in inner]), np.array([logs[w] for w in inner])
+    shared, parts = types.SimpleNamespace(value=table), 3
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([" ".join(w) for w in texts]), pa.array(learned)], ["id", "text", "learned"])
+    blocks = list(mixing._texts(iter([batch])))
+    assert len(blocks) > 3
+    pieces = pa.Table.from_batches(mixing._pairs(shared, parts)(iter(blocks)))
+    seen = pa.concat_tables([mixing._pair_counts(parts)(pieces.filter(pa.compute.equal(pieces["part"], k))) for k in range(parts)])
+    gate = {w: 0 for w in names} | {w: 1 + min(int(math.log2(1 + count[w]) / 2), mixing.BEFORE - 3) for w in inner} | {begin: mixing.BEFORE - 1}
+    totals = np.zeros(2 * mixing.BEFORE)
+    for (a, _), n in pairs.items():
+        totals[gate[a]] += n
+        totals[mixing.BEFORE + gate[a]] += n if n > 1 else 0
+    assert np.array(seen.filter(pa.compute.equal(seen["block"], -1))["logs"].to_pylist()).sum(0).tolist() == totals.tolist()
+    share = (totals[mixing.BEFORE :] + 0.5) / (totals[: mixing.BEFORE] + 1)
+    at = 0
+    for b in blocks:
+        tail = list(mixing._outside(shared)(iter([b])))[0]["word"].to_pylist()
+        assert set(tail) == set(outer) & set(b["words"][0].as_py())
+        rows = [{"block": b["block"][0].as_py(), "part": None, "word": w, "c": count[w], "counts": None, "logs": logs[w]} for w in tail]
+        own = seen.filter(pa.compute.equal(seen["block"], b["block"][0]))
+        found = mixing._told(shared, share, logs[end], count[end], parts)(pa.Table.from_batches([b]), pa.concat_tables([own, pa.Table.from_pylist(rows, own.schema)]))
+        for r in found.to_pylist():
+            w, known = texts[at], int(learned[at])
+            expected, sights = np.zeros(3), collections.defaultdict(lambda: [0, 0])
+            for a, x in zip([begin, *w], [*w, end]):
+                n, of, (hits, past) = pairs[a, x] - known, count[a] - known, sights[gate[a]]
+                chance = (mixing.TRUST * share[gate[a]] + hits) / (mixing.TRUST + past) if of > 0 else 0.0
+                sights[gate[a]] = [hits + (n > 0), past + 1]
+                expected[0] += logs[x][0]
+                for k in (1, 2):
+                    expected[k] += math.log10(chance * n / of + (1 - chance) * 10 ** logs[x][k]) if n > 0 else math.log10(1 - chance) + logs[x][k]
+            assert r["sums"] == pytest.approx(expected) and (r["id"], r["n"], r["known"]) == (at, len(w) + 1, sum(count[x] > 0 for x in [*w, end]))
+            assert r["bytes"] == sum(len(x.encode()) + 1 for x in w) + 1
+            at += 1
+    assert at == len(texts)
+
+
 def test_code_paths_are_a_whole_tree():
     length, nodes, bits = mixing.code_paths(np.random.default_rng(1).integers(0, 1000, 256))
     assert sum(2.0 ** -int(n) for n in length) == 1
